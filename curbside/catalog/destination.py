@@ -1 +1,110 @@
-"""To be filled."""
+"""Domains, encoding, the counted distribution, evaluation, and the trained classifier."""
+
+from pyspark.sql import functions as F
+
+from curbside.catalog.registry import query
+from curbside.catalog.sql import r4, r6
+from curbside.functions.numeric import r4 as round4, r6 as round6
+from curbside.operators import destination
+
+IDS = ["PULocationID", "day_of_week", "request_hour", "DOLocationID"]
+
+
+def _domain_sql(column: str) -> str:
+    return (
+        f"SELECT '{column}' AS domain, {column} AS id, row_number() OVER (ORDER BY {column}) - 1 AS idx "
+        f"FROM (SELECT DISTINCT {column} FROM trips)"
+    )
+
+
+@query("f1_dense_ids", f"SELECT id, idx FROM ({_domain_sql('PULocationID')})")
+def dense_ids(t):
+    return t.pickup_ids
+
+
+@query("j1_id_domains", " UNION ALL ".join(_domain_sql(c) for c in IDS))
+def id_domains(t):
+    out = None
+    for column, domain in destination.id_domains(t.dest_counts).items():
+        part = domain.select(F.lit(column).alias("domain"), "id", "idx")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "j2_encoded_trips",
+    "SELECT trip_key, a.idx AS pu_idx, b.idx AS dow_idx, c.idx AS hour_idx, d.idx AS do_idx FROM trips "
+    + " ".join(f"JOIN ({_domain_sql(c)}) {n} ON {n}.id = {c}" for n, c in zip("abcd", IDS)),
+)
+def encoded_trips(t):
+    rows = t.trips.select("trip_key", *IDS)
+    encoded = destination.require_known_targets(destination.encode(rows, destination.id_domains(t.dest_counts)))
+    return encoded.select("trip_key", "pu_idx", "dow_idx", "hour_idx", "do_idx")
+
+
+@query("d7_dropoff_to_pickup", "SELECT dropoff, target FROM mapping")
+def dropoff_to_pickup(t):
+    return destination.dropoff_to_pickup(t.dropoff_ids, t.pickup_ids)
+
+
+@query(
+    "j8_destination_distribution",
+    f"SELECT PULocationID, day_of_week, request_hour, DOLocationID, {r6('p')} AS p FROM dist",
+)
+def destination_distribution(t):
+    return t.distribution.withColumn("p", round6("p"))
+
+
+@query("f3_destination_probs", f"SELECT zone, day, hour, dest, {r6('p')} AS p FROM dest_prob")
+def destination_probs(t):
+    return t.dest_prob.withColumn("p", round6("p"))
+
+
+@query("f4_running_cdf", f"SELECT zone, day, hour, dest, {r6('cdf')} AS cdf FROM cdf")
+def running_cdf(t):
+    return destination.running_cdf(t.dest_prob).withColumn("cdf", round6("cdf"))
+
+
+RANKED = (
+    "SELECT *, row_number() OVER (PARTITION BY PULocationID, day_of_week, request_hour ORDER BY p DESC, DOLocationID) AS rank FROM dist"
+)
+
+
+def _packed(t):
+    slots = t.distribution.groupBy(*destination.SLOT).agg(
+        F.array_sort(F.collect_list(F.struct("DOLocationID", "p"))).alias("s")
+    )
+    return slots.select(*destination.SLOT, F.col("s.DOLocationID").alias("ids"), F.col("s.p").alias("p"))
+
+
+@query(
+    "g2_class_rank",
+    f"""SELECT c.PULocationID, c.day_of_week, c.request_hour, c.DOLocationID, n, rank
+        FROM dcounts c JOIN ({RANKED}) r USING (PULocationID, day_of_week, request_hour, DOLocationID)""",
+)
+def class_rank(t):
+    rows = t.dest_counts.join(_packed(t), destination.SLOT)
+    true_idx = F.array_position("ids", F.col("DOLocationID")) - 1
+    return rows.withColumn("t", true_idx.cast("int")).select(*IDS, "n", destination.class_rank("p", "t").alias("rank"))
+
+
+@query(
+    "g3_likeliest_destination",
+    f"SELECT PULocationID, day_of_week, request_hour, DOLocationID AS likeliest FROM ({RANKED}) WHERE rank = 1",
+)
+def likeliest_destination(t):
+    best = F.element_at("ids", destination.first_argmax("p") + 1)
+    return _packed(t).select(*destination.SLOT, best.alias("likeliest"))
+
+
+@query(
+    "j5_evaluated_distribution",
+    f"""SELECT {r6('sum(-ln(greatest(p, 1e-15)) * n) / sum(n)')} AS log_loss,
+        {r6('CAST(sum(n) FILTER (WHERE rank <= 1) AS DOUBLE) / sum(n)')} AS top1_accuracy,
+        {r6('CAST(sum(n) FILTER (WHERE rank <= 5) AS DOUBLE) / sum(n)')} AS top5_accuracy,
+        {r6('CAST(sum(n) FILTER (WHERE rank <= 10) AS DOUBLE) / sum(n)')} AS top10_accuracy
+        FROM dcounts JOIN ({RANKED}) USING (PULocationID, day_of_week, request_hour, DOLocationID)""",
+)
+def evaluated_distribution(t):
+    scores = destination.evaluate_distribution(t.distribution, t.dest_counts)
+    return scores.select(*[round6(c).alias(c) for c in scores.columns])

@@ -10,11 +10,11 @@ def r2(x: str) -> str:
 
 
 def r4(x: str) -> str:
-    return f"(floor(({x}) * 10000.0 + 0.5) / 10000.0)"
+    return f"(floor(({x}) * 10000.0 + 0.500001) / 10000.0)"
 
 
 def r6(x: str) -> str:
-    return f"(floor(({x}) * 1000000.0 + 0.5) / 1000000.0)"
+    return f"(floor(({x}) * 1000000.0 + 0.500001) / 1000000.0)"
 
 
 def mean_cents(x: str, when: str = "TRUE") -> str:

@@ -1 +1,43 @@
-"""To be filled."""
+"""The incremental operators, run to the end of a file source."""
+
+from pyspark.sql import functions as F
+
+from curbside.catalog.registry import query
+from curbside.catalog.sql import r4
+from curbside.functions.menu import reward_per_taxi
+from curbside.functions.numeric import r4 as round4
+from curbside.sources.staging import stage, staged_path
+from curbside.streaming import live
+
+ASKED = "(o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 24 AS INT))"
+
+
+@query(
+    "m1_hourly_requests",
+    f"""SELECT hour_start, PULocationID, num_trips FROM (
+          SELECT date_trunc('hour', {ASKED}) AS hour_start, c_nationkey + 1 AS PULocationID, count(*) AS num_trips
+          FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+        WHERE hour_start + INTERVAL '1' HOUR <= (SELECT max({ASKED}) - INTERVAL '2' HOUR FROM orders)""",
+)
+def hourly_requests(t):
+    """Hours the watermark has closed by the end of the stream; the last ones stay open."""
+    orders = live.stream_parquet(t.spark, t.sf_dir, t.table("orders").schema, "orders.parquet")
+    asked = F.expr("o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT))")
+    trips = orders.join(t.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        asked.alias("request_datetime"), (F.col("c_nationkey") + 1).alias("PULocationID")
+    )
+    path = staged_path(t.spark, "hourly-requests")
+    live.append_to(live.hourly_requests(trips), path, staged_path(t.spark, "stream-state")).awaitTermination()
+    out = t.spark.read.schema("hour_start TIMESTAMP, PULocationID INT, num_trips BIGINT").parquet(path)
+    return out.withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
+
+
+@query("m2_running_weights", f"SELECT arm, action, {r4('log_w')} AS log_w FROM weights WHERE (arm, action) IN (SELECT (arm, action) FROM decisions)")
+def running_weights(t):
+    log = stage(t.decisions, "decisions")
+    path = staged_path(t.spark, "running-weights")
+    stream = live.stream_parquet(t.spark, log.inputFiles()[0].rsplit("/", 1)[0], log.schema)
+    live.replace_at(
+        live.running_weights(stream, reward_per_taxi()), path, staged_path(t.spark, "stream-state")
+    ).awaitTermination()
+    return live.newest_version(t.spark, path).select("arm", "action", round4("log_w").alias("log_w"))

@@ -24,8 +24,19 @@ def r2(c) -> Column:
     return round_half_up(c, 2)
 
 
+def shown(c, digits: int) -> Column:
+    """Rounding for reported values: half up, with halves that float noise left a hair low included."""
+    x = _col(c).cast("double")
+    scale = float(10**digits)
+    return F.when(F.abs(x) * scale < 9e15, F.floor(x * scale + F.lit(0.500001)) / F.lit(scale)).otherwise(x)
+
+
 def r4(c) -> Column:
-    return round_half_up(c, 4)
+    return shown(c, 4)
+
+
+def r6(c) -> Column:
+    return shown(c, 6)
 
 
 def ieee_div(n, d) -> Column:
