@@ -87,12 +87,12 @@ def trips_with_edge(t):
 
 @query("e12_implied_surge", f"SELECT trip_key, {r4('implied_surge')} AS implied_surge FROM priced")
 def implied_surge(t):
-    return t.priced.select("trip_key", round4("implied_surge").alias("implied_surge"))
+    return demand.priced_trips(t.trips, t.graph, t.fit).select("trip_key", round4("implied_surge").alias("implied_surge"))
 
 
 @query("e13_trip_acceptance", f"SELECT trip_key, {r4('p_accept')} AS p_accept FROM priced")
 def trip_acceptance(t):
-    return t.priced.select("trip_key", round4("p_accept").alias("p_accept"))
+    return demand.priced_trips(t.trips, t.graph, t.fit).select("trip_key", round4("p_accept").alias("p_accept"))
 
 
 @query(

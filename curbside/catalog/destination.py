@@ -6,6 +6,8 @@ from curbside.catalog.registry import query
 from curbside.catalog.sql import r4, r6
 from curbside.functions.numeric import r4 as round4, r6 as round6
 from curbside.operators import destination
+from curbside.plans import destination_plan
+from curbside.sources.staging import staged_path
 
 IDS = ["PULocationID", "day_of_week", "request_hour", "DOLocationID"]
 
@@ -108,3 +110,77 @@ def likeliest_destination(t):
 def evaluated_distribution(t):
     scores = destination.evaluate_distribution(t.distribution, t.dest_counts)
     return scores.select(*[round6(c).alias(c) for c in scores.columns])
+
+
+# --- the classifier: trained here, so rows only -----------------------------------------------
+
+KEYS = ["trip_key"]
+ITERATIONS = 20
+
+
+def _trained(t, hidden=destination.HIDDEN):
+    rows = destination_plan.prepare(t.trips, KEYS)
+    return destination_plan.train(t.trips, rows, hidden, ITERATIONS), rows
+
+
+@query("j3_trained_classifier")
+def trained_classifier(t):
+    """Test measures of the trained classifier next to those of the counted distribution."""
+    model, rows = _trained(t)
+    seen = destination.destination_counts(rows.where("split = 'train'"))
+    test = destination.destination_counts(rows.where("split = 'test'"))
+    counted = destination.evaluate_distribution(destination.destination_distribution(seen), test)
+    return (
+        destination_plan.evaluate(model, rows)
+        .withColumn("model", F.lit("classifier"))
+        .unionByName(counted.withColumn("model", F.lit("counted")))
+    )
+
+
+@query("j4_fit_metrics")
+def fit_metrics(t):
+    model, rows = _trained(t)
+    out = None
+    for part in ("train", "validation"):
+        one = destination_plan.evaluate(model, rows, part).select(F.lit(part).alias("part"), "log_loss", "top1_accuracy")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("j6_predicted_slots")
+def predicted_slots(t):
+    """Likeliest drop-off of every slot that has trips."""
+    model, _ = _trained(t, hidden=(32,))
+    slots = t.dest_counts.select(*destination.SLOT).distinct()
+    return destination.ranked_distribution(model.score(slots)).where("rank = 1").drop("rank")
+
+
+@query("j7_scored_grid")
+def scored_grid(t):
+    model, _ = _trained(t, hidden=(32,))
+    return model.score(destination.slot_grid(model.domains["PULocationID"]))
+
+
+@query("j9_workflow")
+def workflow(t):
+    """Everything from sample to exported tables; the measures after loading the model again."""
+    folder = staged_path(t.spark, "destination-model")
+    destination_plan.workflow(t.trips, KEYS, folder, hidden=(32,), max_iter=ITERATIONS)
+    model = destination_plan.DestinationModel.load(t.spark, folder)
+    return destination_plan.evaluate(model, destination_plan.prepare(t.trips, KEYS))
+
+
+@query("a6_saved_model")
+def saved_model(t):
+    model, _ = _trained(t, hidden=(32,))
+    folder = staged_path(t.spark, "destination-model")
+    model.save(folder)
+    again = destination_plan.DestinationModel.load(t.spark, folder)
+    slots = t.dest_counts.select(*destination.SLOT).distinct()
+    return again.score(slots)
+
+
+@query("a7_weight_table")
+def weight_table(t):
+    model, _ = _trained(t, hidden=(32,))
+    return model.weights()

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbside.operators import demand, destination, graph, market, trips
+from curbside.plans.demand_plan import TRIP_COLUMNS
 from curbside.sources import adapters
 from curbside.sources.staging import stage
 
@@ -29,9 +30,14 @@ class Inputs:
     def trips(self) -> DataFrame:
         return trips.derive_trips(self.raw)
 
+    @cached_property
+    def kept_trips(self) -> DataFrame:
+        """Processed trips as a table, for queries that read them more than once."""
+        return stage(self.trips.select(*TRIP_COLUMNS), "trips")
+
     @cached_property
     def _graph(self) -> tuple[DataFrame, DataFrame]:
-        return graph.baseline_graph(self.trips)
+        return graph.baseline_graph(self.kept_trips)
 
     @property
     def graph(self) -> DataFrame:
@@ -44,7 +50,7 @@ class Inputs:
     # demand
     @cached_property
     def counts(self) -> DataFrame:
-        return stage(demand.hourly_counts(self.trips), "hourly-counts")
+        return stage(demand.hourly_counts(self.kept_trips), "hourly-counts")
 
     @cached_property
     def zones(self) -> DataFrame:
@@ -56,7 +62,7 @@ class Inputs:
 
     @cached_property
     def priced(self) -> DataFrame:
-        return demand.priced_trips(self.trips, self.graph, self.fit)
+        return demand.priced_trips(self.kept_trips, self.graph, self.fit)
 
     @cached_property
     def latent(self) -> DataFrame:
@@ -70,7 +76,7 @@ class Inputs:
     # destinations
     @cached_property
     def dest_counts(self) -> DataFrame:
-        return stage(destination.destination_counts(self.trips), "destination-counts")
+        return stage(destination.destination_counts(self.kept_trips), "destination-counts")
 
     @cached_property
     def distribution(self) -> DataFrame:

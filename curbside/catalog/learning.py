@@ -309,7 +309,26 @@ def priority_scores(t):
     return sampling.activate_top(scores, 20, ["run", "agent"]).select("arm", "state", "score", "active")
 
 
-@query("l15_whittle_learning")
+# the recursion walks the log once per outer round; the step after the last moves the index
+WHITTLE = f"""WITH RECURSIVE wsteps AS (SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY episode, step) AS i,
+        count(*) OVER (PARTITION BY arm) AS n, state AS s, action AS a, next_state AS ns, reward FROM two_action),
+      walk AS (SELECT arm, CAST(th.range AS INT) AS th, 0 AS round, 0 AS i, n,
+          list_transform(range(20), lambda k: 0.0::DOUBLE) AS q, 0.0::DOUBLE AS idx, 0.0::DOUBLE AS gap
+        FROM (SELECT DISTINCT arm, n FROM wsteps) CROSS JOIN range(10) th
+        UNION ALL
+        SELECT w.arm, w.th, CASE WHEN w.i = w.n THEN w.round + 1 ELSE w.round END,
+          CASE WHEN w.i = w.n THEN 0 ELSE w.i + 1 END, w.n,
+          CASE WHEN w.i = w.n THEN w.q ELSE list_transform(range(20), lambda k: CASE WHEN k = d.s * 2 + d.a
+              THEN w.q[k + 1] + 0.05 * (d.reward + CASE WHEN d.a = 0 THEN w.idx ELSE 0.0 END
+                + 0.95 * CASE WHEN d.ns IS NULL THEN 0.0 ELSE list_max(w.q[d.ns * 2 + 1 : d.ns * 2 + 2]) END - w.q[k + 1])
+              ELSE w.q[k + 1] END) END,
+          CASE WHEN w.i = w.n THEN w.idx + 0.01 * (w.q[w.th * 2 + 2] - w.q[w.th * 2 + 1]) ELSE w.idx END,
+          CASE WHEN w.i = w.n THEN abs(w.q[w.th * 2 + 2] - w.q[w.th * 2 + 1]) ELSE w.gap END
+        FROM walk w LEFT JOIN wsteps d ON d.arm = w.arm AND d.i = w.i + 1 WHERE w.round < 3)
+      SELECT arm, th AS state, {r4('idx')} AS "index", {r4('gap')} AS gap, 3 AS rounds FROM walk WHERE round = 3"""
+
+
+@query("l15_whittle_learning", WHITTLE)
 def whittle_learning(t):
     out = replay.whittle_learning(t.two_action_log, F.col("reward"), outer=3)
     return out.select("arm", "state", round4("index").alias("index"), round4("gap").alias("gap"), "rounds")

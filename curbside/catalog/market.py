@@ -14,7 +14,20 @@ from curbside.operators.reports import origin_totals
 CELL = "scenario, platform, zone, day, hour"
 
 
-@query("d6_fare_lookup", f"SELECT zone, dest, {r4('fare')} AS fare FROM fares")
+@query(
+    "d6_fare_lookup",
+    f"""SELECT e.DOLocationID AS zone, e.PULocationID AS dest,
+          {r4('CASE WHEN g.PULocationID IS NOT NULL THEN g.baseline_fare ELSE 5.0::DOUBLE * f.price_per_mile + f.intercept END')} AS fare
+        FROM edges e CROSS JOIN graph_fit f
+        LEFT JOIN graph g ON g.PULocationID = e.DOLocationID AND g.DOLocationID = e.PULocationID""",
+)
+def fare_lookup(t):
+    """Fare of the way back on every edge; where no trip went that way, the default fare."""
+    back = t.graph.select(F.col("DOLocationID").alias("zone"), F.col("PULocationID").alias("dest"))
+    out = graph.fare_lookup(back, t.graph, graph.fit_line(t.graph))
+    return out.withColumn("fare", round4("fare"))
+
+
 @query("k3_dense_fares", f"SELECT zone, dest, {r4('fare')} AS fare FROM fares")
 def dense_fares(t):
     return t.fares.select("zone", "dest", round4("fare").alias("fare"))
@@ -93,7 +106,15 @@ def gathered_fares(t):
     )
 
 
-@query("f2_normalised_demand", f"SELECT zone, day, hour, {r6('p')} AS p FROM relo")
+@query(
+    "f2_normalised_demand",
+    f"""SELECT zone, day, hour, {r6('CASE WHEN total > 0 THEN demand / total ELSE 1.0 / n END')} AS p
+        FROM (SELECT *, sum(demand) OVER (PARTITION BY day, hour) AS total, count(*) OVER (PARTITION BY day, hour) AS n FROM demand)""",
+)
+def normalised_demand(t):
+    return market.normalised_demand(t.demand).withColumn("p", round6("p"))
+
+
 @query("k10_relocation_probs", f"SELECT zone, day, hour, {r6('p')} AS p FROM relo")
 def relocation_probs(t):
     return t.relocation.withColumn("p", round6("p"))
