@@ -22,7 +22,7 @@ HEADLINE = {
     "historical_demand": ["e11_historical_demand"],
     "latent_demand": ["e15_latent_demand"],
     "destination_distribution": ["j8_destination_distribution"],
-    "market_chain": ["k9_revenue", "k11_next_inventory"],
+    "market_chain": [],
     "exp3_weights": ["l2_exp3_weights"],
     "q_replay": ["l7_q_replay"],
     "phase_summary": ["e19_phase_summary"],
@@ -49,11 +49,24 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     from curbside.catalog import QUERIES
+    from curbside.catalog.inputs import Inputs
+    from curbside.plans.market_plan import evaluate_policies
+
+    def finish(df) -> None:
+        df.write.format("noop").mode("overwrite").save()
+
+    def market_chain() -> None:
+        t = Inputs(spark, sf_dir)
+        step = evaluate_policies(t.policy, t.inventory, t.latent, t.dest_prob, t.graph)
+        finish(step.revenue)
+        finish(step.inventory)
 
     def once(names: list[str]) -> float:
         start = time.perf_counter()
         for name in names:
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            finish(QUERIES[name](spark, sf_dir))
+        if not names:
+            market_chain()
         return time.perf_counter() - start
 
     times = {}

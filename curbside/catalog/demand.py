@@ -27,7 +27,7 @@ def hourly_counts(t):
     return demand.hourly_counts(t.trips)
 
 
-@query("d2_date_zone_grid", "SELECT request_date, day_of_week, PULocationID FROM dates CROSS JOIN zones")
+@query("d2_date_zone_grid", "SELECT request_date, day_of_week, PULocationID FROM dates CROSS JOIN zones", one_pass=True)
 def date_zone_grid(t):
     return demand.date_zone_grid(t.counts)
 
@@ -35,6 +35,7 @@ def date_zone_grid(t):
 @query(
     "e10_hourly_grid",
     f"SELECT PULocationID, day_of_week, request_hour, count(*) AS cells FROM {GRID} GROUP BY 1, 2, 3",
+    one_pass=True,
 )
 def hourly_grid(t):
     return demand.hourly_grid(t.counts).groupBy(*demand.SLOT).agg(F.count("*").alias("cells"))
@@ -61,7 +62,7 @@ def zero_filled_counts(t):
 HISTORICAL = f"SELECT PULocationID, day_of_week, request_hour, {r4('historical_poisson')} AS historical_poisson FROM historical"
 
 
-@query("e11_historical_demand", HISTORICAL)
+@query("e11_historical_demand", HISTORICAL, one_pass=True)
 def historical_demand(t):
     return t.historical.withColumn("historical_poisson", round4("historical_poisson"))
 
@@ -79,18 +80,19 @@ def historical_demand_by_grid(t):
     "d4_trips_with_edge",
     "SELECT trip_key, PULocationID, DOLocationID, baseline_distance, baseline_fare "
     "FROM trips LEFT JOIN graph USING (PULocationID, DOLocationID)",
+    one_pass=True,
 )
 def trips_with_edge(t):
     edges = t.graph.drop("baseline_time")
     return t.trips.select("trip_key", "PULocationID", "DOLocationID").join(edges, ["PULocationID", "DOLocationID"], "left")
 
 
-@query("e12_implied_surge", f"SELECT trip_key, {r4('implied_surge')} AS implied_surge FROM priced")
+@query("e12_implied_surge", f"SELECT trip_key, {r4('implied_surge')} AS implied_surge FROM priced", one_pass=True)
 def implied_surge(t):
     return demand.priced_trips(t.trips, t.graph, t.fit).select("trip_key", round4("implied_surge").alias("implied_surge"))
 
 
-@query("e13_trip_acceptance", f"SELECT trip_key, {r4('p_accept')} AS p_accept FROM priced")
+@query("e13_trip_acceptance", f"SELECT trip_key, {r4('p_accept')} AS p_accept FROM priced", one_pass=True)
 def trip_acceptance(t):
     return demand.priced_trips(t.trips, t.graph, t.fit).select("trip_key", round4("p_accept").alias("p_accept"))
 

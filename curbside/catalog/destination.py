@@ -19,12 +19,12 @@ def _domain_sql(column: str) -> str:
     )
 
 
-@query("f1_dense_ids", f"SELECT id, idx FROM ({_domain_sql('PULocationID')})")
+@query("f1_dense_ids", f"SELECT id, idx FROM ({_domain_sql('PULocationID')})", one_pass=True)
 def dense_ids(t):
     return t.pickup_ids
 
 
-@query("j1_id_domains", " UNION ALL ".join(_domain_sql(c) for c in IDS))
+@query("j1_id_domains", " UNION ALL ".join(_domain_sql(c) for c in IDS), one_pass=True)
 def id_domains(t):
     out = None
     for column, domain in destination.id_domains(t.dest_counts).items():
@@ -37,6 +37,7 @@ def id_domains(t):
     "j2_encoded_trips",
     "SELECT trip_key, a.idx AS pu_idx, b.idx AS dow_idx, c.idx AS hour_idx, d.idx AS do_idx FROM trips "
     + " ".join(f"JOIN ({_domain_sql(c)}) {n} ON {n}.id = {c}" for n, c in zip("abcd", IDS)),
+    one_pass=True,
 )
 def encoded_trips(t):
     rows = t.trips.select("trip_key", *IDS)
@@ -44,7 +45,7 @@ def encoded_trips(t):
     return encoded.select("trip_key", "pu_idx", "dow_idx", "hour_idx", "do_idx")
 
 
-@query("d7_dropoff_to_pickup", "SELECT dropoff, target FROM mapping")
+@query("d7_dropoff_to_pickup", "SELECT dropoff, target FROM mapping", one_pass=True)
 def dropoff_to_pickup(t):
     return destination.dropoff_to_pickup(t.dropoff_ids, t.pickup_ids)
 
@@ -52,17 +53,18 @@ def dropoff_to_pickup(t):
 @query(
     "j8_destination_distribution",
     f"SELECT PULocationID, day_of_week, request_hour, DOLocationID, {r6('p')} AS p FROM dist",
+    one_pass=True,
 )
 def destination_distribution(t):
     return t.distribution.withColumn("p", round6("p"))
 
 
-@query("f3_destination_probs", f"SELECT zone, day, hour, dest, {r6('p')} AS p FROM dest_prob")
+@query("f3_destination_probs", f"SELECT zone, day, hour, dest, {r6('p')} AS p FROM dest_prob", one_pass=True)
 def destination_probs(t):
     return t.dest_prob.withColumn("p", round6("p"))
 
 
-@query("f4_running_cdf", f"SELECT zone, day, hour, dest, {r6('cdf')} AS cdf FROM cdf")
+@query("f4_running_cdf", f"SELECT zone, day, hour, dest, {r6('cdf')} AS cdf FROM cdf", one_pass=True)
 def running_cdf(t):
     return destination.running_cdf(t.dest_prob).withColumn("cdf", round6("cdf"))
 
@@ -83,6 +85,7 @@ def _packed(t):
     "g2_class_rank",
     f"""SELECT c.PULocationID, c.day_of_week, c.request_hour, c.DOLocationID, n, rank
         FROM dcounts c JOIN ({RANKED}) r USING (PULocationID, day_of_week, request_hour, DOLocationID)""",
+    one_pass=True,
 )
 def class_rank(t):
     rows = t.dest_counts.join(_packed(t), destination.SLOT)
@@ -93,6 +96,7 @@ def class_rank(t):
 @query(
     "g3_likeliest_destination",
     f"SELECT PULocationID, day_of_week, request_hour, DOLocationID AS likeliest FROM ({RANKED}) WHERE rank = 1",
+    one_pass=True,
 )
 def likeliest_destination(t):
     best = F.element_at("ids", destination.first_argmax("p") + 1)
@@ -106,6 +110,7 @@ def likeliest_destination(t):
         {r6('CAST(sum(n) FILTER (WHERE rank <= 5) AS DOUBLE) / sum(n)')} AS top5_accuracy,
         {r6('CAST(sum(n) FILTER (WHERE rank <= 10) AS DOUBLE) / sum(n)')} AS top10_accuracy
         FROM dcounts JOIN ({RANKED}) USING (PULocationID, day_of_week, request_hour, DOLocationID)""",
+    one_pass=True,
 )
 def evaluated_distribution(t):
     scores = destination.evaluate_distribution(t.distribution, t.dest_counts)

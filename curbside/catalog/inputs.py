@@ -15,8 +15,8 @@ FLEET = [2900, 700, 700, 700]
 
 
 class Inputs:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, keep_trips: bool = True):
+        self.spark, self.sf_dir, self.keep_trips = spark, sf_dir, keep_trips
 
     def table(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf_dir, name)
@@ -32,7 +32,9 @@ class Inputs:
 
     @cached_property
     def kept_trips(self) -> DataFrame:
-        """Processed trips as a table, for queries that read them more than once."""
+        """Processed trips, as a table for queries that read them more than once."""
+        if not self.keep_trips:
+            return self.trips
         return stage(self.trips.select(*TRIP_COLUMNS), "trips")
 
     @cached_property

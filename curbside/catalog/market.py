@@ -20,6 +20,7 @@ CELL = "scenario, platform, zone, day, hour"
           {r4('CASE WHEN g.PULocationID IS NOT NULL THEN g.baseline_fare ELSE 5.0::DOUBLE * f.price_per_mile + f.intercept END')} AS fare
         FROM edges e CROSS JOIN graph_fit f
         LEFT JOIN graph g ON g.PULocationID = e.DOLocationID AND g.DOLocationID = e.PULocationID""",
+    one_pass=True,
 )
 def fare_lookup(t):
     """Fare of the way back on every edge; where no trip went that way, the default fare."""
@@ -28,7 +29,7 @@ def fare_lookup(t):
     return out.withColumn("fare", round4("fare"))
 
 
-@query("k3_dense_fares", f"SELECT zone, dest, {r4('fare')} AS fare FROM fares")
+@query("k3_dense_fares", f"SELECT zone, dest, {r4('fare')} AS fare FROM fares", one_pass=True)
 def dense_fares(t):
     return t.fares.select("zone", "dest", round4("fare").alias("fare"))
 
@@ -153,6 +154,7 @@ def next_inventory(t):
     "k12_initial_inventory",
     f"""SELECT platform, PULocationID AS zone, {r4('CAST(fleet_size AS DOUBLE) / (SELECT count(*) FROM zones)')} AS n_taxis
         FROM fleet CROSS JOIN zones""",
+    one_pass=True,
 )
 def initial_inventory(t):
     return market.initial_inventory(t.zone_ids, FLEET).withColumn("n_taxis", round4("n_taxis"))
@@ -164,12 +166,12 @@ DRAWN = f"""SELECT t.trip_key, t.zone, c.dests[1 + least(len(list_filter(c.cdf,
           FROM cdf GROUP BY 1, 2, 3) c USING (zone, day, hour)"""
 
 
-@query("d8_inverse_cdf", DRAWN.replace("t.zone, c.dests", "t.zone, t.day, t.hour, c.dests"))
+@query("d8_inverse_cdf", DRAWN.replace("t.zone, c.dests", "t.zone, t.day, t.hour, c.dests"), one_pass=True)
 def inverse_cdf(t):
     return _drawn(t).select("trip_key", "zone", "day", "hour", "dest")
 
 
-@query("k13_assigned_destinations", DRAWN)
+@query("k13_assigned_destinations", DRAWN, one_pass=True)
 def assigned_destinations(t):
     return _drawn(t).select("trip_key", "zone", "dest")
 
@@ -237,6 +239,7 @@ def menu_lookup(t):
     "i10_fleet_split",
     "SELECT platform, fleet_size, (SELECT CAST(sum(fleet_size) AS BIGINT) FROM fleet) AS total, "
     "(SELECT count(*) FROM zones) AS zones FROM fleet",
+    one_pass=True,
 )
 def fleet_split(t):
     n_zones = t.zone_ids.agg(F.count("*")).scalar()

@@ -13,12 +13,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of `Inputs` under `name`; `sql` may use the tables of `catalog.sql`."""
+def query(name: str, sql: str | None = None, one_pass: bool = False):
+    """Register a function of `Inputs` under `name`; `sql` may use the tables of `catalog.sql`.
+
+    `one_pass` marks queries that read the processed trips once and so need no table of them.
+    """
 
     def add(fn: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Inputs(spark, sf_dir))
+            return fn(Inputs(spark, sf_dir, keep_trips=not one_pass))
 
         QUERIES[name] = run
         if sql is not None:

@@ -243,6 +243,6 @@ def appended_phases(t):
     return before.unionByName(freeze).unionByName(after).withColumn("profit", round2("profit"))
 
 
-@query("g1_sorted_graph", "SELECT * FROM graph ORDER BY PULocationID, DOLocationID")
+@query("g1_sorted_graph", "SELECT * FROM graph ORDER BY PULocationID, DOLocationID", one_pass=True)
 def sorted_graph(t):
     return t.graph.orderBy("PULocationID", "DOLocationID")

@@ -50,6 +50,7 @@ def activated_arms(t):
     """SELECT PULocationID, day_of_week, sum(num_trips) AS trips, count(*) AS hours_seen,
        24 - count(*) AS hours_missing, max(request_hour) AS last_hour
        FROM (SELECT PULocationID, day_of_week, request_hour, sum(num_trips) AS num_trips FROM counts GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    one_pass=True,
 )
 def array_functions(t):
     """The day's hours as one array per zone: list, count below, running total, explode."""

@@ -25,7 +25,7 @@ def parquet_read(t):
     return kept.groupBy("PULocationID", "DOLocationID", "day_of_week", "request_hour").agg(F.count("*").alias("n"))
 
 
-@query("a3_csv_scan", "SELECT * FROM graph")
+@query("a3_csv_scan", "SELECT * FROM graph", one_pass=True)
 def csv_scan(t):
     path = staged_path(t.spark, "graph-csv")
     tables.write_csv(t.graph, path)

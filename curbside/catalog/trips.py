@@ -153,6 +153,7 @@ def fit_rmse(t):
 @query(
     "e5_whole_graph_fit",
     f"SELECT {r4('intercept')} AS intercept, {r4('price_per_mile')} AS price_per_mile FROM graph_fit",
+    one_pass=True,
 )
 def whole_graph_fit(t):
     return graph.fit_line(t.graph).select(
@@ -160,6 +161,6 @@ def whole_graph_fit(t):
     )
 
 
-@query("e6_baseline_graph", "SELECT * FROM graph")
+@query("e6_baseline_graph", "SELECT * FROM graph", one_pass=True)
 def baseline_graph(t):
     return t.graph

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-NAN = float("nan")
 INF = float("inf")
 
 
@@ -12,6 +11,14 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once per row.
+
+    The optimizer would otherwise copy the expression into a lambda and run it per element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def round_half_up(c, digits: int = 2) -> Column:
     """floor(x * 10^d + 0.5) / 10^d. Null, NaN and infinities pass through unchanged."""
     x = _col(c).cast("double")
@@ -42,15 +49,8 @@ def r6(c) -> Column:
 def ieee_div(n, d) -> Column:
     """Float division that yields +-inf or NaN for a zero divisor, where ANSI mode would raise."""
     n, d = _col(n).cast("double"), _col(d).cast("double")
-    safe = F.when(d != 0.0, d)
-    return (
-        F.when(d != 0.0, n / safe)
-        .when(n.isNull() | d.isNull(), F.lit(None).cast("double"))
-        .when(F.isnan(n), F.lit(NAN))
-        .when(n > 0.0, F.lit(INF))
-        .when(n < 0.0, F.lit(-INF))
-        .otherwise(F.lit(NAN))
-    )
+    # anything times infinity has the sign, the NaN and the null that division by zero asks for
+    return F.when(d != 0.0, n / d).when(d.isNotNull(), n * F.lit(INF))
 
 
 def clip_low(c, low: float) -> Column:
@@ -70,30 +70,16 @@ def first_number(*cols, default: float = 0.0) -> Column:
     return F.coalesce(*[F.nanvl(_col(c).cast("double"), nothing) for c in cols], F.lit(default))
 
 
-def mean_of_cents(c, when: Column | None = None) -> Column:
-    """Mean of an amount already rounded to cents.
+def mean_cents_rounded(c, when: Column | None = None) -> Column:
+    """Mean of an amount already in whole cents, rounded half up to cents.
 
-    Finite amounts are added as whole cents, so the result does not depend on the order in
-    which partial sums meet; non-finite amounts still spread as they do in a float mean.
+    Finite amounts are added as whole cents, so the result does not depend on the order in which
+    partial sums meet; non-finite amounts spread as they do in a float mean.
     """
     x = _col(c).cast("double")
     if when is not None:
         x = F.when(when, x)
     finite = F.abs(x) < 9e13
-    cents = F.when(finite, F.round(x * 100.0).cast("bigint"))
-    odd = F.when(~finite, x)
-    return F.when(
-        F.count(x) > 0,
-        (F.coalesce(F.sum(cents), F.lit(0)) / 100.0 + F.coalesce(F.sum(odd), F.lit(0.0))) / F.count(x),
-    )
-
-
-def mean_cents_rounded(c, when: Column | None = None) -> Column:
-    """`mean_of_cents` rounded half up to whole cents without leaving exact arithmetic."""
-    x = _col(c).cast("double")
-    if when is not None:
-        x = F.when(when, x)
-    finite = F.abs(x) < 9e13
     cents = F.sum(F.when(finite, F.round(x * 100.0).cast("bigint")))
     odd = F.sum(F.when(~finite, x))
     n = F.count(x)

@@ -82,7 +82,7 @@ def moving_mean(
     df: DataFrame, keys: list[str], index: str, value: str, out: str, before: int, after: int,
     pad: bool = False, size: int = BLOCK,
 ) -> DataFrame:
-    """Mean over the `before` rows ahead, the row itself and the `after` rows behind it.
+    """Mean over the `before` preceding rows, the row itself and the `after` following rows.
 
     `index` is a 0-based dense position (`dense_index`). Rows near a block edge are copied to the
     neighbour block as a halo. With `pad` the ends repeat the first and last value; without it,

@@ -94,12 +94,12 @@ def priced_trips(trips: DataFrame, graph: DataFrame, fit: DataFrame, theta: floa
         trips = trips.where(F.col("trip_miles") > 0)
     a = F.col("a")
     per_mile = ieee_div(F.col("base_fare") - a, F.col("trip_miles"))
-    ratio = ieee_div(per_mile * F.col("baseline_distance") + a, F.col("baseline_fare"))
-    surge = F.when(F.col("baseline_fare") > 0, clip_low(ratio, 1.0)).otherwise(F.lit(1.0))
+    ratio = (per_mile * F.col("baseline_distance") + a) / F.col("baseline_fare")
+    surge = F.when(F.col("baseline_fare") > 0, ratio).otherwise(F.lit(1.0))
     return (
         trips.join(edges, ["PULocationID", "DOLocationID"], "left")
         .withColumn("a", fit.select("intercept").scalar())
-        .withColumn("implied_surge", surge)
+        .withColumn("implied_surge", clip_low(surge, 1.0))
         .withColumn("p_accept", F.exp(F.lit(-theta) * (F.col("implied_surge") - 1.0)))
         .drop("a")
     )

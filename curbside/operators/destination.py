@@ -9,6 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from curbside.functions.numeric import let
 from curbside.operators.blocks import dense_index
 from curbside.operators.demand import days_of_week, hours_of_day
 
@@ -145,7 +146,7 @@ def draw_index(cdf, u) -> Column:
     """How many cumulative values lie below `u`, at most the last index."""
     cdf = cdf if isinstance(cdf, Column) else F.col(cdf)
     u = u if isinstance(u, Column) else F.col(u)
-    below = F.size(F.filter(cdf, lambda c: c < u))
+    below = let(u, lambda once: F.size(F.filter(cdf, lambda c: c < once)))
     return F.least(below, F.size(cdf) - 1)
 
 
@@ -250,11 +251,13 @@ def class_rank(p, true_idx) -> Column:
     """1-based rank of the true class in a probability array; equal values rank by lower index."""
     p = p if isinstance(p, Column) else F.col(p)
     t = true_idx if isinstance(true_idx, Column) else F.col(true_idx)
-    mine = F.element_at(p, (t + 1).cast("int"))
-    ahead = F.filter(
-        F.transform(p, lambda x, k: (x > mine) | ((x == mine) & (k < t))), lambda is_ahead: is_ahead
-    )
-    return F.size(ahead) + 1
+
+    def rank(s: Column) -> Column:
+        probs, at = s["p"], s["t"]
+        mine = F.element_at(probs, at + 1)
+        return let(mine, lambda m: F.size(F.filter(probs, lambda x, k: (x > m) | ((x == m) & (k < at)))) + 1)
+
+    return let(F.struct(p.alias("p"), t.cast("int").alias("t")), rank)
 
 
 def first_argmax(p) -> Column:
@@ -291,12 +294,16 @@ def evaluate_distribution(dist: DataFrame, counts: DataFrame, floor: float = 1e-
 
 
 def evaluate_scored_rows(scored: DataFrame, label: str = "label", floor: float = 1e-15) -> DataFrame:
-    """The same measures for rows that carry a probability array and the true class index."""
-    prob = vector_to_array("probability")
-    rows = scored.select(prob.alias("p"), F.col(label).cast("int").alias("t"))
-    mine = F.element_at("p", F.col("t") + 1)
-    rows = rows.select(
-        F.least(F.greatest(mine, F.lit(floor)), F.lit(1.0 - floor)).alias("q"), class_rank("p", "t").alias("rank")
+    """The same measures for rows that carry a probability vector and the true class index."""
+    row = F.struct(vector_to_array("probability").alias("p"), F.col(label).cast("int").alias("t"))
+    judged = let(
+        row,
+        lambda s: F.struct(
+            F.element_at(s["p"], s["t"] + 1).alias("mine"), class_rank(s["p"], s["t"]).alias("rank")
+        ),
+    )
+    rows = scored.select(judged.alias("j")).select(
+        F.least(F.greatest(F.col("j.mine"), F.lit(floor)), F.lit(1.0 - floor)).alias("q"), F.col("j.rank").alias("rank")
     )
     return rows.agg(
         F.avg(-F.log("q")).alias("log_loss"),
