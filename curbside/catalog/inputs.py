@@ -129,7 +129,7 @@ class Inputs:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return market.match(self.split, self.inventory)
+        return stage(market.match(self.split, self.inventory), "matched")
 
     @cached_property
     def relocation(self) -> DataFrame:

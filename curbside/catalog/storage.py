@@ -37,7 +37,7 @@ def parquet_sink(t):
     """Processed trips partitioned by date, read back with the date as a partition column."""
     path = staged_path(t.spark, "trips-by-date")
     month = F.trunc("request_date", "month").alias("month")
-    tables.write_parquet(t.trips.select("*", month).repartition("month"), path, partition_by=["month"])
+    tables.write_parquet(t.trips.select("*", month), path, partition_by=["month"])
     return tables.read_parquet(t.spark, path).groupBy("request_date").agg(F.count("*").alias("trips"))
 
 

@@ -140,12 +140,53 @@ def route_trips(matched: DataFrame, dest_prob: DataFrame) -> DataFrame:
     )
 
 
-def arrivals(matched: DataFrame, dest_prob: DataFrame) -> DataFrame:
-    """Expected arrivals per platform and destination."""
+def arrivals(matched: DataFrame, dest_prob: DataFrame, scenarios_per_task: int = 256) -> DataFrame:
+    """Expected arrivals per platform and destination: `route_trips` summed over the origins.
+
+    Written out, the flows are as many rows as cells times destinations. Here each hour of the
+    week is a matrix product of matched trips and destination probabilities, split by scenario
+    into groups of bounded size, and only its result is emitted. `matched` should be staged.
+    """
+    n_scenarios = matched.select("scenario").distinct().count()
+    groups = max(1, -(-n_scenarios // scenarios_per_task))
+    moving = matched.where(F.col("matched") > 0).select(
+        "scenario", "platform", "zone", "day", "hour", "matched", F.pmod(F.hash("scenario"), F.lit(groups)).alias("part")
+    )
+    probs = dest_prob.select(
+        *SLOT, "dest", "p", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part")
+    )
+
+    def product(trips: pd.DataFrame, chances: pd.DataFrame) -> pd.DataFrame:
+        if trips.empty or chances.empty:
+            kinds = {"scenario": "str", "platform": "int32", "zone": "int32", "day": "int32", "hour": "int32"}
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in {**kinds, "arrivals": "float64"}.items()})
+        origins = pd.Index(chances["zone"].unique())
+        dests = pd.Index(chances["dest"].unique())
+        chance = np.zeros((len(origins), len(dests)))
+        np.add.at(chance, (origins.get_indexer(chances["zone"]), dests.get_indexer(chances["dest"])), chances["p"])
+        sides = pd.MultiIndex.from_frame(trips[["scenario", "platform"]])
+        rows, sides = sides.factorize()
+        cols = origins.get_indexer(trips["zone"])
+        known = cols >= 0
+        amount = np.zeros((len(sides), len(origins)))
+        np.add.at(amount, (rows[known], cols[known]), trips["matched"].to_numpy()[known])
+        flow = amount @ chance
+        out = pd.DataFrame(
+            {
+                "scenario": np.repeat(sides.get_level_values(0).to_numpy(), len(dests)),
+                "platform": np.repeat(sides.get_level_values(1).to_numpy(), len(dests)),
+                "zone": np.tile(dests.to_numpy(), len(sides)),
+                "arrivals": flow.ravel(),
+            }
+        )
+        out["day"], out["hour"] = trips["day"].iloc[0], trips["hour"].iloc[0]
+        return out[out["arrivals"] > 0]
+
+    key = ["day", "hour", "part"]
     return (
-        route_trips(matched, dest_prob)
-        .groupBy("scenario", "platform", F.col("dest").alias("zone"), "day", "hour")
-        .agg(F.sum("flow").alias("arrivals"))
+        moving.groupBy(*key)
+        .cogroup(probs.groupBy(*key))
+        .applyInPandas(product, "scenario string, platform int, zone int, day int, hour int, arrivals double")
     )
 
 

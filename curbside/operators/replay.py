@@ -125,8 +125,8 @@ def settle(
 
 def advance(chunks: DataFrame, fold: Callable[[], Column], width: int, ids=IDS) -> DataFrame:
     """Final `values` per arm, carrying the state through the chunks in order. `chunks` must be staged."""
-    state = None
-    for k in range(_last_chunk(chunks) + 1):
+    state, last = None, _last_chunk(chunks)
+    for k in range(last + 1):
         now = chunks.where(F.col("chunk") == k)
         now = now.withColumn("start", _zeros(width)) if state is None else now.join(
             state.withColumnRenamed("values", "start"), ids
@@ -134,7 +134,7 @@ def advance(chunks: DataFrame, fold: Callable[[], Column], width: int, ids=IDS)
         done = now.withColumn("values", fold()).select(*ids, "values")
         if state is not None:
             done = done.unionByName(state.join(now.select(*ids), ids, "left_anti"))
-        state = done if _last_chunk(chunks) == 0 else stage(done, "replay-state")
+        state = done if last == 0 else stage(done, "replay-state")
     return state
 
 

@@ -92,5 +92,5 @@ def workflow(trips: DataFrame, keys: list[str], folder: str, sample_size: int =
     model.save(folder)
     write_parquet(model.weights(), f"{folder}/weights")
     grid = model.score(dest.slot_grid(model.domains["PULocationID"]))
-    write_parquet(grid.repartition("day_of_week"), f"{folder}/slot_scores", partition_by=["day_of_week"])
+    write_parquet(grid, f"{folder}/slot_scores", partition_by=["day_of_week"])
     return model, measures

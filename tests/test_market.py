@@ -77,6 +77,16 @@ def test_revenue_without_flows_equals_revenue_over_flows(spark, world):
     assert math.isclose(short, long, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("per_task", [1, 256])
+def test_arrivals_equal_summed_flows(world, per_task):
+    _, demand, policy, dest_prob, inventory = world
+    matched = market.match(market.split_demand(demand, market.choice_shares(policy)), inventory)
+    got = {tuple(r[:5]): r[5] for r in market.arrivals(matched, dest_prob, per_task).select("scenario", "platform", "zone", "day", "hour", "arrivals").collect()}
+    flows = market.route_trips(matched, dest_prob).groupBy("scenario", "platform", "dest", "day", "hour").agg(F.sum("flow"))
+    want = {tuple(r[:5]): r[5] for r in flows.collect() if r[5] > 0}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 def test_thinned_demand(spark):
     demand = spark.createDataFrame([(1, 0, 0, 10.0)], "zone int, day int, hour int, demand double")
     policy = spark.createDataFrame([("a", 0, 1, 0, 0, 1.5), ("a", 0, 2, 0, 0, 1.5)], "scenario string, platform int, zone int, day int, hour int, multiplier double")
