@@ -4,17 +4,19 @@ from pyspark.sql import functions as F
 
 from curbside.catalog.registry import query
 from curbside.catalog.sql import r2, r4
+from curbside.functions import calendar
 from curbside.functions.numeric import clip, clip_low, first_number, r2 as round2, r4 as round4
 from curbside.operators import demand
+from curbside.operators.market import acceptance
 from curbside.sources.staging import stage
 
 GRID = """(SELECT d.request_date, d.day_of_week, CAST(h.range AS INT) AS request_hour, z.PULocationID
            FROM dates d CROSS JOIN zones z CROSS JOIN range(24) h)"""
 
 
-@query("e7_calendar_days", "SELECT DISTINCT request_date, day_of_week FROM trips")
+@query("e7_calendar_days", "SELECT DISTINCT CAST(request_date AS VARCHAR) AS request_date, day_of_week FROM trips")
 def calendar_days(t):
-    return demand.calendar_days(t.trips)
+    return demand.calendar_days(t.trips).withColumn("request_date", F.col("request_date").cast("string"))
 
 
 @query("e8_pickup_zones", "SELECT DISTINCT PULocationID FROM trips")
@@ -22,14 +24,14 @@ def pickup_zones(t):
     return demand.pickup_zones(t.trips)
 
 
-@query("e9_hourly_counts", "SELECT * FROM counts")
+@query("e9_hourly_counts", "SELECT * REPLACE (CAST(request_date AS VARCHAR) AS request_date) FROM counts")
 def hourly_counts(t):
-    return demand.hourly_counts(t.trips)
+    return demand.hourly_counts(t.trips).withColumn("request_date", F.col("request_date").cast("string"))
 
 
-@query("d2_date_zone_grid", "SELECT request_date, day_of_week, PULocationID FROM dates CROSS JOIN zones", one_pass=True)
+@query("d2_date_zone_grid", "SELECT CAST(request_date AS VARCHAR) AS request_date, day_of_week, PULocationID FROM dates CROSS JOIN zones", one_pass=True)
 def date_zone_grid(t):
-    return demand.date_zone_grid(t.counts)
+    return demand.date_zone_grid(t.counts).withColumn("request_date", F.col("request_date").cast("string"))
 
 
 @query(
@@ -43,7 +45,7 @@ def hourly_grid(t):
 
 @query(
     "d3_zero_filled_counts",
-    f"""SELECT g.PULocationID, g.request_hour, sum(coalesce(c.num_trips, 0)) AS num_trips, count(*) AS cells,
+    f"""SELECT g.PULocationID, g.request_hour, CAST(sum(coalesce(c.num_trips, 0)) AS BIGINT) AS num_trips, count(*) AS cells,
         count(*) FILTER (WHERE c.num_trips IS NULL) AS empty_cells
         FROM {GRID} g LEFT JOIN counts c USING (request_date, day_of_week, request_hour, PULocationID) GROUP BY 1, 2""",
 )
@@ -144,6 +146,33 @@ def dense_demand(t):
     return t.demand.withColumn("demand", round4("demand"))
 
 
+@query(
+    "i1_date_parts",
+    """SELECT o_orderkey, CAST(extract(day FROM o_orderdate) AS INT) AS day, CAST(extract(hour FROM asked) AS INT) AS hour,
+       CAST((extract(day FROM o_orderdate) + 3) % 7 AS INT) AS formula_day_of_week, CAST(extract(dow FROM asked) AS INT) AS day_of_week,
+       CAST((epoch_us(asked) - epoch_us(o_orderdate)) // 1000000 AS BIGINT) AS seconds
+       FROM (SELECT *, o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 24 AS INT) AS asked FROM orders)""",
+)
+def date_parts(t):
+    asked = F.expr("o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT))")
+    return t.table("orders").withColumn("asked", asked).select(
+        "o_orderkey",
+        F.dayofmonth("o_orderdate").alias("day"),
+        F.hour("asked").alias("hour"),
+        calendar.weekday_from_day_of_month(F.col("o_orderdate")).alias("formula_day_of_week"),
+        calendar.weekday(F.col("asked")).alias("day_of_week"),
+        calendar.whole_seconds_between("o_orderdate", "asked").alias("seconds"),
+    )
+
+
+@query(
+    "i2_exponential",
+    f"""SELECT event_id, {r4('exp(-0.4 * (value / 10 - 1.0))')} AS acceptance FROM events""",
+)
+def exponential(t):
+    return t.table("events").select("event_id", round4(acceptance(F.col("value") / 10)).alias("acceptance"))
+
+
 @query(
     "i3_rounding",
     f"""SELECT trip_key, {r2('base_passenger_fare')} AS fare_cents, {r2('bcf')} AS bcf_cents,

@@ -14,7 +14,7 @@ IDS = ["PULocationID", "day_of_week", "request_hour", "DOLocationID"]
 
 def _domain_sql(column: str) -> str:
     return (
-        f"SELECT '{column}' AS domain, {column} AS id, row_number() OVER (ORDER BY {column}) - 1 AS idx "
+        f"SELECT '{column}' AS domain, {column} AS id, CAST(row_number() OVER (ORDER BY {column}) - 1 AS INT) AS idx "
         f"FROM (SELECT DISTINCT {column} FROM trips)"
     )
 
@@ -70,7 +70,7 @@ def running_cdf(t):
 
 
 RANKED = (
-    "SELECT *, row_number() OVER (PARTITION BY PULocationID, day_of_week, request_hour ORDER BY p DESC, DOLocationID) AS rank FROM dist"
+    "SELECT *, CAST(row_number() OVER (PARTITION BY PULocationID, day_of_week, request_hour ORDER BY p DESC, DOLocationID) AS INT) AS rank FROM dist"
 )
 
 

@@ -56,7 +56,7 @@ class Inputs:
 
     @cached_property
     def zones(self) -> DataFrame:
-        return demand.pickup_zones(self.counts)
+        return stage(demand.pickup_zones(self.counts), "zones")
 
     @cached_property
     def historical(self) -> DataFrame:
@@ -104,7 +104,7 @@ class Inputs:
 
     @cached_property
     def policy(self) -> DataFrame:
-        return adapters.policy(self.zone_ids, adapters.scenarios(self.spark, self.sf_dir))
+        return stage(adapters.policy(self.zone_ids, adapters.scenarios(self.spark, self.sf_dir)), "policy")
 
     @cached_property
     def inventory(self) -> DataFrame:

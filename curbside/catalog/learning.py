@@ -64,7 +64,7 @@ def expected_multipliers(t):
     return out.select("arm", round6("multiplier").alias("multiplier"))
 
 
-FIRM_WEIGHTS = """(SELECT a.firm_id, a.zone, b.range AS action, 0.1 * coalesce(sum(
+FIRM_WEIGHTS = """(SELECT a.firm_id, a.zone, CAST(b.range AS INT) AS action, 0.1 * coalesce(sum(
         CASE WHEN s.n_taxis > 0 THEN greatest(0.0, least(1.0, s.reward / s.n_taxis / 270.0)) ELSE 0.0 END / s.prob), 0) AS log_w
       FROM (SELECT DISTINCT firm_id, zone FROM firm_log) a CROSS JOIN range(5) b
       LEFT JOIN (SELECT * FROM firm_log WHERE {where}) s ON s.firm_id = a.firm_id AND s.zone = a.zone AND s.action = b.range

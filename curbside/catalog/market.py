@@ -131,7 +131,7 @@ NEXT = f"""SELECT scenario, platform, zone,
     GROUP BY 1, 2, 3, 4, 5"""
 
 
-@query("h2_arrivals_and_relocations", f"SELECT scenario, platform, sum(n_rows) AS n_rows, {r4('sum(taxis)')} AS taxis FROM "
+@query("h2_arrivals_and_relocations", f"SELECT scenario, platform, CAST(sum(n_rows) AS BIGINT) AS n_rows, {r4('sum(taxis)')} AS taxis FROM "
        "(SELECT scenario, platform, count(*) AS n_rows, sum(arrivals) AS taxis FROM arrivals GROUP BY 1, 2 UNION ALL "
        "SELECT i.scenario, i.platform, count(*), sum(i.idle * r.p) FROM "
        "(SELECT scenario, platform, day, hour, sum(idle) AS idle FROM matched GROUP BY 1, 2, 3, 4) i "
@@ -189,7 +189,7 @@ def _drawn(t):
 
 @query(
     "e17_origin_destination_totals",
-    f"""SELECT zone, {r4('sum(revenue)')} AS revenue, sum(arrivals) AS arrivals FROM (
+    f"""SELECT zone, {r4('sum(revenue)')} AS revenue, CAST(sum(arrivals) AS BIGINT) AS arrivals FROM (
           SELECT d.zone, f.fare AS revenue, 0 AS arrivals FROM ({DRAWN}) d JOIN fares f ON f.zone = d.zone AND f.dest = d.dest
           UNION ALL SELECT d.dest, 0, 1 FROM ({DRAWN}) d) GROUP BY 1""",
 )
@@ -200,7 +200,7 @@ def origin_destination_totals(t):
 
 @query(
     "k14_sampled_counts",
-    f"""SELECT replication, zone, day, hour, CAST(count(*) FILTER (WHERE cdf < u) AS BIGINT) AS requests FROM (
+    f"""SELECT CAST(replication AS INT) AS replication, zone, day, hour, CAST(count(*) FILTER (WHERE cdf < u) AS BIGINT) AS requests FROM (
           SELECT r.range AS replication, d.zone, d.day, d.hour, k.range AS k,
             {unit("concat_ws(':', r.range, d.zone, d.day, d.hour)")} AS u,
             sum(CASE WHEN d.demand > 0 THEN exp(k.range * ln(d.demand) - d.demand - lgamma(k.range + 1))
@@ -237,7 +237,7 @@ def menu_lookup(t):
 
 @query(
     "i10_fleet_split",
-    "SELECT platform, fleet_size, (SELECT CAST(sum(fleet_size) AS BIGINT) FROM fleet) AS total, "
+    "SELECT platform, CAST(fleet_size AS BIGINT) AS fleet_size, (SELECT CAST(sum(fleet_size) AS BIGINT) FROM fleet) AS total, "
     "(SELECT count(*) FROM zones) AS zones FROM fleet",
     one_pass=True,
 )

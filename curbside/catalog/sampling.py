@@ -47,8 +47,8 @@ def activated_arms(t):
 
 @query(
     "i11_array_functions",
-    """SELECT PULocationID, day_of_week, sum(num_trips) AS trips, count(*) AS hours_seen,
-       24 - count(*) AS hours_missing, max(request_hour) AS last_hour
+    """SELECT PULocationID, day_of_week, CAST(sum(num_trips) AS BIGINT) AS trips, CAST(count(*) AS INT) AS hours_seen,
+       CAST(24 - count(*) AS INT) AS hours_missing, max(request_hour) AS last_hour
        FROM (SELECT PULocationID, day_of_week, request_hour, sum(num_trips) AS num_trips FROM counts GROUP BY 1, 2, 3) GROUP BY 1, 2""",
     one_pass=True,
 )

@@ -191,7 +191,7 @@ TABLES: dict[str, str] = {
           list_extract({MENU}, 1 + {ACTION}) AS multiplier
         FROM events""",
     "weights": """
-        SELECT a.arm, b.range AS action, 0.1 * coalesce(sum(s.r / s.prob), 0) AS log_w
+        SELECT a.arm, CAST(b.range AS INT) AS action, 0.1 * coalesce(sum(s.r / s.prob), 0) AS log_w
         FROM (SELECT DISTINCT arm FROM decisions) a CROSS JOIN range(5) b
         LEFT JOIN scaled s ON s.arm = a.arm AND s.action = b.range GROUP BY 1, 2""",
     "timeline": """

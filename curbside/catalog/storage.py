@@ -32,13 +32,13 @@ def csv_scan(t):
     return tables.read_csv(t.spark, path, schemas.GRAPH)
 
 
-@query("a4_parquet_sink", "SELECT request_date, count(*) AS trips FROM trips GROUP BY 1")
+@query("a4_parquet_sink", "SELECT CAST(request_date AS VARCHAR) AS request_date, count(*) AS trips FROM trips GROUP BY 1")
 def parquet_sink(t):
     """Processed trips partitioned by date, read back with the date as a partition column."""
     path = staged_path(t.spark, "trips-by-date")
     month = F.trunc("request_date", "month").alias("month")
     tables.write_parquet(t.trips.select("*", month), path, partition_by=["month"])
-    return tables.read_parquet(t.spark, path).groupBy("request_date").agg(F.count("*").alias("trips"))
+    return tables.read_parquet(t.spark, path).groupBy(F.col("request_date").cast("string")).agg(F.count("*").alias("trips"))
 
 
 @query(

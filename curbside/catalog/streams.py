@@ -14,7 +14,7 @@ ASKED = "(o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 24 AS INT))"
 
 @query(
     "m1_hourly_requests",
-    f"""SELECT hour_start, PULocationID, num_trips FROM (
+    f"""SELECT strftime(hour_start, '%Y-%m-%d %H:%M:%S') AS hour_start, PULocationID, num_trips FROM (
           SELECT date_trunc('hour', {ASKED}) AS hour_start, c_nationkey + 1 AS PULocationID, count(*) AS num_trips
           FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
         WHERE hour_start + INTERVAL '1' HOUR <= (SELECT max({ASKED}) - INTERVAL '2' HOUR FROM orders)""",
@@ -29,7 +29,7 @@ def hourly_requests(t):
     path = staged_path(t.spark, "hourly-requests")
     live.append_to(live.hourly_requests(trips), path, staged_path(t.spark, "stream-state")).awaitTermination()
     out = t.spark.read.schema("hour_start TIMESTAMP, PULocationID INT, num_trips BIGINT").parquet(path)
-    return out.withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
+    return out.withColumn("hour_start", F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("m2_running_weights", f"SELECT arm, action, {r4('log_w')} AS log_w FROM weights WHERE (arm, action) IN (SELECT (arm, action) FROM decisions)")

@@ -17,9 +17,9 @@ def waiting_time(t):
     return t.trips.select(KEY, "waiting_time")
 
 
-@query("b2_request_date", "SELECT trip_key, request_date, CAST(extract(day FROM request_date) AS INT) AS day_of_month FROM trips")
+@query("b2_request_date", "SELECT trip_key, CAST(request_date AS VARCHAR) AS request_date, CAST(extract(day FROM request_date) AS INT) AS day_of_month FROM trips")
 def request_date(t):
-    return t.trips.select(KEY, "request_date", F.dayofmonth("request_date").alias("day_of_month"))
+    return t.trips.select(KEY, F.col("request_date").cast("string"), F.dayofmonth("request_date").alias("day_of_month"))
 
 
 @query(
@@ -54,11 +54,13 @@ def driver_income(t):
 
 @query(
     "b8_processed_trips",
-    "SELECT trip_key, PULocationID, DOLocationID, trip_miles, trip_time, waiting_time, request_date, day_of_week, "
+    "SELECT trip_key, PULocationID, DOLocationID, trip_miles, trip_time, waiting_time, CAST(request_date AS VARCHAR) AS request_date, day_of_week, "
     f"request_hour, base_fare, {r4('congestion_tax')} AS congestion_tax, driver_income FROM trips",
 )
 def processed_trips(t):
-    return t.trips.withColumn("congestion_tax", round4("congestion_tax"))
+    return t.trips.withColumns(
+        {"congestion_tax": round4("congestion_tax"), "request_date": F.col("request_date").cast("string")}
+    )
 
 
 @query("b9_column_subset", "SELECT PULocationID, day_of_week, request_hour, DOLocationID FROM trips")
@@ -66,7 +68,7 @@ def column_subset(t):
     return t.trips.select("PULocationID", "day_of_week", "request_hour", "DOLocationID")
 
 
-@query("b10_hour_list", "SELECT PULocationID, len(range(24)) AS n_hours, list_sum(range(24)) AS sum_hours FROM zones")
+@query("b10_hour_list", "SELECT PULocationID, CAST(len(range(24)) AS INT) AS n_hours, CAST(list_sum(range(24)) AS INT) AS sum_hours FROM zones")
 def hour_list(t):
     listed = t.trips.select("PULocationID").distinct().withColumn("request_hour", hours_of_day())
     total = F.aggregate("request_hour", F.lit(0), lambda a, x: a + x)

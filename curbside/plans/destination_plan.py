@@ -58,8 +58,8 @@ class DestinationModel:
 
 
 def prepare(trips: DataFrame, keys: list[str], sample_size: int = SAMPLE_SIZE, seed: int = 42) -> DataFrame:
-    """The sampled trips with their split, staged: at most `sample_size` rows."""
-    rows = stage(trips.select(*keys, *dest.SLOT, dest.TARGET), "destination-rows")
+    """The sampled trips with their split, staged: at most `sample_size` rows. `trips` is read twice."""
+    rows = trips.select(*keys, *dest.SLOT, dest.TARGET)
     return stage(split_rows(sample_rows(rows, sample_size, keys, seed), keys, seed=seed), "destination-split")
 
 

@@ -25,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/curbside/{label}-{uuid.uuid4().hex}"
+    """A new path under this application's own folder, which may be deleted once the application has ended."""
+    return f"{shared_folder(spark)}/curbside/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str = "table") -> DataFrame:

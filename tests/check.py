@@ -23,6 +23,22 @@ def oracle(sf_dir: str, sql: str) -> pd.DataFrame:
     return con.execute(sql).df()
 
 
+# Spark and SQL names of the same type
+SAME_TYPE = {
+    "string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_differences(schema, sf_dir: str, sql: str) -> list[str]:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    want = dict((r[0], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall())
+    mine = {f.name: SAME_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in schema.fields}
+    return [f"{c}: {mine[c]} != {want.get(c)}" for c in mine if mine[c] != want.get(c)]
+
+
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) or v is pd.NA:
@@ -68,12 +84,14 @@ def main() -> int:
             continue
         start = time.time()
         try:
-            got = run(spark, sf_dir).toPandas()
+            df = run(spark, sf_dir)
+            got = df.toPandas()
             took = time.time() - start
             sql = entry.oracle_sql().get(name)
+            types = type_differences(df.schema, sf_dir, sql) if sql else []
             problem = difference(got, oracle(sf_dir, sql)) if sql else None
             state = "ok" if problem is None else "WRONG"
-            note = problem or ("" if sql else "(rows only)")
+            note = " ".join([problem or ("" if sql else "(rows only)"), *types])
         except Exception as e:  # report and go on with the next query
             took, state, note, got = time.time() - start, "ERROR", str(e)[:700], []
         bad += state != "ok"
