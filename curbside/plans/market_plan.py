@@ -22,8 +22,8 @@ def evaluate_policies(
     policy: DataFrame, inventory: DataFrame, latent: DataFrame, dest_prob: DataFrame, edges: DataFrame,
     theta: float = THETA,
 ) -> MarketStep:
-    """Expected outcome of every scenario. `edges` and `dest_prob` should be staged."""
-    zones = latent.select("PULocationID").distinct()
+    """Expected outcome of every scenario. All inputs are read more than once, so they should be tables."""
+    zones = stage(latent.select("PULocationID").distinct(), "zones")
     demand = stage(densify_demand(demand_lookup(latent), zones), "demand")
     fares = graph.densify_fares(edges, zones, graph.fit_line(edges))
     shares = market.choice_shares(policy, theta)
