@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from curbside.llm import exact_dedup, packing, pii, token_counts
+from curbside.llm import exact_dedup, language_id, minhash, packing, pii, sentencepiece, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded into pieces and decoded again."""
+    encoded = sentencepiece.encode_documents(table(spark, sf_dir, "documents"), PIECES)
+    return sentencepiece.decode_documents(encoded, PIECES).select(
+        "doc_id", "n_tokens", "n_bytes", F.crc32("ids").alias("ids_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document the one that stays of its equal texts."""
@@ -52,6 +62,24 @@ FROM d WINDOW g AS (PARTITION BY h)
 """
 
 
+def fold(doc_id: str, folds: int):
+    """The remainder by which rows are held out of training; rows without doc_id have none."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def language_model(spark: SparkSession, docs: DataFrame) -> language_id.LanguageModel:
+    """Learned from the rows that are not held out."""
+    return language_id.train(docs.where(fold("doc_id", 4) != 2), PIECES)
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict_language(docs, language_model(spark, docs))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram of encoded lengths with totals for each length as a context limit."""
@@ -138,3 +166,21 @@ FROM d LEFT JOIN found USING (doc_id)
 
 
 ORACLES["op7_pii"] = _pii_sql()
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of each document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    model = toxicity.train(docs.select("doc_id", "text").join(learned, "doc_id"))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles have a similarity of 0.85 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity="0.85")
