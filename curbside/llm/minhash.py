@@ -22,7 +22,9 @@ PERMUTATIONS = BANDS * ROWS
 BITS = 4
 LONGS = PERMUTATIONS * BITS // 64
 #: A candidate is compared in full unless its estimate lies this many standard errors below the threshold.
-ERRORS = 6.0
+ERRORS = 4.5
+#: Members of a band that are compared in one step: so many, with so many shingles together.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,21 +137,16 @@ def estimated_similarity(one: Column, other: Column) -> Column:
     return ((1 - differ / F.lit(float(PERMUTATIONS))) - chance) / (1 - chance)
 
 
-def _margin(threshold: float) -> float:
-    chance = 2.0**-BITS
+def _cutoff(least: Fraction) -> float:
+    """Pairs with a lower estimate are taken to be below the threshold."""
+    threshold, chance = float(least), 2.0**-BITS
     equal = threshold + (1 - threshold) * chance
-    return ERRORS * (equal * (1 - equal) / PERMUTATIONS) ** 0.5 / (1 - chance)
-
+    return threshold - ERRORS * (equal * (1 - equal) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
-def _confirmed(pairs: DataFrame, packed: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """Those of `pairs` (a, b; each once) whose full sets are similar enough. packed: node, packed.
 
-    Pairs whose estimate is far too low are left out first. The sets of the documents that remain are made
-    again from their texts, so sets of all documents are never stored.
-    """
-    one, other = packed.select(F.col("node").alias("a"), F.col("packed").alias("pa")), packed.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
-    near = pairs.join(one, "a").join(other, "b").where(estimated_similarity(F.col("pa"), F.col("pb")) >= float(least) - _margin(float(least)))
-    near = stage(near.select("a", "b"), "near-pairs")
+def _full_sets(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node and shingles (the sorted set, 8 bytes each) of the nodes `wanted`, made again from their texts, so
+    that sets of all documents are never stored."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,25 +158,132 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, docs: DataFrame, words: int,
                     names=["node", "shingles"],
                 )
 
+    ids = wanted.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = texts.mapInArrow(collect, "node bigint, shingles binary")
+    return stage(sets.groupBy("node").agg(F.max("shingles").alias("shingles")), "shingle-sets")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
+    both = len(x) + len(y)
+    union = len(np.union1d(x, y))
+    return (both - union) * least.denominator >= union * least.numerator
+
+
+def _confirmed(pairs: DataFrame, packed: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Those of `pairs` (a, b; each once) whose full sets are similar enough. packed: node, packed."""
+    one = packed.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
+    other = packed.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
+    near = pairs.join(one, "a").join(other, "b").where(estimated_similarity(F.col("pa"), F.col("pb")) >= _cutoff(least))
+    near = stage(near.select("a", "b"), "near-pairs")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("one"), batch.column("other")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y)
-                common = both - len(np.union1d(x, y))
-                good.append(common * least.denominator >= (both - common) * least.numerator)
+            good = [
+                _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least)
+                for x, y in zip(batch.column("one"), batch.column("other"))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(collect, "node bigint, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles"))
-    sets = stage(sets, "shingle-sets")
+    sets = _full_sets(near.select(F.explode(F.array("a", "b")).alias("node")), docs, words)
     full = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
     full = full.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
     return stage(full.select("a", "b", "one", "other").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
+def _joining(members: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Links (a, b) between nodes that share a band and lie in different components, enough to join all
+    components that such links join. members: key, node, n, component, bands, packed.
+
+    A member goes on only if some other in its band may be similar enough. What goes on is compared in blocks
+    of a band, inside tasks: no pair leaves a task unless it is a link that joins two components there. A
+    pair that shares several bands is compared in the first of them.
+    """
+    a, b = members.alias("a"), members.alias("b")
+    n_a, n_b = F.col("a.n"), F.col("b.n")
+    partner = (
+        (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.component") != F.col("b.component"))
+        & (F.least(n_a, n_b) * least.denominator >= F.greatest(n_a, n_b) * least.numerator)
+        & (estimated_similarity(F.col("a.packed"), F.col("b.packed")) >= _cutoff(least))
+    )
+    near = stage(a.join(b, partner, "left_semi"), "near-members")
+    sets = _full_sets(near, docs, words)
+    blocks = near.groupBy("key").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    cut = near.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select(
+        "key", F.least("own", "turn").alias("i"), F.greatest("own", "turn").alias("j"), "own", "node", "component", "bands", "packed"
+    ).join(sets, "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            bounds = _group_bounds(held)
+            if len(bounds) > 2:  # the last group may go on in the next batch
+                yield _group_links(held, bounds[:-1], least)
+                held = held.slice(bounds[-2])
+        if held is not None:
+            yield _group_links(held, _group_bounds(held), least)
+
+    sorted_groups = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return stage(sorted_groups.mapInArrow(compare, "a bigint, b bigint"), "joining-links")
+
+
+def _group_bounds(table: pa.Table) -> np.ndarray:
+    parts = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
+    return np.append(np.flatnonzero(np.append(True, (parts[:, 1:] != parts[:, :-1]).any(axis=0))[: table.num_rows]), table.num_rows)
+
+
+def _group_links(table: pa.Table, bounds: np.ndarray, least: Fraction) -> pa.RecordBatch:
+    """For each group of rows: links between members of different components, fewest that join them."""
+    key, i, j, own, node, component = (table[c].to_numpy() for c in ("key", "i", "j", "own", "node", "component"))
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    packed = table["packed"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+    raw = table["shingles"].combine_chunks()
+    width = np.uint64(0x1111111111111111)
+    cutoff, chance, out = _cutoff(least), 2.0**-BITS, []
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        parent = {c: c for c in component[start:end].tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+        place = np.arange(start, end)
+        for x in place[own[start:end] == i[start]] if i[start] != j[start] else place:
+            later = place[own[start:end] == j[start]] if i[start] != j[start] else place[place > x]
+            later = later[component[later] != component[x]]
+            same = bands[later] == bands[x]
+            later = later[bands[later, same.argmax(axis=1)] == key[x]] if len(later) else later
+            if not len(later):
+                continue
+            differ = packed[later] ^ packed[x]
+            differ |= differ >> np.uint64(1)
+            differ |= differ >> np.uint64(2)
+            equal = 1 - np.bitwise_count(differ & width).sum(axis=1) / PERMUTATIONS
+            for y in later[(equal - chance) / (1 - chance) >= cutoff]:
+                p, q = root(int(component[x])), root(int(component[y]))
+                if p == q:
+                    continue
+                for z in (x, y):
+                    if z not in sets:
+                        sets[z] = np.frombuffer(raw[int(z)].as_buffer(), np.uint64)
+                if _similar(sets[x], sets[y], least):
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(node[x]), int(node[y])))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"]
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFrame:
     """For each row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -190,8 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: str = "0.8") ->
     doc_id and text are not read. An empty table gives no rows.
 
     Documents with equal sets are one node. Nodes that share a band are candidates: first each against the
-    smallest and largest node of the band, then, where a band still joins different components, all pairs
-    of nodes in different ones. No pair that could join components is left out.
+    smallest and largest node of the band, then, where a band still holds different components, the nodes
+    of different ones in blocks. No pair that could join components is left out.
     """
     least = Fraction(similarity)
     signed = stage(signatures(docs, words), "signatures")
@@ -210,9 +314,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: str = "0.8") ->
     shared = stage(shared.where("rows > 1").drop("rows"), "shared-bands")
     members = stage(banded.join(shared, "key"), "band-members")
 
-    def sized(a: str, b: str) -> Column:
-        return F.least(a, b) * least.denominator >= F.greatest(a, b) * least.numerator
-
     hubs = members.select("node", "n", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
     first = hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = stage(first, "star-pairs")
@@ -221,12 +322,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: str = "0.8") ->
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = stage(placed.select("key", "node", "n", "component"), "placed-members")
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    rest = stage(placed.join(mixed.select("key"), "key", "left_semi"), "mixed-members")
-    one = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    second = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized("na", "nb"))
-    second = second.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = _confirmed(second, packed, docs, words, least)
+    rest = placed.join(mixed.select("key"), "key", "left_semi").join(nodes.select("node", "bands", "packed"), "node")
+    more = _joining(stage(rest, "mixed-members"), docs, words, least)
     # rows of one doc_id with different sets are one document
     keyed = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_a", "set_b")
     versions = keyed.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("x"), F.max(F.struct("set_a", "set_b")).alias("y"))
