@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from curbside.llm.sentencepiece import MARK, piece_codec
+from curbside.llm.pieces import MARK, piece_codec
 from curbside.llm.text import distinct, slices, split_words
 from curbside.llm.trie import expected_counts, lattice, path_sums
 from curbside.sources.staging import stage

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from curbside.llm import exact_dedup, language_id, minhash, packing, pii, sentencepiece, token_counts, toxicity
+from curbside.llm import exact_dedup, language_id, minhash, packing, pieces, pii, suffix_dedup, token_counts, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,8 +38,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document encoded into pieces and decoded again."""
-    encoded = sentencepiece.encode_documents(table(spark, sf_dir, "documents"), PIECES)
-    return sentencepiece.decode_documents(encoded, PIECES).select(
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), PIECES)
+    return pieces.decode_documents(encoded, PIECES).select(
         "doc_id", "n_tokens", "n_bytes", F.crc32("ids").alias("ids_crc32"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
@@ -62,6 +62,35 @@ FROM d WINDOW g AS (PARTITION BY h)
 """
 
 
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between vectors of one label with a cosine of 0.98 or more."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+ORACLES["op4_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+),
+good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS p, b.vec_id AS q FROM good a JOIN good b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reached AS (
+  SELECT vec_id AS p, vec_id AS q FROM v
+  UNION SELECT r.p, l.q FROM reached r JOIN links l ON r.q = l.p
+),
+named AS (SELECT p AS vec_id, min(q) AS component_id FROM reached GROUP BY p),
+counted AS (SELECT p AS vec_id, count(*) AS n FROM links GROUP BY p)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN named USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
+
 def fold(doc_id: str, folds: int):
     """The remainder by which rows are held out of training; rows without doc_id have none."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
@@ -180,6 +209,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the bytes of strings of 400 bytes that occur elsewhere too."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of three-word shingles have a similarity of 0.85 or more."""
