@@ -8,7 +8,7 @@ anchor occurs twice or more are sorted, those of equal anchors together, equal s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,9 @@ from curbside.sources.staging import stage
 
 GRAM = 64
 #: Bytes of surroundings that are sorted in one step. Anchors with more of them are compared by window.
-SORTED = 2 << 20
-#: Low bits of a composite that hold a place; texts are worked through in runs of at most this many bytes.
-PLACES = 23
+SORTED = 1 << 20
+#: Low bits of a composite that hold a place; texts are worked through in runs of fewer bytes than that.
+PLACES = 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def _runs(part: pa.RecordBatch, length: int) -> Iterator[tuple]:
     """Pieces of texts, and the runs of windows with one anchor: the row and the offset of each text laid into
     `data`, then for each run the place of its anchor, its first and last window, the hash, the text it is in."""
     texts = pc.fill_null(part.column("text"), "").cast(pa.binary())
-    most = (1 << PLACES) - length
+    most = max(1 << 16, 2 * length) - length  # fits the processor's cache
     room: list[tuple[int, int, bytes]] = []
 
     def work() -> tuple:
@@ -107,13 +107,10 @@ def difference_cover_order(text: np.ndarray, need: int) -> np.ndarray:
     n = len(text)
     padded = np.concatenate((text, np.zeros(5, text.dtype)))
     if need <= 1 or n < 4:
-        order = np.lexsort([padded[i : i + n] for i in reversed(range(max(1, min(need, 4))))])
-        keys = np.stack([padded[i : i + n] for i in range(max(1, min(need, 4)))])
-        return _ranks(keys, order)
+        return _ranks(*[padded[i : i + n] for i in range(max(1, min(need, 4)))])
     one, two = np.arange(1, n, 3), np.arange(2, n, 3)
     sample = np.concatenate((one, two))
-    triples = np.stack([padded[sample], padded[sample + 1], padded[sample + 2]])
-    names = _ranks(triples, np.lexsort(triples[::-1]))
+    names = _ranks(padded[sample], padded[sample + 1], padded[sample + 2])
     if need > 3 and len(sample) and names.max() < len(sample) - 1:
         # the two halves are texts of their own, so a closing symbol parts them
         deeper = difference_cover_order(np.concatenate((names[: len(one)] + 2, [1], names[len(one) :] + 2)), -(-need // 3))
@@ -123,19 +120,15 @@ def difference_cover_order(text: np.ndarray, need: int) -> np.ndarray:
     zero = np.arange(0, n, 3)
     # places 0 and 1 by (symbol, rank behind it); places 0 and 2 by (two symbols, rank behind them)
     with_one, with_two = np.concatenate((zero, one)), np.concatenate((zero, two))
-    key_one = np.stack([padded[with_one], rank[with_one + 1]])
-    key_two = np.stack([padded[with_two], padded[with_two + 1], rank[with_two + 2]])
-    rank_one, rank_two = _ranks(key_one, np.lexsort(key_one[::-1])), _ranks(key_two, np.lexsort(key_two[::-1]))
+    rank_one = _ranks(padded[with_one], rank[with_one + 1])
+    rank_two = _ranks(padded[with_two], padded[with_two + 1], rank[with_two + 2])
     z = len(zero)
-    ones, twos = np.sort(rank_one[z:]), np.sort(rank_two[z:])
-    in_sample = np.sort(names)
-    # how many of places 1 and 2 come before each suffix; equal ones share a place through `level`
-    low_zero = np.searchsorted(ones, rank_one[:z]) + np.searchsorted(twos, rank_two[:z])
-    low_sample = np.searchsorted(in_sample, names)
-    zeros_one, zeros_two = np.sort(rank_one[:z]), np.sort(rank_two[:z])
-    before_one = np.searchsorted(zeros_one, rank_one[z:])
-    before_two = np.searchsorted(zeros_two, rank_two[z:])
-    before_zero = np.searchsorted(zeros_one, rank_one[:z])
+    # how many of places 1 and 2 come before each suffix of place 0, and the other way round; equal ones share a place
+    ones, twos, names_below = _below(rank_one[z:]), _below(rank_two[z:]), _below(names)
+    zeros_one, zeros_two = _below(rank_one[:z]), _below(rank_two[:z])
+    low_zero = ones(rank_one[:z]) + twos(rank_two[:z])
+    low_sample = names_below(names)
+    before_one, before_two, before_zero = zeros_one(rank_one[z:]), zeros_two(rank_two[z:]), zeros_one(rank_one[:z])
     out = np.empty(n, np.int64)
     out[zero] = low_zero + before_zero
     out[one] = low_sample[: len(one)] + before_one
@@ -143,12 +136,29 @@ def difference_cover_order(text: np.ndarray, need: int) -> np.ndarray:
     return out
 
 
-def _ranks(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Dense ranks of the columns of `keys`, given their order."""
-    moved = keys[:, order]
-    new = np.append(False, (moved[:, 1:] != moved[:, :-1]).any(axis=0))[: len(order)]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+def _below(ranks: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """For given ranks, how many of `ranks` are smaller."""
+    counted = np.concatenate(([0], np.cumsum(np.bincount(ranks)))) if len(ranks) else np.zeros(1, np.int64)
+    return lambda x: counted[np.minimum(x, len(counted) - 1)]
+
+
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of rows given by columns of integers from 0 on; columns are packed into one while they fit."""
+    packed, width = keys[0], int(keys[0].max(initial=0)) + 1
+    for key in keys[1:]:
+        size = int(key.max(initial=0)) + 1
+        if width * size >= 1 << 63:
+            packed = _dense(packed)
+            width = int(packed.max(initial=0)) + 1
+        packed, width = packed * size + key, width * size
+    return _dense(packed)
+
+
+def _dense(values: np.ndarray) -> np.ndarray:
+    order = np.argsort(values)
+    moved = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.append(False, moved[1:] != moved[:-1])[: len(order)])
     return out
 
 
@@ -201,7 +211,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=4 << 20):
+            for part in slices(batch, most=1 << 20):
                 for _, _, _, _, _, _, keys, _ in _runs(part, length):
                     key, n = np.unique(keys.view(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
@@ -213,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=4 << 20):
+            for part in slices(batch, most=1 << 20):
                 ids, hashes = part.column("doc_id"), part.column("text_hash")
                 for room, offset, data, at, low, high, key, text in _runs(part, length):
                     good = np.flatnonzero(passes(known.value, _place(key)))
@@ -234,8 +244,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     found = stage(found, "surroundings")
     once = found.groupBy("key", "name").agg(F.count("*").alias("times"), F.max("context").alias("context"))
     once = stage(once, "distinct-surroundings")
-    size = once.groupBy("key").agg(F.sum(F.length("context")).alias("bytes"), F.sum("times").alias("n"))
-    size = stage(size.where("n > 1").select("key", "bytes"), "anchor-groups")
+    size = once.groupBy("key").agg(F.sum(F.length("context")).alias("bytes"), F.sum("times").alias("n"), F.count("*").alias("kinds"))
+    size = stage(size.where("n > 1").select("key", "bytes", "kinds"), "anchor-groups")
     once = once.join(size, "key")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +279,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
             yield done(pa.Table.from_batches(held))
 
     schema = "key bigint, name binary, starts array<bigint>, ends array<bigint>"
-    usual = once.where(F.col("bytes") <= SORTED).select("key", "name", "times", "context")
+    usual = once.where((F.col("bytes") <= SORTED) & (F.col("kinds") > 1)).select("key", "name", "times", "context")
     marked = usual.repartition("key").sortWithinPartitions("key").mapInArrow(sort, schema)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +294,11 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                         names=["one", "two", "key", "name", "at"],
                     )
 
-    hot = once.where(F.col("bytes") > SORTED)
+    # copies of one surrounding: all of it is repeated
+    whole = once.where("kinds = 1").select(
+        "key", "name", F.array(F.lit(0).cast("bigint")).alias("starts"), F.array(F.length("context").cast("bigint")).alias("ends")
+    )
+    hot = once.where((F.col("bytes") > SORTED) & (F.col("kinds") > 1))
     windows = hot.select("key", "name", "context").mapInArrow(explode, "one bigint, two bigint, key bigint, name binary, at bigint")
     again = stage(windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-windows")
     single = windows.join(again, ["one", "two"]).groupBy("key", "name").agg(F.sort_array(F.collect_list("at")).alias("starts"))
@@ -296,7 +310,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
             F.transform(F.coalesce("starts", F.array().cast("array<bigint>")), lambda s: s + length)
         ).alias("ends"),
     )
-    marked = stage(marked.unionByName(hot).where("size(starts) > 0"), "marked-surroundings")
+    marked = stage(marked.unionByName(hot).unionByName(whole).where("size(starts) > 0"), "marked-surroundings")
     placed = found.select("doc_id", "text_hash", "begin", "key", "name").join(marked, ["key", "name"])
     runs = placed.select(
         "doc_id", "text_hash",
