@@ -155,8 +155,8 @@ def redact(docs: DataFrame, least: float = 0.0) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     found = find_personal_data(docs, out="_pii").withColumn("_spans", spans)
-    new = {"text": F.when(F.size("_spans") > 0, done).otherwise(text)}
+    found = found.withColumn("_new", F.when(F.size("_spans") > 0, done))
+    new = {"text": F.coalesce("_new", "text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.size("_spans") > 0, F.length(done).cast(kind)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), "n_chars")
     return found.withColumns(new).select(*docs.columns)
