@@ -32,7 +32,7 @@ class PieceCodec:
     order of their ids. Text gets one mark in front, each space becomes a mark; nothing else is changed.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -88,7 +88,9 @@ class PieceCodec:
             self.known.clear()
         known = self.known
         late = [x for x in chunks if x not in known]
-        known.update(zip(late, self.segment(late)))
+        for at in range(0, len(late), 20_000):  # a lattice takes some hundred bytes for each byte of its strings
+            own = late[at : at + 20_000]
+            known.update(zip(own, self.segment(own)))
         return [known[x] for x in chunks]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +146,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
         codec = piece_codec(model)
         low, high = codec.bytes.min(), codec.bytes.max()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=2 << 20):
                 offsets, ids = codec.encode(part.column("text"))
                 raw = ids.tobytes()
                 spare = np.concatenate(([0], np.cumsum((ids >= low) & (ids <= high))))[offsets]
