@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from curbside.llm.bitmap import bitmap, passes, place
 from curbside.llm.components import connected_components
 from curbside.llm.text import distinct, slices, split_words
 from curbside.sources.staging import stage
@@ -145,11 +146,13 @@ def _cutoff(least: Fraction) -> float:
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node and shingles (the sorted set, 8 bytes each) of the nodes `wanted`, made again from their texts, so
-    that sets of all documents are never stored."""
+    """node and shingles (the sorted set, 8 bytes each) of at least the nodes `wanted`, made again from their
+    texts, so that sets of all documents are never stored and texts are not shuffled."""
+    known = bitmap(wanted, "node")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(passes(known.value, batch.column("place").to_numpy())))
             for part in slices(batch, most=4 << 20):
                 offsets, sets = shingle_sets(part.column("text"), words)
                 raw = sets.tobytes()
@@ -158,9 +161,8 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                     names=["node", "shingles"],
                 )
 
-    ids = wanted.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(collect, "node bigint, shingles binary")
+    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    sets = texts.withColumn("place", place("doc_id")).mapInArrow(collect, "node bigint, shingles binary")
     return stage(sets.groupBy("node").agg(F.max("shingles").alias("shingles")), "shingle-sets")
 
 
