@@ -113,7 +113,7 @@ def weights_after_reset(t):
 
 STEPS = """steps AS (SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY episode, step) AS i,
              state AS s, action AS a, next_state AS ns, r, reward,
-             lead(action) OVER (PARTITION BY arm ORDER BY episode, step) AS na,
+             lead(action) OVER (PARTITION BY arm, episode ORDER BY step) AS na,
              {coin} AS coin FROM scaled)"""
 START = "SELECT arm, 0 AS i, list_transform(range({width}), lambda k: 0.0::DOUBLE) AS q FROM decisions GROUP BY arm"
 LAST = "(SELECT arm, max_by(q, i) AS q FROM walk GROUP BY arm)"

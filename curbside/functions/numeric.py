@@ -73,15 +73,15 @@ def first_number(*cols, default: float = 0.0) -> Column:
 def mean_cents_rounded(c, when: Column | None = None) -> Column:
     """Mean of an amount already in whole cents, rounded half up to cents.
 
-    Finite amounts are added as whole cents, so the result does not depend on the order in which
-    partial sums meet; non-finite amounts spread as they do in a float mean.
+    Amounts are added as whole cents, so the result does not depend on the order in which partial sums
+    meet. A group with an amount whose cents a double cannot hold exactly (9e13 and above, infinite or
+    NaN) gets the ordinary mean of all its amounts.
     """
     x = _col(c).cast("double")
     if when is not None:
         x = F.when(when, x)
-    finite = F.abs(x) < 9e13
-    cents = F.sum(F.when(finite, F.round(x * 100.0).cast("bigint")))
-    odd = F.sum(F.when(~finite, x))
+    whole = F.abs(x) < 9e13
+    cents = F.sum(F.when(whole, F.round(x * 100.0).cast("bigint")))
     n = F.count(x)
     exact = F.floor(cents / n + F.lit(0.5)) / 100.0
-    return F.when((n > 0) & odd.isNotNull(), odd).when(n > 0, exact)
+    return F.when(F.count(F.when(~whole, x)) > 0, F.avg(x)).when(n > 0, exact)

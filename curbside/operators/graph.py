@@ -52,19 +52,24 @@ def join_means(distance_time: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def fit_line(edges: DataFrame, x: str = "baseline_distance", y: str = "baseline_fare") -> DataFrame:
-    """Least squares over edges, each with weight 1: one row (intercept, price_per_mile, rmse)."""
+    """Least squares over edges, each with weight 1: one row (intercept, price_per_mile, rmse).
+
+    Where all edges have the same distance the slope is 0 and the intercept the mean fare.
+    """
     sums = edges.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
         F.regr_intercept(y, x).alias("intercept"),
         F.regr_slope(y, x).alias("price_per_mile"),
         F.regr_sxx(y, x).alias("sxx"),
         F.regr_syy(y, x).alias("syy"),
         F.regr_sxy(y, x).alias("sxy"),
+        F.avg(y).alias("mean"),
         F.count("*").alias("n"),
     )
     unexplained = F.col("syy") - F.when(F.col("sxx") != 0, F.col("sxy") * F.col("sxy") / F.col("sxx")).otherwise(0.0)
+    level = F.col("sxx") == 0
     return sums.select(
-        "intercept",
-        "price_per_mile",
+        F.when(level, F.col("mean")).otherwise(F.col("intercept")).alias("intercept"),
+        F.when(level, F.lit(0.0)).otherwise(F.col("price_per_mile")).alias("price_per_mile"),
         F.sqrt(F.greatest(unexplained, F.lit(0.0)) / F.when(F.col("n") > 0, F.col("n"))).alias("rmse"),
     )
 

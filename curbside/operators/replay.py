@@ -192,7 +192,8 @@ def sarsa_replay(
 ) -> DataFrame:
     """SARSA over each arm's log: the target uses the next logged action.
 
-    A `next_action` column is used if the log has one, else the action of the following row.
+    A `next_action` column is used if the log has one, else the action of the following row of the same
+    episode. A row without such an action, as the last of each episode, has no future.
     """
     fields = {
         "k": _entry("state", "action", n_actions),
@@ -202,16 +203,25 @@ def sarsa_replay(
     }
     if "next_action" in log.columns:
         fields["a"] = F.coalesce(F.col("next_action"), F.lit(-1)).cast("int")
+    else:
+        fields["e"] = F.col("episode")
     chunks = pack_chunks(log, fields, size, ids)
     if "next_action" not in log.columns:
         chunks = stage(chunks, "sarsa-log")
-        heads = chunks.select(*ids, "chunk", F.get("a", F.lit(0)).alias("_a")).withColumn(
-            "_after", F.lead("_a").over(Window.partitionBy(*ids).orderBy("chunk"))
+        first = F.struct(F.get("a", F.lit(0)).alias("a"), F.get("e", F.lit(0)).alias("e"))
+        heads = chunks.select(*ids, "chunk", first.alias("_first")).withColumn(
+            "_after", F.lead("_first").over(Window.partitionBy(*ids).orderBy("chunk"))
         )
+
+        def following(field: str) -> Column:
+            return F.concat(F.slice(field, 2, F.size(field)), F.array(F.col(f"_after.{field}")))
+
+        same = F.zip_with("e", "_e", lambda x, y: x == y)
         chunks = (
-            chunks.join(heads.drop("_a"), [*ids, "chunk"])
-            .withColumn("a", F.concat(F.slice("a", 2, F.size("a")), F.array(F.coalesce("_after", F.lit(-1)))))
-            .drop("_after")
+            chunks.join(heads.drop("_first"), [*ids, "chunk"])
+            .withColumns({"_a": following("a"), "_e": following("e")})
+            .withColumn("a", F.zip_with("_a", same, lambda a, s: F.when(s, a).otherwise(F.lit(-1))))
+            .drop("_after", "_a", "_e", "e")
         )
     chunks = stage(chunks, "sarsa-chunks")
 

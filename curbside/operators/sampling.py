@@ -52,12 +52,16 @@ def activate_top(scores: DataFrame, budget: int, group: list[str], score: str =
     """Add `active`: 1 for the `budget` highest scores of each group (ties to the lower arm), else 0.
 
     The cut-off row of each group comes from a rank filter that Spark applies before the shuffle;
-    every row is then compared with its group's cut-off.
+    every row is then compared with its group's cut-off. Rows without a score are never active, a NaN score
+    ranks above all others, and null group keys form a group.
     """
     if int(budget) <= 0:
         return scores.withColumn("active", F.lit(0))
     w = Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(arm).asc())
-    top = scores.select(*group, score, arm).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= int(budget))
+    top = scores.select(*group, score, arm).where(F.col(score).isNotNull()).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= int(budget))
     cut = top.groupBy(*group).agg(F.max_by(F.struct(F.col(score).alias("s"), F.col(arm).alias("a")), "_rank").alias("_cut"))
     above = (F.col(score) > F.col("_cut.s")) | ((F.col(score) == F.col("_cut.s")) & (F.col(arm) <= F.col("_cut.a")))
-    return scores.join(cut, group).withColumn("active", above.cast("int")).drop("_cut")
+    cut = cut.withColumnsRenamed({g: f"_{g}" for g in group})
+    same = [scores[g].eqNullSafe(cut[f"_{g}"]) for g in group]
+    joined = scores.join(cut, same, "left") if group else scores.crossJoin(cut)
+    return joined.withColumn("active", F.coalesce(above.cast("int"), F.lit(0))).drop("_cut", *[f"_{g}" for g in group])

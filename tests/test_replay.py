@@ -42,7 +42,7 @@ def in_order_q(rows, alpha, discount, on_policy=False):
         if ns is None:
             future = 0.0
         elif on_policy:
-            future = q[ns, rows[i + 1][6]] if i + 1 < len(rows) else 0.0
+            future = q[ns, rows[i + 1][6]] if i + 1 < len(rows) and rows[i + 1][3] == r[3] else 0.0  # same episode
         else:
             future = q[ns].max()
         q[s, a] += alpha * (reward + discount * future - q[s, a])
