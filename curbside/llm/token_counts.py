@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curbside.llm.text import slices, word_encoder
+from curbside.sources.staging import stage
 
 BLOCK = 1024
 
@@ -32,7 +33,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     kept under a context limit of `tokens`); quantile (share of documents up to this length). The sums run
     inside blocks of lengths and over the blocks, so no task sees all lengths. No rows for an empty table.
     """
-    counted = lengths.groupBy("tokens").agg(F.count("*").alias("n_docs"))
+    counted = stage(lengths.groupBy("tokens").agg(F.count("*").alias("n_docs")), "lengths")  # read twice below
     counted = counted.withColumn("_block", F.floor(F.col("tokens") / BLOCK))
     sums = counted.groupBy("_block").agg(
         F.sum("n_docs").alias("_docs"), F.sum(F.col("n_docs") * F.col("tokens")).alias("_tokens")
