@@ -45,8 +45,10 @@ class DigestIndex:
         batch = uuid.uuid4().hex
         new = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         new = stage(new.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")), "new-digests")
+        # dealt by bucket, a bucket is one file however many partitions the shuffle has
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
         (
-            new.repartition(self.buckets, "digest")
+            new.repartition(self.buckets, bucket)
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
