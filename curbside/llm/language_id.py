@@ -20,6 +20,10 @@ from curbside.sources.staging import stage
 UNKNOWN = "und"
 #: Log probability of a character that no piece covers, the same in every language.
 BARE = float(np.log(1e-9))
+#: Words whose segmentations are held at once; each byte takes some hundred bytes for each language.
+LATTICE_BYTES = 1 << 16
+#: Texts whose words are held at once.
+TEXT_BYTES = 2 << 20
 
 
 def letter_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -37,10 +41,22 @@ class LanguageModel:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
+def _runs(words: list[str]) -> Iterator[list[str]]:
+    """`words` in runs of about `LATTICE_BYTES` bytes; a longer word is a run of its own."""
+    if words:
+        size = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // LATTICE_BYTES)) + 1
+        for a, b in zip([0, *cut], [*cut, len(words)]):
+            yield words[a:b]
+
+
 class Scorer:
-    """Log probability of words in each language, found once for each word. The memory is emptied at `keep` words."""
+    """Log probability of words in each language, found once for each word.
+
+    The memory of words is emptied at `keep` of them, which changes no result.
+    """
 
-    def __init__(self, model: LanguageModel, keep: int = 1_000_000):
+    def __init__(self, model: LanguageModel, keep: int = 250_000):
         self.model, self.codec, self.keep = model, piece_codec(model.vocabulary), keep
         self.known: dict[str, bytes] = {}
 
@@ -49,10 +65,10 @@ class Scorer:
             self.known.clear()
         known = self.known
         late = [w for w in words if w not in known]
-        if late:
-            found = lattice(self.codec.trie, [(MARK + w).encode() for w in late])
+        for run in _runs(late):
+            found = lattice(self.codec.trie, [(MARK + w).encode() for w in run])
             sums = path_sums(found, self.model.scores, np.full(len(self.model.languages), BARE))[found.last]
-            known.update((w, row.tobytes()) for w, row in zip(late, sums))
+            known.update((w, row.tobytes()) for w, row in zip(run, sums))
         return np.frombuffer(b"".join([known[w] for w in words])).reshape(-1, len(self.model.languages))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -104,7 +120,7 @@ def train(labelled: DataFrame, vocabulary: str, per_language: int = 4000, most:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 offsets, words = letter_words(part.column("text"))
                 row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                 coded = part.column("lang").dictionary_encode()
@@ -141,7 +157,7 @@ def _expected(words: DataFrame, vocabulary: str, scores: np.ndarray, number: dic
         codec, scores = piece_codec(vocabulary), shared.value
         total = np.zeros(scores.shape)
         for batch in batches:
-            for part in slices(batch, "word", 1 << 19):
+            for part in slices(batch, "word", LATTICE_BYTES):
                 weight = np.zeros((part.num_rows, scores.shape[1]))
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
                 weight[np.arange(part.num_rows), lang] = part.column("n").to_numpy()
@@ -170,7 +186,7 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=TEXT_BYTES):
                 names, score = scorer.predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"]
@@ -189,7 +205,7 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, least: float = 0
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=TEXT_BYTES):
                 names, score = scorer.predict(part.column("text"))
                 good = (np.array(names, object) != UNKNOWN) & (score >= least)
                 yield part.filter(pa.array(good))
