@@ -123,9 +123,9 @@ KEYS = ["trip_key"]
 ITERATIONS = 20
 
 
-def _trained(t, hidden=destination.HIDDEN):
+def _trained(t):
     rows = destination_plan.prepare(t.trips, KEYS)
-    return destination_plan.train(t.trips, rows, hidden, ITERATIONS), rows
+    return destination_plan.train(t.trips, rows, max_iter=ITERATIONS), rows
 
 
 @query("j3_trained_classifier")
@@ -155,14 +155,14 @@ def fit_metrics(t):
 @query("j6_predicted_slots")
 def predicted_slots(t):
     """Likeliest drop-off of every slot that has trips."""
-    model, _ = _trained(t, hidden=(32,))
+    model, _ = _trained(t)
     slots = t.dest_counts.select(*destination.SLOT).distinct()
     return destination.ranked_distribution(model.score(slots)).where("rank = 1").drop("rank")
 
 
 @query("j7_scored_grid")
 def scored_grid(t):
-    model, _ = _trained(t, hidden=(32,))
+    model, _ = _trained(t)
     return model.score(destination.slot_grid(model.domains["PULocationID"]))
 
 
@@ -170,14 +170,14 @@ def scored_grid(t):
 def workflow(t):
     """Everything from sample to exported tables; the measures after loading the model again."""
     folder = staged_path(t.spark, "destination-model")
-    destination_plan.workflow(t.trips, KEYS, folder, hidden=(32,), max_iter=ITERATIONS)
+    destination_plan.workflow(t.trips, KEYS, folder, max_iter=ITERATIONS)
     model = destination_plan.DestinationModel.load(t.spark, folder)
     return destination_plan.evaluate(model, destination_plan.prepare(t.trips, KEYS))
 
 
 @query("a6_saved_model")
 def saved_model(t):
-    model, _ = _trained(t, hidden=(32,))
+    model, _ = _trained(t)
     folder = staged_path(t.spark, "destination-model")
     model.save(folder)
     again = destination_plan.DestinationModel.load(t.spark, folder)
@@ -187,5 +187,5 @@ def saved_model(t):
 
 @query("a7_weight_table")
 def weight_table(t):
-    model, _ = _trained(t, hidden=(32,))
+    model, _ = _trained(t)
     return model.weights()

@@ -82,7 +82,7 @@ class Inputs:
 
     @cached_property
     def distribution(self) -> DataFrame:
-        return destination.destination_distribution(self.dest_counts)
+        return destination.destination_distribution(self.dest_counts, slots=destination.slot_grid(self.pickup_ids))
 
     @cached_property
     def pickup_ids(self) -> DataFrame:

@@ -240,11 +240,11 @@ def mean_rewards(t):
           SELECT arm, i, map(list(c), list(v)) AS m FROM (
             SELECT w.arm, w.i + 1 AS i, CAST(s.state * 5 + s.action AS INT) AS c,
               avg(s.r + {DISCOUNT} * CASE WHEN s.next_state IS NULL THEN 0.0 ELSE list_max(w.q[s.next_state * 5 + 1 : s.next_state * 5 + 5]) END) AS v
-            FROM walk w JOIN scaled s ON s.arm = w.arm WHERE w.i < 30 GROUP BY 1, 2, 3) GROUP BY 1, 2))
+            FROM walk w JOIN scaled s ON s.arm = w.arm WHERE w.i < 100 GROUP BY 1, 2, 3) GROUP BY 1, 2))
       {TABLE}""",
 )
 def fitted_q(t):
-    out = planning.fitted_q(t.decisions, reward_per_taxi(), DISCOUNT, iterations=30)
+    out = planning.fitted_q(t.decisions, reward_per_taxi(), DISCOUNT, iterations=100)
     return out.select("arm", "state", "action", round6("q").alias("q"))
 
 

@@ -124,23 +124,24 @@ def relocation_probs(t):
 NEXT = f"""SELECT scenario, platform, zone,
       CASE WHEN hour = 23 THEN (day + 1) % 7 ELSE day END AS day, CASE WHEN hour = 23 THEN 0 ELSE hour + 1 END AS hour,
       {r4('sum(arrivals)')} AS n_taxis
-    FROM (SELECT * FROM arrivals UNION ALL
+    FROM (SELECT scenario, platform, zone, day, hour, 0.0::DOUBLE AS arrivals FROM matched UNION ALL
+          SELECT * FROM arrivals UNION ALL
           SELECT i.scenario, i.platform, r.zone, i.day, i.hour, i.idle * r.p
           FROM (SELECT scenario, platform, day, hour, sum(idle) AS idle FROM matched GROUP BY 1, 2, 3, 4) i
           JOIN relo r USING (day, hour) WHERE i.idle > 0)
     GROUP BY 1, 2, 3, 4, 5"""
 
 
-@query("h2_arrivals_and_relocations", f"SELECT scenario, platform, CAST(sum(n_rows) AS BIGINT) AS n_rows, {r4('sum(taxis)')} AS taxis FROM "
-       "(SELECT scenario, platform, count(*) AS n_rows, sum(arrivals) AS taxis FROM arrivals GROUP BY 1, 2 UNION ALL "
-       "SELECT i.scenario, i.platform, count(*), sum(i.idle * r.p) FROM "
+@query("h2_arrivals_and_relocations", f"SELECT scenario, platform, zone, CAST(sum(n_rows) AS BIGINT) AS n_rows, {r4('sum(taxis)')} AS taxis FROM "
+       "(SELECT scenario, platform, zone, count(*) AS n_rows, sum(arrivals) AS taxis FROM arrivals GROUP BY 1, 2, 3 UNION ALL "
+       "SELECT i.scenario, i.platform, r.zone, count(*), sum(i.idle * r.p) FROM "
        "(SELECT scenario, platform, day, hour, sum(idle) AS idle FROM matched GROUP BY 1, 2, 3, 4) i "
-       "JOIN relo r USING (day, hour) WHERE i.idle > 0 GROUP BY 1, 2) GROUP BY 1, 2")
+       "JOIN relo r USING (day, hour) WHERE i.idle > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2, 3")
 def arrivals_and_relocations(t):
     both = market.arrivals(t.matched, t.dest_prob).unionByName(
         market.relocated(market.idle_totals(t.matched), t.relocation)
     )
-    return both.groupBy("scenario", "platform").agg(
+    return both.groupBy("scenario", "platform", "zone").agg(
         F.count("*").alias("n_rows"), round4(F.sum("arrivals")).alias("taxis")
     )
 

@@ -111,7 +111,10 @@ TABLES: dict[str, str] = {
     "dist": """
         SELECT s.PULocationID, s.day_of_week, s.request_hour, z.DOLocationID,
           (coalesce(c.n, 0) + 10.0::DOUBLE * z.p_zone) / (s.n_slot + 10.0::DOUBLE) AS p
-        FROM (SELECT PULocationID, day_of_week, request_hour, sum(n) AS n_slot FROM dcounts GROUP BY 1, 2, 3) s
+        FROM (SELECT z.PULocationID, CAST(d.range AS INT) AS day_of_week, CAST(h.range AS INT) AS request_hour, coalesce(sum(n), 0) AS n_slot
+              FROM zones z CROSS JOIN range(7) d CROSS JOIN range(24) h
+              LEFT JOIN dcounts c ON c.PULocationID = z.PULocationID AND c.day_of_week = d.range AND c.request_hour = h.range
+              GROUP BY 1, 2, 3) s
         JOIN (SELECT t.PULocationID, a.DOLocationID,
                 (coalesce(zd.n, 0) + 10.0::DOUBLE * (a.n_do / g.total)) / (t.n_zone + 10.0::DOUBLE) AS p_zone
               FROM (SELECT PULocationID, sum(n) AS n_zone FROM dcounts GROUP BY 1) t

@@ -72,14 +72,23 @@ def destination_counts(trips: DataFrame) -> DataFrame:
     return trips.groupBy(*SLOT, TARGET).agg(F.count("*").alias("n"))
 
 
-def destination_distribution(counts: DataFrame, strength: float = 10.0, zone_strength: float = 10.0) -> DataFrame:
-    """P(drop-off | slot) for every observed slot and every drop-off zone.
+def destination_distribution(
+    counts: DataFrame, strength: float = 10.0, zone_strength: float = 10.0, slots: DataFrame | None = None
+) -> DataFrame:
+    """P(drop-off | slot) for every drop-off zone and each of `slots` (`slot_grid`), or each observed slot.
 
     Counts are smoothed toward the pickup zone's distribution, and that toward the overall one,
-    so a slot with few trips leans on its zone. `counts` (`destination_counts`) should be staged.
+    so a slot with few trips leans on its zone: one without trips has its zone's distribution, one of an
+    unknown zone the overall one (the strengths must be above 0 for that). `counts` (`destination_counts`) should be staged.
     """
-    slots = counts.groupBy(*SLOT).agg(F.sum("n").alias("n_slot"))
+    seen = counts.groupBy(*SLOT).agg(F.sum("n").alias("n_slot"))
     zone_total = counts.groupBy("PULocationID").agg(F.sum("n").alias("n_zone"))
+    if slots is None:
+        slots = seen
+    else:
+        wanted = slots.select(*SLOT).distinct()
+        slots = wanted.join(seen, SLOT, "left").na.fill(0, ["n_slot"])
+        zone_total = wanted.select("PULocationID").distinct().join(zone_total, "PULocationID", "left").na.fill(0, ["n_zone"])
     zone_do = counts.groupBy("PULocationID", TARGET).agg(F.sum("n").alias("n_zone_do"))
     overall = counts.groupBy(TARGET).agg(F.sum("n").alias("n_do"))
     total = counts.agg(F.sum("n")).scalar()

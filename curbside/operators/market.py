@@ -131,12 +131,23 @@ def idle_totals(matched: DataFrame) -> DataFrame:
 # --- trips and revenue ----------------------------------------------------------------------
 
 
+UNKNOWN_SLOT = "trips start in a slot that has no destination distribution"
+
+
+def known(column: str, kind: str) -> Column:
+    """`column`; a null, which a slot without a distribution leaves, is an error."""
+    return F.coalesce(F.col(column), F.raise_error(F.lit(UNKNOWN_SLOT)).cast(kind))
+
+
 def route_trips(matched: DataFrame, dest_prob: DataFrame) -> DataFrame:
-    """Expected trips from each zone to each destination. Only rows with matched trips fan out."""
+    """Expected trips from each zone to each destination. Only rows with matched trips fan out.
+
+    Matched trips in a slot without a distribution are an error.
+    """
     return (
         matched.where(F.col("matched") > 0)
-        .join(dest_prob, SLOT)
-        .select(*CELL, "dest", (F.col("matched") * F.col("p")).alias("flow"))
+        .join(dest_prob, SLOT, "left")
+        .select(*CELL, "dest", (F.col("matched") * known("p", "double")).alias("flow"))
     )
 
 
@@ -145,7 +156,8 @@ def arrivals(matched: DataFrame, dest_prob: DataFrame, scenarios_per_task: int =
 
     Written out, the flows are as many rows as cells times destinations. Here each hour of the
     week is a matrix product of matched trips and destination probabilities, split by scenario
-    into groups of bounded size, and only its result is emitted. `matched` should be staged.
+    into groups by hash, and only its result is emitted. `matched` should be staged. Matched trips in a
+    slot without a distribution are an error.
     """
     n_scenarios = matched.select("scenario").distinct().count()
     groups = max(1, -(-n_scenarios // scenarios_per_task))
@@ -157,7 +169,7 @@ def arrivals(matched: DataFrame, dest_prob: DataFrame, scenarios_per_task: int =
     )
 
     def product(trips: pd.DataFrame, chances: pd.DataFrame) -> pd.DataFrame:
-        if trips.empty or chances.empty:
+        if trips.empty:
             kinds = {"scenario": "str", "platform": "int32", "zone": "int32", "day": "int32", "hour": "int32"}
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in {**kinds, "arrivals": "float64"}.items()})
         origins = pd.Index(chances["zone"].unique())
@@ -167,9 +179,10 @@ def arrivals(matched: DataFrame, dest_prob: DataFrame, scenarios_per_task: int =
         sides = pd.MultiIndex.from_frame(trips[["scenario", "platform"]])
         rows, sides = sides.factorize()
         cols = origins.get_indexer(trips["zone"])
-        known = cols >= 0
+        if (cols < 0).any():
+            raise ValueError(UNKNOWN_SLOT)
         amount = np.zeros((len(sides), len(origins)))
-        np.add.at(amount, (rows[known], cols[known]), trips["matched"].to_numpy()[known])
+        np.add.at(amount, (rows, cols), trips["matched"].to_numpy())
         flow = amount @ chance
         out = pd.DataFrame(
             {
@@ -203,13 +216,17 @@ def mean_fare(dest_prob: DataFrame, fares: DataFrame) -> DataFrame:
 
 
 def revenue(matched: DataFrame, policy: DataFrame, fare_means: DataFrame) -> DataFrame:
-    """Expected revenue per cell, without ever building the origin-destination flows."""
+    """Expected revenue per cell, without ever building the origin-destination flows.
+
+    Matched trips in a slot without a mean fare are an error.
+    """
+    paid = F.col("matched") * known("mean_fare", "double") * F.col("multiplier")
     return (
         matched.join(policy, CELL)
         .join(fare_means, SLOT, "left")
         .select(
             *CELL,
-            (F.col("matched") * F.coalesce("mean_fare", F.lit(0.0)) * F.col("multiplier")).alias("revenue"),
+            F.when(F.col("matched") == 0, 0.0).otherwise(paid).alias("revenue"),
         )
     )
 
@@ -242,8 +259,12 @@ def relocated(idle: DataFrame, relo: DataFrame) -> DataFrame:
 
 
 def next_inventory(matched: DataFrame, dest_prob: DataFrame, relo: DataFrame) -> DataFrame:
-    """Taxis per platform and zone one hour later: arrivals of trips plus relocated idle taxis."""
-    both = arrivals(matched, dest_prob).unionByName(relocated(idle_totals(matched), relo))
+    """Taxis per platform and zone one hour later: arrivals of trips plus relocated idle taxis.
+
+    Every cell of `matched` has its row one hour later, 0 where no taxi comes.
+    """
+    cells = matched.select(*CELL, F.lit(0.0).alias("arrivals"))
+    both = cells.unionByName(arrivals(matched, dest_prob)).unionByName(relocated(idle_totals(matched), relo))
     later_day, later_hour = next_slot()
     return (
         both.groupBy(*CELL)
@@ -258,9 +279,10 @@ def next_inventory(matched: DataFrame, dest_prob: DataFrame, relo: DataFrame) ->
 def assign_destinations(trips: DataFrame, cdf: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     """Give each trip a destination by inverse CDF with a hashed uniform number.
 
-    `cdf` is `cdf_arrays`: one row per slot, so the join is an equi-join on the origin slot.
+    `cdf` is `cdf_arrays`: one row per slot, so the join is an equi-join on the origin slot. A trip in a slot
+    without a row there is an error.
     """
-    drawn = trips.join(cdf, SLOT).withColumn("u", unit_hash(*keys, seed=seed))
+    drawn = trips.join(cdf, SLOT, "left").withColumn("cdf", known("cdf", "array<double>")).withColumn("u", unit_hash(*keys, seed=seed))
     return drawn.withColumn("dest", F.element_at("dests", draw_index("cdf", "u") + 1)).drop("dests", "cdf", "u")
 
 

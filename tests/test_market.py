@@ -135,3 +135,48 @@ def test_step_plan(spark, world):
     assert step.revenue.count() == policy.count() and step.revenue.where("revenue < 0").isEmpty()
     assert step.inventory.count() == policy.count()
     assert graph.fit_line(edges).first().price_per_mile == 2.0
+
+
+def test_next_inventory_has_every_zone_and_loses_no_taxi(spark):
+    cells = [("a", 0, 1, 0, 5, 4.0, 4.0, 4.0, 0.0), ("a", 0, 2, 0, 5, 1.0, 1.0, 1.0, 0.0)]
+    names = "scenario string, platform int, zone int, day int, hour int, demand double, n_taxis double, matched double, idle double"
+    matched = spark.createDataFrame(cells, names)
+    dest_prob = spark.createDataFrame([(z, 0, 5, 1, 1.0) for z in (1, 2)], "zone int, day int, hour int, dest int, p double")
+    relo = spark.createDataFrame([(z, 0, 5, 0.5) for z in (1, 2)], "zone int, day int, hour int, p double")
+    got = {(r.zone, r.day, r.hour): r.n_taxis for r in market.next_inventory(matched, dest_prob, relo).collect()}
+    assert got == {(1, 0, 6): 5.0, (2, 0, 6): 0.0}
+
+
+@pytest.mark.parametrize("step", ["arrivals", "flows", "revenue", "draws"])
+def test_a_slot_without_a_distribution_is_an_error(spark, step):
+    cells = [("a", 0, z, 0, 5, 4.0, 4.0, 4.0, 0.0) for z in (1, 2)]
+    names = "scenario string, platform int, zone int, day int, hour int, demand double, n_taxis double, matched double, idle double"
+    matched = spark.createDataFrame(cells, names)
+    dest_prob = spark.createDataFrame([(1, 0, 5, 1, 1.0)], "zone int, day int, hour int, dest int, p double")
+    made = {
+        "arrivals": lambda: market.arrivals(matched, dest_prob),
+        "flows": lambda: market.route_trips(matched, dest_prob),
+        "revenue": lambda: market.revenue(
+            matched, matched.select(*market.CELL, F.lit(1.0).alias("multiplier")),
+            market.mean_fare(dest_prob, spark.createDataFrame([(1, 1, 5.0)], "zone int, dest int, fare double")),
+        ),
+        "draws": lambda: market.assign_destinations(
+            matched.select("zone", "day", "hour"), destination.cdf_arrays(destination.running_cdf(dest_prob)), ["zone"]
+        ),
+    }[step]()
+    with pytest.raises(Exception, match="no destination distribution"):
+        made.collect()
+
+
+def test_slots_without_trips_take_the_distribution_of_their_zone(spark):
+    counts = spark.createDataFrame(
+        [(1, 0, 0, 1, 30), (1, 0, 0, 2, 10), (2, 0, 0, 2, 20)],
+        "PULocationID int, day_of_week int, request_hour int, DOLocationID int, n long",
+    )
+    slots = spark.createDataFrame([(1, 0, 0), (1, 3, 4), (9, 0, 0)], "PULocationID int, day_of_week int, request_hour int")
+    rows = destination.destination_distribution(counts, slots=slots).collect()
+    got = {(r.PULocationID, r.day_of_week, r.DOLocationID): r.p for r in rows}
+    assert len(got) == 6
+    assert math.isclose(got[9, 0, 1], 0.5) and math.isclose(got[9, 0, 2], 0.5)
+    assert math.isclose(got[1, 3, 1], 35 / 50) and math.isclose(got[1, 3, 2], 15 / 50)
+    assert math.isclose(got[1, 0, 1], (30 + 10 * 35 / 50) / 50)
