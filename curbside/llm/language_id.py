@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from curbside.llm.pieces import MARK, piece_codec
-from curbside.llm.text import distinct, slices, split_words
+from curbside.llm.text import distinct, resident, slices, split_words
 from curbside.llm.trie import expected_counts, lattice, path_sums
 from curbside.sources.staging import stage
 
@@ -88,15 +88,8 @@ class Scorer:
         return names, np.where(many > 0, share, 0.0)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(model: Broadcast) -> Scorer:
-    name = model.value.name
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(model.value)
-    return _SCORERS[name]
+    return resident(("languages", model.value.name), lambda: Scorer(model.value))
 
 
 def train(labelled: DataFrame, vocabulary: str, per_language: int = 4000, most: int = 256, rounds: int = 3) -> LanguageModel:

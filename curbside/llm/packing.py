@@ -124,9 +124,16 @@ def pack_documents(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = word_encoder(tokenizer), Packer(capacity)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         held: list[tuple[object, np.ndarray]] = []  # documents with pieces not yet laid out
         waiting, sequence = 0, TaskContext.get().partitionId() << 33
 
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), types)],
+                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+            )
+
         def rows(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, sequence
             out = []
@@ -137,19 +144,18 @@ def pack_documents(
                     out.append((doc_id, start, length, ids[start : start + length].tobytes(), len(ids), sequence, offset))
                     offset += length
                 sequence += 1
+                if len(out) >= 1024:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
             open_pieces = [(d, s, n) for n, kept in packer.pieces.items() for d, s in kept]
             renamed = {d: i for i, d in enumerate(dict.fromkeys(d for d, _, _ in open_pieces))}
             held = [held[d] for d in renamed]
             packer.pieces, packer.lengths = {}, []
             for d, s, n in open_pieces:
                 packer.add(renamed[d], s, n)
-            for at in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out[at : at + 4096]), types)],
-                    names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-                )
 
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             for part in slices(batch):
                 offsets, ids = encoder.encode(part.column("text"))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +138,20 @@ class WordEncoder:
         return np.diff(np.concatenate(([0], np.cumsum(size[codes])))[offsets])
 
 
-@lru_cache(maxsize=2)
+_RESIDENT: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """What `make` gives, kept by this worker until another key is asked for.
+
+    Only one is kept, so the memory of operators that run one after another in a worker does not add up.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        pa.default_memory_pool().release_unused()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return resident(("words", path), lambda: WordEncoder(path))
