@@ -214,7 +214,7 @@ def score_slots(
 ) -> DataFrame:
     """(slot, DOLocationID, p) for each requested slot."""
     if model is None or encoder is None:
-        raise ValueError("Model is not trained/loaded yet.")
+        raise ValueError("slots are scored with a fitted model and its encoder; one is missing")
     features, _ = one_hot(encode(slots, {c: domains[c] for c in SLOT}), sizes, encoder)
     probs = model.transform(features).select(*SLOT, F.posexplode(vector_to_array("probability")).alias("idx", "p"))
     names = domains[TARGET].select("idx", F.col("id").alias(TARGET))

@@ -21,11 +21,11 @@ def policy_probs(
 ) -> DataFrame:
     """Add `prob` to a long action-value table (ids, state, action, q); ties go to the lower action."""
     if "q" not in q.columns or "action" not in q.columns:
-        raise ValueError("q_values must contain at least one action value.")
+        raise ValueError("a table of action values has the columns action and q")
     if kind not in ("random", "greedy", "epsilon_greedy", "softmax"):
-        raise ValueError(f"Unknown policy: {kind}")
+        raise ValueError(f"there is no policy {kind}")
     if kind == "softmax" and temperature <= 0:
-        raise ValueError("temperature must be positive.")
+        raise ValueError("softmax takes a temperature above 0")
     w = Window.partitionBy(*ids, "state")
     n = F.count("*").over(w)
     if kind == "random":

@@ -20,7 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curbside.functions.hashing import unit_hash
-from curbside.functions.menu import REVENUE_NORMALIZER
 from curbside.operators.learning import FLOOR, IDS, N_ACTIONS, WEIGHT_LIMIT
 from curbside.sources.staging import stage
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
@@ -28,12 +30,23 @@ INDEX_NAMES = ("episode", "iteration", "round", "step")
 # --- phases ---------------------------------------------------------------------------------
 
 
-def phase_bounds(baseline_episodes: int, freeze_episodes: int, unfreeze_at: int | None = None) -> tuple[int, int]:
-    freeze = int(baseline_episodes)
-    unfreeze = freeze + int(freeze_episodes) if unfreeze_at is None else int(unfreeze_at)
-    if unfreeze <= freeze:
-        raise ValueError("Unfreeze iteration must be after freeze iteration.")
-    return freeze, unfreeze
+class Phases(NamedTuple):
+    """The first frozen iteration and the first one after the frozen phase."""
+
+    freeze: int
+    unfreeze: int
+
+    @classmethod
+    def between(cls, freeze: int, unfreeze: int) -> Phases:
+        if freeze >= unfreeze:
+            raise ValueError(f"no iteration is frozen: the phase would begin at {freeze} and end at {unfreeze}")
+        return cls(freeze, unfreeze)
+
+
+def phase_bounds(baseline_episodes: int, freeze_episodes: int, unfreeze_at: int | None = None) -> Phases:
+    """The frozen phase begins after the baseline; it ends at `unfreeze_at`, or else after `freeze_episodes`."""
+    begin = int(baseline_episodes)
+    return Phases.between(begin, int(begin + freeze_episodes if unfreeze_at is None else unfreeze_at))
 
 
 def phase_of(iteration="iteration", freeze="freeze_iteration", unfreeze="unfreeze_iteration") -> Column:
@@ -43,16 +56,17 @@ def phase_of(iteration="iteration", freeze="freeze_iteration", unfreeze="unfreez
 
 
 def role_of(deviator: int, reset: bool = False, firm: str = "firm_id") -> Column:
+    # fixed values: the role names
     other = "frozen_reset_learning" if reset else "frozen_then_unfrozen"
     return F.when(F.col(firm) == deviator, "deviator").otherwise(other)
 
 
 def label_phases(timeline: DataFrame, deviator: int, freeze: int, unfreeze: int) -> DataFrame:
     """Phase name, deviator and frozen flags, and the two boundaries on every timeline row."""
-    if unfreeze <= freeze:
-        raise ValueError("Unfreeze iteration must be after freeze iteration.")
+    freeze, unfreeze = Phases.between(freeze, unfreeze)
     it, is_dev = F.col("iteration"), F.col("firm_id") == deviator
     frozen_now = (it >= freeze) & (it < unfreeze)
+    # fixed values: the phase names
     phase = (
         F.when(it < freeze, "before_freeze_expected_policy_eval")
         .when(frozen_now & is_dev, "after_freeze_deviator_learning")
@@ -218,20 +232,18 @@ def centered_mean(series: DataFrame, keys: list[str], value: str, window: int =
 
 
 def value_column(df: DataFrame, name: str | None = None) -> str:
-    """An explicit column, else the first preferred name, else the last numeric non-index column."""
-    if name:
-        if name not in df.columns:
-            raise ValueError(f"Column {name} not found. Available columns: {df.columns}")
-        return name
-    for preferred in PREFERRED_VALUES:
-        if preferred in df.columns:
-            return preferred
-    numeric = [
-        f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name.lower() not in INDEX_NAMES
-    ]
-    if not numeric:
-        raise ValueError("Could not infer the revenue column; name it.")
-    return numeric[-1]
+    """`name` if it is given, else the first of `PREFERRED_VALUES` there is, else the last numeric column that is
+    no index; an error if there is no such column."""
+    wanted = (name,) if name else PREFERRED_VALUES
+    ranks = {}
+    for at, f in enumerate(df.schema.fields):
+        if f.name in wanted:
+            ranks[f.name] = (0, wanted.index(f.name))
+        elif not name and isinstance(f.dataType, NumericType) and f.name.lower() not in INDEX_NAMES:
+            ranks[f.name] = (1, -at)
+    if not ranks:
+        raise ValueError(f"{name or 'a column of values'} is not among the columns {', '.join(df.columns)}")
+    return min(ranks, key=ranks.get)
 
 
 def numbers_only(df: DataFrame, column: str, out: str = "value") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from curbside.functions.hashing import key_hash, unit_hash
 
 SEED = 42
-_BINS = 1 << 16
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = SEED) -> DataFrame:

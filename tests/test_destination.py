@@ -100,7 +100,7 @@ def test_saved_model_scores_the_same(spark, trained, tmp_path):
 
 
 def test_scoring_needs_a_model(trips):
-    with pytest.raises(ValueError, match="Model is not trained/loaded yet."):
+    with pytest.raises(ValueError, match="fitted model"):
         dest.score_slots(trips, {}, {}, None, None)
 
 

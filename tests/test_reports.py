@@ -26,7 +26,7 @@ def test_phase_summary_uses_the_filled_grid(timeline):
 
 def test_phase_bounds():
     assert reports.phase_bounds(70, 70) == (70, 140) and reports.phase_bounds(70, 70, 100) == (70, 100)
-    with pytest.raises(ValueError, match="Unfreeze iteration must be after freeze iteration."):
+    with pytest.raises(ValueError, match="no iteration is frozen"):
         reports.phase_bounds(70, 70, 70)
 
 
