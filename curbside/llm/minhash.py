@@ -138,6 +138,11 @@ def estimated_similarity(one: Column, other: Column) -> Column:
     return ((1 - differ / F.lit(float(PERMUTATIONS))) - chance) / (1 - chance)
 
 
+def _first_shared(one: Column, other: Column) -> Column:
+    """The key of the first band in which two lists of band keys agree."""
+    return F.get(F.array_compact(F.zip_with(one, other, lambda x, y: F.when(x == y, x))), F.lit(0))
+
+
 def _cutoff(least: Fraction) -> float:
     """Pairs with a lower estimate are taken to be below the threshold."""
     threshold, chance = float(least), 2.0**-BITS
@@ -197,9 +202,9 @@ def _joining(members: DataFrame, docs: DataFrame, words: int, least: Fraction) -
     """Links (a, b) between nodes that share a band and lie in different components, enough to join all
     components that such links join. members: key, node, n, component, bands, packed.
 
-    A member goes on only if some other in its band may be similar enough. What goes on is compared in blocks
-    of a band, inside tasks: no pair leaves a task unless it is a link that joins two components there. A
-    pair that shares several bands is compared in the first of them.
+    A pair that shares several bands is compared in the first of them. A member goes on only if some other
+    in its band may be similar enough and shares no earlier band with it. What goes on is compared in blocks
+    of a band, inside tasks: no pair leaves a task unless it is a link that joins two components there.
     """
     a, b = members.alias("a"), members.alias("b")
     n_a, n_b = F.col("a.n"), F.col("b.n")
@@ -208,6 +213,7 @@ def _joining(members: DataFrame, docs: DataFrame, words: int, least: Fraction) -
         & (F.col("a.component") != F.col("b.component"))
         & (F.least(n_a, n_b) * least.denominator >= F.greatest(n_a, n_b) * least.numerator)
         & (estimated_similarity(F.col("a.packed"), F.col("b.packed")) >= _cutoff(least))
+        & (_first_shared(F.col("a.bands"), F.col("b.bands")) == F.col("a.key"))
     )
     near = stage(a.join(b, partner, "left_semi"), "near-members")
     sets = _full_sets(near, docs, words)
