@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from curbside.llm.components import connected_components
 from curbside.sources.staging import stage
 
-#: Entries of a list that are compared in one step.
+#: Members of a list that are compared in one step, with each other or with so many visitors.
 BLOCK = 1024
+VISITORS = 4096
 
 
 @dataclass
@@ -35,22 +36,19 @@ class ProductIndex:
             rest[:, part] -= words[codes[:, s]]
         return nearest, codes, np.sqrt((rest**2).sum(axis=1))
 
-    def probes(self, unit: np.ndarray, own: np.ndarray, reach: float, most: int) -> np.ndarray:
-        """For each vector the nearest lists, its own left out, that may hold a vector within `reach` of it:
-        `most` at most, -1 where there are fewer.
+    def probes(self, unit: np.ndarray, own: np.ndarray, reach: float) -> np.ndarray:
+        """For each vector (rows) the lists (columns), its own left out, that may hold a vector within `reach` of it.
 
         Such a vector lies on its list's side of the plane between that list's centre and the own one, so the
         vector itself is at most `reach` away from that side.
         """
-        far = (unit**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1)[None] - 2 * unit @ self.centres.T
-        apart = np.sqrt(((self.centres[:, None, :] - self.centres[None]) ** 2).sum(axis=2))[own]
+        square = (self.centres**2).sum(axis=1)
+        far = square[None] - 2 * unit @ self.centres.T
+        apart = np.sqrt(np.maximum(square[own][:, None] + square[None] - 2 * self.centres[own] @ self.centres.T, 0)) + 1e-7
         row = np.arange(len(unit))
-        far[far - far[row, own][:, None] > 2 * reach * apart + 1e-9] = np.inf
-        far[row, own] = np.inf
-        order = np.argsort(far, axis=1, kind="stable")[:, :most]
-        out = np.full((len(unit), most), -1)
-        out[:, : order.shape[1]] = np.where(np.isfinite(np.take_along_axis(far, order, 1)), order, -1)
-        return out
+        near = far - far[row, own][:, None] <= 2 * reach * apart + 1e-9
+        near[row, own] = False
+        return near
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -84,9 +82,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def near_vectors(
-    vectors: DataFrame, least: float = 0.98, sample: int = 20_000, per_list: int = 512, lists: int = 1024, probes: int = 8
-) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.98, sample: int = 20_000, per_list: int = 512, lists: int = 1024) -> DataFrame:
     """For each row of `vectors` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Rows are linked when their labels are equal and not null and the cosine of their vectors, in double
@@ -96,11 +92,11 @@ def near_vectors(
     linked with nothing, has a null component and is kept. Other columns are not read.
 
     Equal vectors are one entry with a count. An index for each length of vector is fitted on about `sample`
-    entries, with a list for every `per_list` entries and `lists` at most; every entry is in it. Probed are, of
-    the lists that can hold a link, the `probes` nearest: with more of them a link is found unless each of its
-    vectors lies outside the nearest lists of the other. A pair is dropped by its table-lookup distance only if
-    the known error of the codes allows no link. Lists are compared in blocks inside tasks: a task sends
-    counts and one row for each entry and block, never pairs.
+    entries, with a list for every `per_list` entries and `lists` at most; every entry is in it. The lists probed
+    are all that can hold a link, and a pair is dropped by its table-lookup distance only if the known error
+    of the codes allows no link, so no link is lost. A pair in two lists meets in one of them: the members of a
+    list are compared with each other and with its visitors, in blocks inside tasks, and a task sends counts and
+    one row for each entry and block, never pairs.
     """
     spark = vectors.sparkSession
     good = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -133,31 +129,37 @@ def near_vectors(
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                     index = shared.value.get(int(w))
                     if index is None:  # a length of vector without an index: one list
-                        places, more = np.zeros(len(x), np.int64), np.full((len(x), probes), -1)
+                        places, enters = np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
                     else:
-                        places = _nearest(unit, index.centres)
-                        more = index.probes(unit, places, reach, probes)
-                    cells = np.concatenate((places[:, None], more), axis=1)
-                    row, at_cell = np.nonzero(cells >= 0)
-                    seen = pa.ListArray.from_arrays(np.arange(0, more.size + 1, probes, dtype=np.int32), pa.array(more.ravel(), pa.int32()))
+                        places, lists_ = _nearest(unit, index.centres), np.arange(len(index.centres))
+                        # of two lists, the one of the higher number is entered if their sum is even, else the other
+                        enters = index.probes(unit, places, reach) & ((lists_[None] > places[:, None]) == ((lists_[None] + places[:, None]) % 2 == 0))
+                        enters[np.arange(len(x)), places] = True
+                    row, cell = np.nonzero(enters)
                     yield pa.RecordBatch.from_arrays(
                         [
                             own.column(c).take(pa.array(row)) for c in ("label", "width", "entry", "many", "embedding")
-                        ] + [pa.array(cells[row, at_cell], pa.int32()), pa.array(places[row], pa.int32()), seen.take(pa.array(row))],
-                        names=["label", "width", "entry", "many", "embedding", "cell", "home", "probes"],
+                        ] + [pa.array(cell, pa.int32()), pa.array(cell == places[row])],
+                        names=["label", "width", "entry", "many", "embedding", "cell", "member"],
                     )
 
     label = entries.schema["label"].dataType.simpleString()
     vector = entries.schema["embedding"].dataType.simpleString()
-    schema = f"label {label}, width int, entry bigint, many bigint, embedding {vector}, cell int, home int, probes array<int>"
+    schema = f"label {label}, width int, entry bigint, many bigint, embedding {vector}, cell int, member boolean"
     entered = stage(entries.select("label", "width", "entry", "many", "embedding").mapInArrow(enter, schema), "list-entries")
     group = ["label", "width", "cell"]
-    blocks = entered.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows"))
-    cut = entered.join(blocks.where("rows > 1").drop("rows"), group).withColumn("own", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.withColumns({"i": F.least("own", "turn"), "j": F.greatest("own", "turn")})
+    members, visitors = F.count_if("member"), F.count_if(~F.col("member"))
+    blocks = entered.groupBy(*group).agg(
+        F.ceil(members / BLOCK).cast("int").alias("blocks"), F.ceil(visitors / VISITORS).cast("int").alias("visits"), F.count("*").alias("rows")
+    )
+    cut = entered.join(blocks.where("blocks > 0 AND rows > 1").drop("rows"), group)
+    # blocks of visitors have negative numbers and meet blocks of members only
+    dealt = lambda n: F.pmod(F.xxhash64("entry"), F.greatest(F.lit(1), F.col(n))).cast("int")
+    cut = cut.withColumn("own", F.when(F.col("member"), dealt("blocks")).otherwise(-1 - dealt("visits")))
+    cut = cut.withColumn("turn", F.explode(F.sequence(F.when(F.col("member"), -F.col("visits")).otherwise(0), F.col("blocks") - 1)))
+    cut = cut.withColumns({"i": F.greatest("own", "turn"), "j": F.least("own", "turn")})
     step = F.xxhash64(*group, "i", "j")  # rows of one step have one hash; steps that share a hash are told apart by `group`
-    cut = cut.select(*group, "i", "j", "own", "entry", "many", "home", "probes", "embedding").withColumn("step", step)
+    cut = cut.select(*group, "i", "j", "own", "entry", "many", "embedding").withColumn("step", step)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -202,10 +204,7 @@ def _bounds(table: pa.Table) -> np.ndarray:
 
 def _linked(table: pa.Table, ends: np.ndarray, indexes: dict[int, ProductIndex], least: float, reach: float) -> pa.RecordBatch:
     """For each entry of each step: links found there (equal vectors counted each) and the smallest entry they reach."""
-    width, cell, i, j, own, entry, many, home = (
-        table[c].to_numpy() for c in ("width", "cell", "i", "j", "own", "entry", "many", "home")
-    )
-    probes = _matrix(table["probes"]).astype(np.int64)
+    width, cell, i, j, own, entry, many = (table[c].to_numpy() for c in ("width", "cell", "i", "j", "own", "entry", "many"))
     vectors = table["embedding"].combine_chunks()
     out_entry, out_links, out_root = [], [], []
     for a, b in zip(ends[:-1], ends[1:]):
@@ -215,10 +214,7 @@ def _linked(table: pa.Table, ends: np.ndarray, indexes: dict[int, ProductIndex],
         index = indexes.get(int(width[a]))
         one = np.flatnonzero(own[a:b] == i[a])
         two = np.flatnonzero(own[a:b] == j[a])
-        ids, homes = entry[a:b], home[a:b]
-        inside = homes == cell[a]
-        # a visitor meets a member here unless they meet in the visitor's own list, of a higher number
-        elsewhere = lambda m, v: (homes[v][None] > cell[a]) & (probes[a:b][m][:, :, None] == homes[v][None, None]).any(axis=1)
+        ids = entry[a:b]
         total = np.zeros(b - a, np.int64)
         near: list[tuple[np.ndarray, np.ndarray]] = []
         if index is not None:
@@ -232,10 +228,7 @@ def _linked(table: pa.Table, ends: np.ndarray, indexes: dict[int, ProductIndex],
             error = np.sqrt((rest**2).sum(axis=1))
         for at in range(0, len(one), 128):
             rows = one[at : at + 128]
-            open_ = inside[rows][:, None] & inside[two][None]
-            open_ |= inside[rows][:, None] & ~inside[two][None] & ~elsewhere(rows, two)
-            open_ |= ~inside[rows][:, None] & inside[two][None] & ~elsewhere(two, rows).T
-            open_ &= (ids[rows][:, None] < ids[two][None]) if i[a] == j[a] else True
+            open_ = ids[rows][:, None] < ids[two][None] if i[a] == j[a] else np.ones((len(rows), len(two)), bool)
             if index is not None:
                 seen = unit[rows] - centre
                 far = np.zeros((len(rows), len(two)))

@@ -177,6 +177,26 @@ def test_vectors(spark):
     assert by[3003].n_links == 0 and by[3000].kept and by[1039].component_id == 0
 
 
+@pytest.mark.parametrize("per_list, block", [(4, 1024), (60, 16)])
+def test_vectors_lose_no_link_in_a_dense_group(spark, monkeypatch, per_list, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "VISITORS", 2 * block)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + rng.normal(size=(400, 64)) * 0.0165  # about as far apart as a link reaches
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_vectors(rows, 0.98, per_list=per_list).collect()}
+    assert near.sum() > 100_000 and [got[i].n_links for i in range(1200)] == near.sum(axis=1).tolist()
+    name = np.arange(1200)
+    while (name != (least := np.where(near, name[None], name[:, None]).min(axis=1))).any():
+        name = np.minimum(name, least)
+    assert [got[i].component_id for i in range(1200)] == name.tolist()
+
+
 def test_language(spark):
     rng = random.Random(1)
     vocabulary = {"en": "the house and water is good with them", "de": "das haus und wasser ist gut mit ihnen", "fr": "la maison et eau est bonne avec eux"}
