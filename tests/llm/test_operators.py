@@ -197,6 +197,21 @@ def test_vectors_lose_no_link_in_a_dense_group(spark, monkeypatch, per_list, blo
     assert [got[i].component_id for i in range(1200)] == name.tolist()
 
 
+@pytest.mark.parametrize("lists", [46, 187, 750])
+def test_probes_reach_the_list_of_every_link(lists):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + rng.normal(size=(1000, 64)) * 0.0165
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.fit_index(unit, lists)
+    home = vectors._nearest(unit, index.centres)
+    seen = index.probes(unit, home, float(np.sqrt(0.04)) + 1e-9)
+    seen[np.arange(3000), home] = True
+    one, two = np.nonzero(unit @ unit.T >= 0.98)
+    assert seen[one, home[two]].all() and (seen.sum(axis=1) > 9).any()  # more than the own list and 8 others
+
+
 def test_language(spark):
     rng = random.Random(1)
     vocabulary = {"en": "the house and water is good with them", "de": "das haus und wasser ist gut mit ihnen", "fr": "la maison et eau est bonne avec eux"}
