@@ -332,3 +332,10 @@ WHITTLE = f"""WITH RECURSIVE wsteps AS (SELECT arm, row_number() OVER (PARTITION
 def whittle_learning(t):
     out = replay.whittle_learning(t.two_action_log, F.col("reward"), outer=3)
     return out.select("arm", "state", round4("index").alias("index"), round4("gap").alias("gap"), "rounds")
+
+
+@query("l15_whittle_learned")
+def whittle_learned(t):
+    """All 500 rounds; the SQL of `l15_whittle_learning` has the first 3."""
+    out = replay.whittle_learning(t.two_action_log, F.col("reward"))
+    return out.select("arm", "state", round4("index").alias("index"), round4("gap").alias("gap"), "rounds", "converged")

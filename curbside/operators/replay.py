@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -318,6 +319,43 @@ def exp3_stable(
 # --- index learning -------------------------------------------------------------------------
 
 
+def _index_udf(outer: int, alpha: float, eta: float, discount: float, tolerance: float, n_states: int):
+    """All rounds of `whittle_learning` for arms whose log is one chunk: the same steps, for the arms of a batch at once."""
+
+    @F.pandas_udf("index array<double>, gap array<double>, rounds int, converged boolean")
+    def learn(k: pd.Series, nxt: pd.Series, r: pd.Series, passive: pd.Series) -> pd.DataFrame:
+        many = k.map(len).to_numpy()
+        arms = np.argsort(-many, kind="stable")  # longest first: those with a step t stand in front
+        starts, many = (np.cumsum(many) - many)[arms], many[arms]
+        k, nxt, r, passive = (np.concatenate(c.to_list()) if len(c) else np.zeros(0) for c in (k, nxt, r, passive))
+        n = len(arms)
+        found = {"index": np.zeros((n, n_states)), "gap": np.full((n, n_states), np.inf), "rounds": np.zeros(n, int), "converged": np.zeros(n, bool)}
+        values, index = np.zeros((n, 2 * n_states, n_states)), np.zeros((n, n_states))  # the last axis is the threshold
+        for done in range(1, outer + 1):
+            if not len(arms):
+                break
+            longest, live = many[0], len(arms)
+            for t in range(longest):
+                while many[live - 1] <= t:
+                    live -= 1
+                row, at = np.arange(live), starts[:live] + t
+                entry, after = k[at].astype(int), nxt[at].astype(int)
+                future = np.maximum(values[row, 2 * after], values[row, 2 * after + 1])
+                future[after < 0] = 0.0
+                own = values[row, entry]
+                reward = r[at][:, None] + passive[at][:, None] * index[:live]
+                values[row, entry] = own + alpha * (reward + discount * future - own)
+            state = np.arange(n_states)
+            diff = values[:, 2 * state + 1, state] - values[:, 2 * state, state]
+            index = index + eta * diff
+            settled = np.abs(diff).max(axis=1) < tolerance
+            found["index"][arms], found["gap"][arms], found["rounds"][arms], found["converged"][arms] = index, np.abs(diff), done, settled
+            arms, starts, many, values, index = (x[~settled] for x in (arms, starts, many, values, index))
+        return pd.DataFrame({c: list(x) for c, x in found.items()})
+
+    return learn
+
+
 def whittle_learning(
     log: DataFrame, reward: Column, outer: int = 500, alpha: float = 0.05, eta: float = 0.01, discount: float = 0.95,
     tolerance: float = 1e-3, n_states: int = N_STATES, size: int = CHUNK, ids=IDS,
@@ -326,7 +364,8 @@ def whittle_learning(
 
     Each state of each arm is a problem of its own: replay the log with the state's current index
     added to passive rewards, then move the index by eta times its action-value gap. An arm stops
-    once its largest gap is below `tolerance`. Columns: state, index, gap, rounds.
+    once its largest gap is below `tolerance`, and has then converged. Columns: state, index, gap, rounds,
+    converged. Arms whose log is one chunk run all rounds in one task, longer ones a job each round.
     """
     fields = {
         "k": _entry("state", "action", 2),
@@ -335,6 +374,18 @@ def whittle_learning(
         "passive": (F.col("action") == 0).cast("double"),
     }
     log_chunks = stage(pack_chunks(log, fields, size, ids), "whittle-log")
+    last = Window.partitionBy(*ids)
+    short = log_chunks.withColumn("_last", F.max("chunk").over(last)).where("_last = 0")
+    learn = _index_udf(outer, alpha, eta, discount, tolerance, n_states)
+    done = short.repartition(4 * log.sparkSession.sparkContext.defaultParallelism, *ids).select(
+        *ids, learn("k", "nxt", "r", "passive").alias("_f")
+    )
+    done = stage(done, "whittle-short").select(
+        *ids, F.posexplode(F.arrays_zip("_f.index", "_f.gap")).alias("state", "_v"), "_f.rounds", "_f.converged"
+    ).select(*ids, "state", "_v.index", "_v.gap", "rounds", "converged")
+    if _last_chunk(log_chunks) == 0:
+        return done
+    log_chunks = stage(log_chunks.withColumn("_last", F.max("chunk").over(last)).where("_last > 0").drop("_last"), "whittle-long")
     key = [*ids, "threshold"]
     fold = _q_udf(alpha, discount, 2)
     width = 2 * n_states
@@ -370,4 +421,6 @@ def whittle_learning(
         worst = F.max("gap").over(Window.partitionBy(*ids))
         moved = moved.withColumn("open", worst >= tolerance)
         state = stage(moved.unionByName(state.where("NOT open")), "whittle-state")
-    return state.select(*ids, F.col("threshold").alias("state"), "index", "gap", "rounds")
+    return done.unionByName(
+        state.select(*ids, F.col("threshold").alias("state"), "index", "gap", "rounds", (~F.col("open")).alias("converged"))
+    )

@@ -230,6 +230,39 @@ def test_whittle_learning_matches_a_plain_loop(log, size):
             assert np.allclose(got[arm, th][:2], (index, abs(gap))) and got[arm, th][2] == 2
 
 
+@pytest.mark.parametrize("size", [120, 100000])
+def test_whittle_learning_says_which_arms_converged(log, size):
+    df, rows = log
+    two = df.withColumn("action", (F.col("action") >= 1).cast("int"))
+    rounds, tolerance = 6, 0.1
+    got = {(r.arm, r.state): r for r in replay.whittle_learning(
+        two, F.col("reward"), outer=rounds, alpha=0.2, eta=0.5, discount=0.8, tolerance=tolerance, n_states=S, size=size).collect()}
+    assert len(got) == S * len(arms(rows))
+    for arm, mine in arms(rows).items():
+        q, index = np.zeros((S, S, 2)), np.zeros(S)  # by threshold
+        for done in range(1, rounds + 1):
+            for th in range(S):
+                for r in mine:
+                    s, a, reward, ns = r[5], int(r[6] >= 1), r[8], r[9]
+                    future = q[th, ns].max() if ns is not None else 0.0
+                    q[th, s, a] += 0.2 * (reward + (index[th] if a == 0 else 0.0) + 0.8 * future - q[th, s, a])
+            gap = np.array([q[th, th, 1] - q[th, th, 0] for th in range(S)])
+            index = index + 0.5 * gap
+            if np.abs(gap).max() < tolerance:
+                break
+        for th in range(S):
+            r = got[arm, th]
+            assert np.allclose((r["index"], r.gap), (index[th], abs(gap[th])))
+            assert r.rounds == done and r.converged == (np.abs(gap).max() < tolerance)
+
+
+def test_the_learned_indices_are_not_cut_to_the_rounds_of_the_sql(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["l15_whittle_learned"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.converged or r.rounds == 500 for r in rows) and max(r.rounds for r in rows) > 3
+
+
 def test_priority_scores(spark):
     q = spark.createDataFrame([("r", 0, 1, s, a, float(10 * s + a * 3)) for s in range(2) for a in range(2)], "run string, agent int, arm int, state int, action int, q double")
     states = spark.createDataFrame([("r", 0, 1, 1)], "run string, agent int, arm int, state int")
