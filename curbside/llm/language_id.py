@@ -96,13 +96,15 @@ def train(labelled: DataFrame, vocabulary: str, per_language: int = 4000, most:
     """Piece probabilities for each language, by expectation maximisation over all segmentations of the words.
 
     `labelled` has doc_id, text and lang; rows without a language are not used, nor those without a doc_id.
-    The model is fitted on a sample of about `per_language` documents of each of the `most` commonest
-    languages, chosen by a hash of doc_id; whole texts of these are used. Without labelled rows the model
-    has no language and predicts `und` for every text.
+    The model is fitted on a sample of about `per_language` documents of each language, chosen by a hash
+    of doc_id; whole texts of these are used. More than `most` languages are an error: none is left out. Without
+    labelled rows the model has no language and predicts `und` for every text.
     """
     spark = labelled.sparkSession
     labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"there are more than {most} labelled languages")
     languages = sorted(r["lang"] for r in sizes)
     codec = piece_codec(vocabulary)
     if not languages:

@@ -232,6 +232,13 @@ def test_language(spark):
     assert kept.columns == learned.columns and kept.count() == 3
 
 
+def test_no_language_is_left_out(spark):
+    learned = frame(spark, [(1, "the house"), (2, "das haus"), (3, "la maison")], ["en", "de", "fr"])
+    assert language_id.train(learned, PIECES, most=3).languages == ["de", "en", "fr"]
+    with pytest.raises(ValueError, match="more than 2"):
+        language_id.train(learned, PIECES, most=2)
+
+
 def test_path_sums_add_all_segmentations():
     from curbside.llm.trie import DoubleArrayTrie, lattice, path_sums
 
