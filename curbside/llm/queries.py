@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from curbside.llm import exact_dedup, language_id, minhash, packing, pieces, pii, suffix_dedup, token_counts, toxicity, vectors
+from curbside.llm import (
+    exact_dedup, language_id, minhash, mixing, packing, pieces, pii, suffix_dedup, token_counts, toxicity, vectors,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,3 +223,36 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of three-word shingles have a similarity of 0.85 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity="0.85")
+
+
+@query
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources takes of each document."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), repeats=3)
+
+
+ORACLES["op11_mixing"] = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+),
+s AS (
+  SELECT source, sum(size) AS source_size, 3 * sum(size) AS most,
+    [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM d GROUP BY source
+),
+leveled AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l
+  FROM s WINDOW o AS (ORDER BY most::DOUBLE / weight, source NULLS LAST)
+),
+t AS (SELECT source, source_size::BIGINT AS source_size, least(most::DOUBLE, weight * max(l) OVER ()) AS target FROM leveled),
+q AS (
+  SELECT *, coalesce(sum(size) OVER (
+    PARTITION BY source ORDER BY md5(concat_ws(':', '0', coalesce(doc_id::VARCHAR, ''), size::VARCHAR)), doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d
+)
+SELECT doc_id, q.source, size, source_size, target,
+  list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(size, floor(target)::BIGINT - e * source_size - start))))::BIGINT AS taken
+FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source
+"""
