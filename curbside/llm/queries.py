@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbside.llm import (
-    exact_dedup, language_id, minhash, mixing, packing, pieces, pii, suffix_dedup, token_counts, toxicity, vectors,
+    exact_dedup, language_id, lexical, minhash, mixing, packing, pieces, pii, suffix_dedup, token_counts, toxicity, vectors,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,3 +256,36 @@ SELECT doc_id, q.source, size, source_size, target,
   list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(size, floor(target)::BIGINT - e * source_size - start))))::BIGINT AS taken
 FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source
 """
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op12_lexical_search"] = """
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS row_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL
+),
+d AS (SELECT *, len(terms) AS n FROM split WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS l FROM d),
+p AS (SELECT row_id, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf
+  FROM (SELECT row_id, doc_id, n, unnest(terms) AS term FROM d) GROUP BY row_id, term),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, whole GROUP BY term, big_n),
+s AS (
+  SELECT item_id, row_id, any_value(doc_id) AS doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // l))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), whole GROUP BY item_id, row_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
