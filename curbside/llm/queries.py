@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbside.llm import (
-    exact_dedup, language_id, lexical, minhash, mixing, packing, pieces, pii, suffix_dedup, token_counts, toxicity, vectors,
+    exact_dedup, language_id, lexical, minhash, mixing, packing, pieces, pii, repair, suffix_dedup, token_counts, toxicity,
+    vectors,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +290,9 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of each damaged conversation."""
+    return repair.repair_conversations(repair.damage(table(spark, sf_dir, "conversations")))
