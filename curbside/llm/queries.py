@@ -296,3 +296,83 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of each damaged conversation."""
     return repair.repair_conversations(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op13_conversation_repair"] = """
+WITH RECURSIVE
+crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))
+),
+keyed AS (
+  SELECT *, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS codes
+  FROM conversations
+),
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, codes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM keyed, crc
+),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM kinds)
+),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged
+),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM ordered),
+turns AS (
+  SELECT conv_id, turn, i, role, text, left(role, 1) AS init,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault
+  FROM seen
+),
+pairs AS (SELECT *, lag(init) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM turns),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || init NOT IN ('su', 'ua', 'au')) AS illegal,
+    count(*) AS n
+  FROM pairs GROUP BY conv_id
+),
+ins(state, mid, marks, lines) AS (
+  VALUES (0, 0, '', []::VARCHAR[]), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']),
+    (1, 3, 'II', ['user:', 'assistant:']), (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])
+),
+edits(mid, init, mark, state, cost) AS (
+  VALUES (0, NULL, 'D', 0, 3), (1, NULL, 'D', 1, 3), (2, NULL, 'D', 2, 3), (3, NULL, 'D', 3, 3),
+    (0, NULL, 'R', 2, 2), (1, NULL, 'R', 2, 2), (2, NULL, 'R', 3, 2), (3, NULL, 'R', 2, 2),
+    (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (3, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0)
+),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {'c': 0, 'a': '', 'l': []::VARCHAR[]} AS best FROM counted
+  UNION ALL
+  SELECT w.conv_id, t.i, e.state, min({
+    'c': w.best.c + 2 * length(n.marks) + e.cost + CASE WHEN t.fault = 'truncated' AND e.mark <> 'D' THEN 1 ELSE 0 END,
+    'a': w.best.a || n.marks || e.mark,
+    'l': list_concat(w.best.l, n.lines, CASE e.mark WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text]
+      ELSE [CASE e.state WHEN 2 THEN 'user:' ELSE 'assistant:' END || t.text] END)})
+  FROM ways w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = w.i + 1
+    JOIN ins n ON n.state = w.state
+    JOIN edits e ON e.mid = n.mid AND (e.init IS NULL OR e.init = t.init)
+      AND (e.mark = 'D' OR coalesce(t.fault, '') NOT IN ('blank', 'duplicate'))
+  GROUP BY w.conv_id, t.i, e.state
+),
+trail(state, marks, lines) AS (
+  VALUES (0, '', []::VARCHAR[]), (1, 'II', ['user:', 'assistant:']), (2, 'I', ['assistant:']), (3, '', [])
+),
+ended AS (
+  SELECT w.conv_id, min({'c': w.best.c + 2 * length(t.marks), 'a': w.best.a || t.marks, 'l': list_concat(w.best.l, t.lines)}) AS best
+  FROM ways w JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n JOIN trail t ON t.state = w.state
+  GROUP BY w.conv_id
+),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.l, chr(10)), '')) AS repaired_sha256
+FROM every v LEFT JOIN counted c ON v.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON v.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
