@@ -12,16 +12,14 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from curbside.llm.pieces import MARK, piece_codec
-from curbside.llm.text import distinct, resident, slices, split_words
+from curbside.llm.pieces import LATTICE_BYTES, MARK, piece_codec, runs
+from curbside.llm.text import KEEP, Recent, distinct, resident, slices, split_words
 from curbside.llm.trie import expected_counts, lattice, path_sums
 from curbside.sources.staging import stage
 
 UNKNOWN = "und"
 #: Log probability of a character that no piece covers, the same in every language.
 BARE = float(np.log(1e-9))
-#: Words whose segmentations are held at once; each byte takes some hundred bytes for each language.
-LATTICE_BYTES = 1 << 16
 #: Texts whose words are held at once.
 TEXT_BYTES = 2 << 20
 
@@ -41,35 +39,24 @@ class LanguageModel:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def _runs(words: list[str]) -> Iterator[list[str]]:
-    """`words` in runs of about `LATTICE_BYTES` bytes; a longer word is a run of its own."""
-    if words:
-        size = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
-        cut = np.flatnonzero(np.diff(np.cumsum(size) // LATTICE_BYTES)) + 1
-        for a, b in zip([0, *cut], [*cut, len(words)]):
-            yield words[a:b]
-
-
 class Scorer:
-    """Log probability of words in each language, found once for each word.
-
-    The memory of words is emptied at `keep` of them, which changes no result.
-    """
+    """Log probability of words in each language; `keep` words are remembered."""
 
-    def __init__(self, model: LanguageModel, keep: int = 250_000):
-        self.model, self.codec, self.keep = model, piece_codec(model.vocabulary), keep
-        self.known: dict[str, bytes] = {}
+    def __init__(self, model: LanguageModel, keep: int = KEEP):
+        self.model, self.codec, self.known = model, piece_codec(model.vocabulary), Recent(keep)
 
     def words(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        late = [w for w in words if w not in known]
-        for run in _runs(late):
+        out = [self.known.get(w) for w in words]
+        late = [i for i, sums in enumerate(out) if sums is None]
+        done = 0
+        for run in runs([words[i] for i in late]):
             found = lattice(self.codec.trie, [(MARK + w).encode() for w in run])
             sums = path_sums(found, self.model.scores, np.full(len(self.model.languages), BARE))[found.last]
-            known.update((w, row.tobytes()) for w, row in zip(run, sums))
-        return np.frombuffer(b"".join([known[w] for w in words])).reshape(-1, len(self.model.languages))
+            for at, row in zip(late[done:], sums):
+                out[at] = row.tobytes()
+                self.known.put(words[at], out[at])
+            done += len(run)
+        return np.frombuffer(b"".join(out)).reshape(-1, len(self.model.languages))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         offsets, words = letter_words(texts)

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from curbside.llm.text import distinct, gather, slices
+from curbside.llm.text import KEEP, Recent, distinct, gather, resident, slices
 from curbside.llm.trie import DoubleArrayTrie, best_paths, lattice
 
 MARK = "▁"
 #: How much worse than the worst piece a character without a piece is.
 BARE = 10.0
+#: A lattice takes some hundred bytes for each byte of its strings.
+LATTICE_BYTES = 64 << 10
 
 
 def zipf_scores(n: int) -> np.ndarray:
@@ -32,7 +33,7 @@ class PieceCodec:
     order of their ids. Text gets one mark in front, each space becomes a mark; nothing else is changed.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = KEEP):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -61,7 +62,7 @@ class PieceCodec:
         if any(inner.search(p.decode()) for p in self.pieces):
             raise ValueError("pieces that reach over a space or a line end are not supported")
         self.trie = DoubleArrayTrie(self.pieces)
-        self.keep, self.known = keep, {}
+        self.known = Recent(keep)
 
     def segment(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk (marks in place) as little-endian unsigned 32-bit integers."""
@@ -83,15 +84,16 @@ class PieceCodec:
         return [raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])]
 
     def coded(self, chunks: list[str]) -> list[bytes]:
-        """`segment` with a memory of chunks, which is emptied when it holds `keep` of them."""
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        late = [x for x in chunks if x not in known]
-        for at in range(0, len(late), 20_000):  # a lattice takes some hundred bytes for each byte of its strings
-            own = late[at : at + 20_000]
-            known.update(zip(own, self.segment(own)))
-        return [known[x] for x in chunks]
+        """`segment`, with a memory of chunks."""
+        out = [self.known.get(x) for x in chunks]
+        late = [i for i, ids in enumerate(out) if ids is None]
+        done = 0
+        for run in runs([chunks[i] for i in late]):
+            for at, ids in zip(late[done:], self.segment(run)):
+                out[at] = ids
+                self.known.put(chunks[at], ids)
+            done += len(run)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Row offsets into the ids, and the ids of all texts. Null and empty texts have none."""
@@ -124,15 +126,32 @@ class PieceCodec:
         ids = gather((np.cumsum(size) - size)[codes], lengths, np.frombuffer(b"".join(coded), "<u4"))
         return np.concatenate(([0], np.cumsum(np.bincount(row, lengths, len(texts)).astype(np.int64)))), ids
 
+    def columns(self, texts: pa.Array) -> tuple[list[bytes], list[pa.Array]]:
+        """The ids of each text, and as columns: ids, how many, how many of these are bytes."""
+        low, high = self.bytes.min(), self.bytes.max()
+        offsets, ids = self.encode(texts)
+        raw = ids.tobytes()
+        spare = np.concatenate(([0], np.cumsum((ids >= low) & (ids <= high))))[offsets]
+        own = [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1], offsets[1:])]
+        return own, [pa.array(own, pa.binary()), pa.array(np.diff(offsets), pa.int64()), pa.array(np.diff(spare), pa.int64())]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of one document's ids in UTF-8, without the space in front that encoding added."""
         text = b"".join([self.text[i] for i in ids.tolist()])
         return text[1:] if text[:1] == b" " else text
 
 
-@lru_cache(maxsize=2)
 def piece_codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+    return resident(("pieces", path), lambda: PieceCodec(path))
+
+
+def runs(strings: list[str], most: int = LATTICE_BYTES) -> Iterator[list[str]]:
+    """`strings` in runs of about `most` bytes; a longer one is a run of its own."""
+    if strings:
+        size = np.fromiter((len(x.encode()) for x in strings), np.int64, len(strings))
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
+        for a, b in zip([0, *cut], [*cut, len(strings)]):
+            yield strings[a:b]
 
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
@@ -144,19 +163,11 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = piece_codec(model)
-        low, high = codec.bytes.min(), codec.bytes.max()
         for batch in batches:
-            for part in slices(batch, most=2 << 20):
-                offsets, ids = codec.encode(part.column("text"))
-                raw = ids.tobytes()
-                spare = np.concatenate(([0], np.cumsum((ids >= low) & (ids <= high))))[offsets]
+            for part in slices(batch, most=1 << 20):
+                _, columns = codec.columns(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), part.column("text"),
-                        pa.array([raw[4 * a : 4 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
-                        pa.array(np.diff(offsets), pa.int64()), pa.array(np.diff(spare), pa.int64()),
-                    ],
-                    names=["doc_id", "text", "ids", "n_tokens", "n_bytes"],
+                    [part.column("doc_id"), part.column("text"), *columns], names=["doc_id", "text", "ids", "n_tokens", "n_bytes"]
                 )
 
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(
@@ -164,6 +175,26 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     )
 
 
+def round_trips(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, ids, n_tokens, n_bytes as `encode_documents` gives them, and round_trip: whether the ids decode to the text
+    (null: empty). Encoded and decoded in one pass; texts stay where they are, so nothing but ids leaves the worker."""
+
+    def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = piece_codec(model)
+        for batch in batches:
+            for part in slices(batch, most=1 << 20):
+                ids, columns = codec.columns(part.column("text"))
+                texts = (x or "" for x in part.column("text").to_pylist())
+                same = [codec.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") == text for x, text in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *columns, pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "n_bytes", "round_trip"]
+                )
+
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(
+        there_and_back, "doc_id bigint, ids binary, n_tokens bigint, n_bytes bigint, round_trip boolean"
+    )
+
+
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     """`encoded` (with ids as `encode_documents` writes them) with a column `decoded`, replacing one of that name.
 

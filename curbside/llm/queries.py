@@ -41,10 +41,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document encoded into pieces and decoded again."""
-    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), PIECES)
-    return pieces.decode_documents(encoded, PIECES).select(
-        "doc_id", "n_tokens", "n_bytes", F.crc32("ids").alias("ids_crc32"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    return pieces.round_trips(table(spark, sf_dir, "documents"), PIECES).select(
+        "doc_id", "n_tokens", "n_bytes", F.crc32("ids").alias("ids_crc32"), "round_trip"
     )
 
 
@@ -204,8 +202,8 @@ ORACLES["op7_pii"] = _pii_sql()
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of each document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learned = labels.where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = toxicity.train(docs.select("doc_id", "text").join(learned, "doc_id"))
+    learned = labels.where(fold("doc_id", 5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs, learned)
     return toxicity.score_toxicity(docs, model).select(
         "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),

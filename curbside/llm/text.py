@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Values that a worker remembers by word; about 40 MB.
+KEEP = 100_000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """`batch` in runs of rows whose texts have about `most` bytes; a longer text is a run of its own."""
+    """`batch` in runs of rows whose texts have about `most` bytes; a longer text is a run of its own.
+
+    When the batch is done, memory that is free again goes back to the system: a worker's small values leave gaps
+    that would otherwise add up to hundreds of MB.
+    """
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     cut = np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
     for a, b in zip([0, *cut], [*cut, batch.num_rows]):
         yield batch.slice(a, b - a)
+    return_memory()
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -57,23 +67,44 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(256 + 34 + hidden.index(b)) for b in hidden}
 
 
+class Recent:
+    """What was put in or asked for last, `keep` values at most: when the newer half is full the older half goes.
+
+    Forgetting changes no result, only how often a value is worked out again.
+    """
+
+    def __init__(self, keep: int = KEEP):
+        self.half, self.new, self.old = max(1, keep // 2), {}, {}
+
+    def get(self, key: str):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class WordEncoder:
     """Ids of a tokenizer that drops white space, found once for each distinct word.
 
     A word of Latin letters, with or without one closing mark, goes straight to the merges; any other
-    word goes through the whole tokenizer. The memory of words is emptied when it holds `keep` of them,
-    which changes no result.
+    word goes through the whole tokenizer. `keep` words are remembered.
     """
 
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep = keep
-        self.bodies: dict[str, bytes] = {}
+        self.bodies = Recent(keep)
         self.letters = re.compile("[a-zß-öø-ÿ]+").fullmatch
         self.symbols = _byte_symbols()
         probe = ["Stille", "wässer,", "x.", "7"]
@@ -94,8 +125,6 @@ class WordEncoder:
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
-        if len(self.bodies) > self.keep:
-            self.bodies.clear()
         known, marks, letters, out, late = self.bodies, self.marks, self.letters, [], []
         for word in words:
             ids = known.get(word)
@@ -108,7 +137,8 @@ class WordEncoder:
                 if ids is not None:
                     ids += marks[mark]
                 elif self.short and letters(body):
-                    ids = known[body] = self._merged(body)
+                    ids = self._merged(body)
+                    known.put(body, ids)
                     ids += marks[mark]
                 else:
                     late.append(len(out))
@@ -144,14 +174,23 @@ _RESIDENT: dict[object, object] = {}
 def resident(key: object, make: Callable[[], object]) -> object:
     """What `make` gives, kept by this worker until another key is asked for.
 
-    Only one is kept, so the memory of operators that run one after another in a worker does not add up.
+    Only one is kept (with those that making it asks for), so the memory of operators that run one after another in a
+    worker does not add up.
     """
     if key not in _RESIDENT:
         _RESIDENT.clear()
-        pa.default_memory_pool().release_unused()
+        gc.collect()
+        return_memory()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
 
+def return_memory() -> None:
+    """Give memory that Python and Arrow no longer use back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def word_encoder(path: str) -> WordEncoder:
     return resident(("words", path), lambda: WordEncoder(path))

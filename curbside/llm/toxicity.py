@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from curbside.llm.language_id import letter_words
 from curbside.llm.text import distinct, gather, slices
+from curbside.sources.staging import stage
 
 
 @dataclass
@@ -110,19 +111,25 @@ def _fit(
 
 
 def train(
-    labelled: DataFrame, sample: int = 20_000, bits: int = 20, terms: int = 4096, least: float = 20.0, rank: int = 8,
-    epochs: int = 15, seed: int = 7,
+    docs: DataFrame, labels: DataFrame, sample: int = 20_000, bits: int = 20, terms: int = 4096, least: float = 20.0,
+    rank: int = 8, epochs: int = 15, seed: int = 7,
 ) -> FactorizationMachine:
-    """A factorization machine fitted on at most about `sample` rows of `labelled` (doc_id, text, label 0/1).
+    """A factorization machine fitted on the texts of `docs` (doc_id, text) by `labels` (doc_id, label 0/1).
 
-    The sample is chosen by a hash of doc_id, and whole texts of it are used; rows without label or doc_id
-    are left out. Of the hashed terms, the `terms` with the highest chi-square against the label, `least`
-    or more, enter the model. Without rows of both labels the model always gives the share of label 1 (0 without rows).
+    A sample of about `sample` labelled doc_ids is chosen by a hash; whole texts of it are used. A doc_id with several
+    labels has the largest; labels without doc_id or of another value are left out. Only the sampled labels are sent
+    to where the texts are: no text is shuffled, however many rows there are. Of the hashed terms, the `terms` with
+    the highest chi-square against the label, `least` or more, enter the model. Without rows of both labels the model
+    always gives the share of label 1 (0 without rows).
     """
-    known = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    sizes = known.agg(F.count("*").alias("n")).first()["n"]
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    known = known.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    sizes = known.count()
     place = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen_rows = known.where(place < min(1.0, sample / max(sizes, 1)))
+    drawn = stage(known.where(place < min(1.0, sample / max(sizes, 1))), "toxicity-sample")
+    # the draw is bounded by `sample`, give or take its chance error, whatever the input
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    chosen_rows = stage(texts, "toxicity-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Terms(bits)

@@ -46,7 +46,7 @@ def texts():
 def test_empty_tables(spark):
     none = frame(spark, [])
     model = language_id.train(none.select("doc_id", "text", "lang"), PIECES)
-    machine = toxicity.train(none.select("doc_id", "text", F.lit(1).alias("label")))
+    machine = toxicity.train(none, none.select("doc_id", F.lit(1).alias("label")))
     vector = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     for out in (
         packing.pack_documents(none, WORDS), token_counts.length_histogram(token_counts.encoded_lengths(none, WORDS)),
@@ -281,10 +281,27 @@ def test_toxicity_learns_pairs(spark):
         labels.append(int(insult and group))
     data = frame(spark, rows)
     label = spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, label int")
-    model = toxicity.train(data.select("doc_id", "text").where("doc_id < 600").join(label, "doc_id"))
+    model = toxicity.train(data.where("doc_id < 600"), label)
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(frame(spark, rows + [(5000, None), (5001, "")]), model).collect()}
     right = sum((got[i] >= 0.5) == labels[i] for i in range(600, 900))
     assert right >= 290 and 0 <= got[5000] <= 1 and got[5000] == got[5001]
+    for doc_id, text in rows[::50]:  # the plain sum over all pairs of terms
+        found = sorted({
+            zlib.crc32(t) % (1 << model.bits) for w in re.findall(r"[^\W\d_]+", text.lower())
+            for t in [w.encode(), *[b"^" + w[:k].encode() for k in range(3, 9) if len(w) > k]]
+        } & set(model.chosen.tolist()))
+        at = np.searchsorted(model.chosen, found)
+        raw = model.bias + model.weights[at].sum()
+        raw += sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9)
+
+
+def test_round_trips(spark, texts):
+    docs = frame(spark, texts)
+    want = {tuple(r) for r in pieces.encode_documents(docs, PIECES).select("doc_id", "ids", "n_tokens", "n_bytes").collect()}
+    got = pieces.round_trips(docs, PIECES).collect()
+    assert {tuple(r)[:4] for r in got} == want and len(got) == len(texts)
+    assert {r.doc_id for r in got if not r.round_trip} == {i for i, t in texts if "▁" in (t or "")}
 
 
 def test_repeats(spark, texts):
