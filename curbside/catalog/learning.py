@@ -112,7 +112,7 @@ def weights_after_reset(t):
 # --- ordered replays: the SQL follows each arm's log with a recursive query -------------------
 
 STEPS = """steps AS (SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY episode, step) AS i,
-             state AS s, action AS a, next_state AS ns, r, reward,
+             episode, state AS s, action AS a, next_state AS ns, r, reward,
              lead(action) OVER (PARTITION BY arm, episode ORDER BY step) AS na,
              {coin} AS coin FROM scaled)"""
 START = "SELECT arm, 0 AS i, list_transform(range({width}), lambda k: 0.0::DOUBLE) AS q FROM decisions GROUP BY arm"
@@ -139,6 +139,21 @@ def q_replay(t):
     return _q(t).select("arm", "state", "action", round6("q").alias("q"))
 
 
+EPISODE_ENDS = "(SELECT arm, episode, max(i) AS i FROM steps GROUP BY 1, 2)"
+
+
+@query(
+    "n2_episode_values",
+    _walk("CASE WHEN ns IS NULL THEN 0.0 ELSE list_max(w.q[ns * 5 + 1 : ns * 5 + 5]) END", 50)
+    + f""" SELECT 'log' AS run, 0 AS agent, arm, CAST(episode AS BIGINT) AS episode, CAST(k.range // 5 AS INT) AS state,
+        CAST(k.range % 5 AS INT) AS action, {r6('q[k.range + 1]')} AS q
+      FROM walk JOIN {EPISODE_ENDS} USING (arm, i) CROSS JOIN range(50) k""",
+)
+def episode_values(t):
+    """The table of values that each agent has learned by the end of each of its episodes."""
+    return replay.episode_values(t.decisions, reward_per_taxi(), ALPHA, DISCOUNT).withColumn("q", round6("q"))
+
+
 def _q(t):
     return replay.q_replay(t.decisions, reward_per_taxi(), ALPHA, DISCOUNT)
 

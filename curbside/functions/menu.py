@@ -15,6 +15,13 @@ MULTI_PLATFORM_FARE_CAP = 270.0
 REVENUE_NORMALIZER = 50000.0
 
 
+def within(value, n: int, what: str) -> Column:
+    """`value` if it is a whole number from 0 to n - 1; anything else, null too, fails the job."""
+    value = value if isinstance(value, Column) else F.col(value)
+    wrong = F.raise_error(F.concat(F.lit(f"there is no {what} "), F.coalesce(value.cast("string"), F.lit("null"))))
+    return F.when(value.between(0, n - 1), value).otherwise(wrong.cast("int"))
+
+
 def menu_array(menu=MULTIPLIERS) -> Column:
     return F.array(*[F.lit(float(m)) for m in menu])
 

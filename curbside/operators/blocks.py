@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from curbside.sources.staging import stage
+
 BLOCK = 65536
 
 
@@ -59,6 +61,22 @@ def dense_index(df: DataFrame, keys: list[str], order: str, out: str = "idx", si
     )
 
 
+def range_rank(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
+    """0-based position of each row of `df` along `order` (values of any kind and spread; ties in any order).
+
+    The rows are range-partitioned by `order`, so tasks hold about equal numbers of them however the values lie. A row's
+    place in its range is fixed when the ranges are written; only one count of each range goes through one task.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stage(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    part, within_part = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = stage(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before")), "range-offsets")
+    ranked = ranged.withColumn("_part", part).join(offsets, "_part").withColumn(out, F.col("_before") + within_part)
+    return ranked.drop("_place", "_part", "_before")
+
+
 def next_values(df: DataFrame, keys: list[str], order: str, cols: dict[str, str], size: int = BLOCK) -> DataFrame:
     """For each `out: column`, the column's value on the following row of the series, else null."""
     df = df.withColumn("_block", _block(order, size))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from curbside.functions.menu import MULTIPLIERS, multiplier_of
+from curbside.functions.menu import MULTIPLIERS, multiplier_of, within
 from curbside.functions.numeric import clip, ieee_div
 
 IDS = ["run", "agent", "arm"]
@@ -54,12 +54,13 @@ def exp3_weights(
     """Log weight of every (arm, action): eta times the sum of reward over logged probability.
 
     The update is additive and unclipped, so any order of partial sums gives it; unplayed actions
-    keep weight 0.
+    keep weight 0. An action outside the menu is an error.
     """
     reward = reward if isinstance(reward, Column) else F.col(reward)
     gain = ieee_div(reward, F.col("prob"))
+    action = within("action", n_actions, "action")
     totals = F.array(
-        *[F.coalesce(F.sum(F.when(F.col("action") == a, gain)), F.lit(0.0)) * F.lit(eta) for a in range(n_actions)]
+        *[F.coalesce(F.sum(F.when(action == a, gain)), F.lit(0.0)) * F.lit(eta) for a in range(n_actions)]
     )
     return log.groupBy(*ids).agg(totals.alias("w")).select(*ids, F.posexplode("w").alias("action", "log_w"))
 

@@ -14,18 +14,23 @@ Two ways carry the state from chunk to chunk, both exact:
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from curbside.functions.hashing import unit_hash
+from curbside.functions.menu import within
 from curbside.operators.learning import FLOOR, IDS, N_ACTIONS, WEIGHT_LIMIT
 from curbside.sources.staging import stage
 
 CHUNK = 131072
 N_STATES = 10
+#: Tables of values that a task holds before it sends them on.
+SNAPSHOTS = 1024
 
 
 # --- chunks ---------------------------------------------------------------------------------
@@ -58,6 +63,16 @@ def pack_chunks(log: DataFrame, fields: dict[str, Column], size: int = CHUNK, id
     return packed.select(*ids, "chunk", *[F.col(f"_r.{n}").alias(n) for n in fields])
 
 
+def with_next(chunks: DataFrame, fields: list[str], ids=IDS) -> DataFrame:
+    """For each array field an array `<field>_next` with the values of the rows that follow, over the chunks' bounds.
+    The arm's last row has null. Only the first row of each chunk moves. `chunks` must be staged."""
+    first = F.struct(*[F.get(f, F.lit(0)).alias(f) for f in fields])
+    after = F.lead(first).over(Window.partitionBy(*ids).orderBy("chunk"))
+    heads = chunks.select(*ids, "chunk", after.alias("_after"))
+    shifted = {f"{f}_next": F.concat(F.slice(f, 2, F.size(f)), F.array(F.col(f"_after.{f}"))) for f in fields}
+    return chunks.join(heads, [*ids, "chunk"]).withColumns(shifted).drop("_after")
+
+
 # --- carrying state -------------------------------------------------------------------------
 
 
@@ -73,8 +88,21 @@ def settle(
     chunks: DataFrame, fold: Callable[[], Column], touched: Column, width: int, ids=IDS,
     init: DataFrame | None = None,
 ) -> DataFrame:
-    """Final `values` array per arm. `fold()` maps `start` and the packed fields to the end values.
+    """Final `values` array per arm, from `settled_chunks`."""
+    ends, several = settled_chunks(chunks, fold, touched, width, ids, init)
+    if not several:
+        return ends.select(*ids, F.col("end").alias("values"))
+    # the last chunk's end holds every entry: its start was right, and the rest it updated itself
+    return ends.groupBy(*ids).agg(F.max_by("end", "chunk").alias("values"))
+
+
+def settled_chunks(
+    chunks: DataFrame, fold: Callable[[], Column], touched: Column, width: int, ids=IDS,
+    init: DataFrame | None = None,
+) -> tuple[DataFrame, bool]:
+    """`start` and `end` values of every chunk (ids, chunk), and whether any arm has more than one.
 
+    `fold()` maps `start` and the packed fields to the end values.
     `touched` is the array of entries a chunk updates; all others pass through it unchanged, so
     an entry's start is the end value of the last earlier chunk that touched it.
     `chunks` must be staged. `init` gives each arm's first start (default zeros).
@@ -85,7 +113,7 @@ def settle(
         else chunks.join(init.withColumnRenamed("values", "start"), ids)
     )
     if _last_chunk(chunks) == 0:
-        return first.withColumn("values", fold()).select(*ids, "values")
+        return first.withColumn("end", fold()).select(*ids, "chunk", "start", "end"), False
 
     origin = first.select(*ids, "chunk", F.col("start").alias("origin"))
     ends = stage(first.withColumn("end", fold()).select(*ids, "chunk", touched.alias("touched"), "start", "end"), "replay")
@@ -119,23 +147,29 @@ def settle(
             ),
             "replay",
         )
-    # the last chunk's end holds every entry: its start was right, and the rest it updated itself
-    return ends.groupBy(*ids).agg(F.max_by("end", "chunk").alias("values"))
+    return ends.select(*ids, "chunk", "start", "end"), True
 
 
 def advance(chunks: DataFrame, fold: Callable[[], Column], width: int, ids=IDS) -> DataFrame:
-    """Final `values` per arm, carrying the state through the chunks in order. `chunks` must be staged."""
-    state, last = None, _last_chunk(chunks)
-    for k in range(last + 1):
-        now = chunks.where(F.col("chunk") == k)
-        now = now.withColumn("start", _zeros(width)) if state is None else now.join(
-            state.withColumnRenamed("values", "start"), ids
-        )
-        done = now.withColumn("values", fold()).select(*ids, "values")
-        if state is not None:
-            done = done.unionByName(state.join(now.select(*ids), ids, "left_anti"))
-        state = done if last == 0 else stage(done, "replay-state")
-    return state
+    """Final `values` per arm, carrying the state through the chunks in order.
+
+    `chunks` must be staged by chunk (`partition_by="chunk"`): round k reads chunk k only, so all rounds together read
+    the log once. Only arms that have a chunk left are carried on; an arm's chunks are numbered without gaps.
+    """
+    lasts = stage(chunks.groupBy(*ids).agg(F.max("chunk").alias("last")), "replay-lasts")
+    end = lasts.agg(F.max("last")).first()[0] or 0
+    state = lasts.withColumn("start", _zeros(width))
+    rounds = []
+    for k in range(end + 1):
+        now = chunks.where(F.col("chunk") == k).join(state, ids)
+        done = now.withColumn("values", fold()).select(*ids, "last", "values", F.lit(k).alias("round"))
+        if not end:
+            return done.select(*ids, "values")
+        rounds.append(stage(done, "replay-round"))
+        state = rounds[-1].where(F.col("last") > k).select(*ids, "last", F.col("values").alias("start"))
+    paths = [f.rsplit("/", 1)[0] for done in rounds for f in done.inputFiles()[:1]]
+    every = chunks.sparkSession.read.schema(rounds[0].schema).parquet(*paths)
+    return every.where(F.col("last") == F.col("round")).select(*ids, "values")
 
 
 def value_table(values: DataFrame, n_actions: int = N_ACTIONS, ids=IDS) -> DataFrame:
@@ -151,12 +185,14 @@ def value_table(values: DataFrame, n_actions: int = N_ACTIONS, ids=IDS) -> DataF
 # --- updates --------------------------------------------------------------------------------
 
 
-def _entry(state: str, action: str, n_actions: int) -> Column:
-    return (F.col(state) * n_actions + F.col(action)).cast("int")
+def _entry(n_states: int, n_actions: int) -> Column:
+    """Where the value of a row's state and action stands; a state or action that there is not is an error."""
+    return (within("state", n_states, "state") * n_actions + within("action", n_actions, "action")).cast("int")
 
 
-def _next_state() -> Column:
-    return F.coalesce(F.col("next_state"), F.lit(-1)).cast("int")
+def _next_state(n_states: int) -> Column:
+    after = F.when(F.col("next_state").isNotNull(), within("next_state", n_states, "state"))
+    return F.coalesce(after, F.lit(-1)).cast("int")
 
 
 def _q_udf(alpha: float, discount: float, n_actions: int):
@@ -179,13 +215,61 @@ def q_replay(
     n_actions: int = N_ACTIONS, size: int = CHUNK, ids=IDS,
 ) -> DataFrame:
     """Q-learning over each arm's log in (episode, step) order; a null next state has no future."""
-    fields = {"k": _entry("state", "action", n_actions), "nxt": _next_state(), "r": reward.cast("double")}
+    fields = {"k": _entry(n_states, n_actions), "nxt": _next_state(n_states), "r": reward.cast("double")}
     chunks = stage(pack_chunks(log, fields, size, ids), "q-chunks")
     fold = _q_udf(alpha, discount, n_actions)
     values = settle(chunks, lambda: fold("start", "k", "nxt", "r"), F.array_distinct("k"), n_states * n_actions, ids)
     return value_table(values, n_actions, ids)
 
 
+def episode_values(
+    log: DataFrame, reward: Column, alpha: float = 0.05, discount: float = 0.95, n_states: int = N_STATES,
+    n_actions: int = N_ACTIONS, size: int = CHUNK, ids=IDS,
+) -> DataFrame:
+    """The action values of `q_replay` as they stand at the end of each episode: (ids, episode, state, action, q).
+
+    First all chunks are settled; then each is followed once more from its right start and leaves its values
+    wherever an episode ends. An episode that goes on in the next chunk ends there. A task holds one chunk and at most
+    `SNAPSHOTS` tables of values, however many episodes there are.
+    """
+    fields = {"k": _entry(n_states, n_actions), "nxt": _next_state(n_states), "r": reward.cast("double"), "e": F.col("episode").cast("bigint")}
+    chunks = stage(pack_chunks(log, fields, size, ids), "episode-chunks")
+    fold = _q_udf(alpha, discount, n_actions)
+    ends, _ = settled_chunks(chunks, lambda: fold("start", "k", "nxt", "r"), F.array_distinct("k"), n_states * n_actions, ids)
+    closes = F.zip_with("e", "e_next", lambda x, y: ~x.eqNullSafe(y))
+    rows = with_next(chunks, ["e"], ids).withColumn("closes", closes).join(ends.select(*ids, "chunk", "start"), [*ids, "chunk"])
+    rows = rows.select(*ids, "start", "k", "nxt", "r", "e", "closes")
+    kinds = [pa.field(f.name, to_arrow_type(f.dataType)) for f in rows.select(*ids).schema]
+    schema = pa.schema([*kinds, ("episode", pa.int64()), ("values", pa.list_(pa.float64()))])
+    many = len(ids)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                q, *lists = (batch.column(c)[at].values.to_numpy(zero_copy_only=False).tolist() for c in ("start", "k", "nxt", "r", "e", "closes"))
+                episodes, values = [], []
+
+                def found() -> pa.RecordBatch:
+                    own = [batch.column(c).take(pa.array([at] * len(episodes))) for c in range(many)]
+                    return pa.RecordBatch.from_arrays([*own, pa.array(episodes, pa.int64()), pa.array(values, pa.list_(pa.float64()))], schema=schema)
+
+                for i, n, gain, episode, closed in zip(*lists):
+                    future = max(q[n * n_actions : (n + 1) * n_actions]) if n >= 0 else 0.0
+                    q[i] += alpha * (gain + discount * future - q[i])
+                    if closed:
+                        episodes.append(episode)
+                        values.append(q[:])
+                        if len(episodes) == SNAPSHOTS:
+                            yield found()
+                            episodes, values = [], []
+                if episodes:
+                    yield found()
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*ids).schema)
+    snapshots = rows.mapInArrow(follow, f"{names}, episode bigint, `values` array<double>")
+    return value_table(snapshots, n_actions, [*ids, "episode"])
+
+
 def sarsa_replay(
     log: DataFrame, reward: Column, alpha: float = 0.05, discount: float = 0.95, n_states: int = N_STATES,
     n_actions: int = N_ACTIONS, size: int = CHUNK, ids=IDS,
@@ -196,8 +280,8 @@ def sarsa_replay(
     episode. A row without such an action, as the last of each episode, has no future.
     """
     fields = {
-        "k": _entry("state", "action", n_actions),
-        "nxt": _next_state(),
+        "k": _entry(n_states, n_actions),
+        "nxt": _next_state(n_states),
         "a": F.col("action").cast("int"),
         "r": reward.cast("double"),
     }
@@ -207,21 +291,11 @@ def sarsa_replay(
         fields["e"] = F.col("episode")
     chunks = pack_chunks(log, fields, size, ids)
     if "next_action" not in log.columns:
-        chunks = stage(chunks, "sarsa-log")
-        first = F.struct(F.get("a", F.lit(0)).alias("a"), F.get("e", F.lit(0)).alias("e"))
-        heads = chunks.select(*ids, "chunk", first.alias("_first")).withColumn(
-            "_after", F.lead("_first").over(Window.partitionBy(*ids).orderBy("chunk"))
-        )
-
-        def following(field: str) -> Column:
-            return F.concat(F.slice(field, 2, F.size(field)), F.array(F.col(f"_after.{field}")))
-
-        same = F.zip_with("e", "_e", lambda x, y: x == y)
+        same = F.zip_with("e", "e_next", lambda x, y: x == y)
         chunks = (
-            chunks.join(heads.drop("_first"), [*ids, "chunk"])
-            .withColumns({"_a": following("a"), "_e": following("e")})
-            .withColumn("a", F.zip_with("_a", same, lambda a, s: F.when(s, a).otherwise(F.lit(-1))))
-            .drop("_after", "_a", "_e", "e")
+            with_next(stage(chunks, "sarsa-log"), ["a", "e"], ids)
+            .withColumn("a", F.zip_with("a_next", same, lambda a, s: F.when(s, a).otherwise(F.lit(-1))))
+            .drop("a_next", "e_next", "e")
         )
     chunks = stage(chunks, "sarsa-chunks")
 
@@ -250,8 +324,8 @@ def double_q_replay(
     width = n_states * n_actions
     coin = unit_hash(*ids, "episode", "step", seed=seed) < 0.5
     fields = {
-        "k": _entry("state", "action", n_actions) + F.when(coin, 0).otherwise(width),
-        "nxt": _next_state(),
+        "k": _entry(n_states, n_actions) + F.when(coin, 0).otherwise(width),
+        "nxt": _next_state(n_states),
         "r": reward.cast("double"),
     }
     chunks = stage(pack_chunks(log, fields, size, ids), "double-q-chunks")
@@ -292,8 +366,8 @@ def exp3_stable(
     The probability of each step comes from the running weights and both clips break additivity,
     so the log is followed in order. `reward` is already scaled into [0, 1] (`reward_share`).
     """
-    fields = {"a": F.col("action").cast("int"), "r": reward.cast("double")}
-    chunks = stage(pack_chunks(log, fields, size, ids), "exp3-chunks")
+    fields = {"a": within("action", n_actions, "action").cast("int"), "r": reward.cast("double")}
+    chunks = stage(pack_chunks(log, fields, size, ids), "exp3-chunks", partition_by="chunk")
 
     @F.pandas_udf("array<double>")
     def fold(start: pd.Series, a: pd.Series, r: pd.Series) -> pd.Series:
@@ -368,8 +442,8 @@ def whittle_learning(
     converged. Arms whose log is one chunk run all rounds in one task, longer ones a job each round.
     """
     fields = {
-        "k": _entry("state", "action", 2),
-        "nxt": _next_state(),
+        "k": _entry(n_states, 2),
+        "nxt": _next_state(n_states),
         "r": reward.cast("double"),
         "passive": (F.col("action") == 0).cast("double"),
     }

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from curbside.functions.menu import MULTIPLIERS
+from curbside.functions.menu import MULTIPLIERS, within
 from curbside.functions.numeric import r2
 from curbside.operators.blocks import dense_index, moving_mean, running_total
 from curbside.operators.market import N_PLATFORMS, platform_fleets
@@ -174,16 +174,18 @@ def interval_multipliers(
 ) -> DataFrame:
     """Mean multiplier per arm and interval of episodes, one column per whole interval, rounded.
 
-    Built from action counts, so the mean does not depend on the order of the rows.
+    Built from action counts, so the mean does not depend on the order of the rows. An action outside
+    the menu is an error.
     """
     labels = interval_labels(n_episodes, width)
     bucket = F.floor(F.col("episode") / width)
+    action = within("action", len(menu), "action")
 
     def mean_in(i: int) -> Column:
         here = bucket == i
-        plays = F.sum(F.when(here & F.col("action").between(0, len(menu) - 1), 1).otherwise(0))
+        plays = F.sum(here.cast("int"))
         total = sum(
-            (F.sum(F.when(here & (F.col("action") == a), 1).otherwise(0)) * F.lit(float(m)) for a, m in enumerate(menu)),
+            (F.sum((here & (action == a)).cast("int")) * F.lit(float(m)) for a, m in enumerate(menu)),
             F.lit(0.0),
         )
         return r2(total / F.when(plays > 0, plays))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,9 +29,13 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/curbside/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write `df` to the shared folder and return it as a scan of that table."""
+def stage(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder and return it as a scan of that table.
+
+    With `partition_by`, each value of that column is a folder of its own, and a filter on it reads no other.
+    """
     spark = df.sparkSession
     path = staged_path(spark, label)
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write if partition_by is None else df.hint("rebalance", partition_by).write.partitionBy(partition_by)
+    writer.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])

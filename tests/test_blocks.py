@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window, functions as F
 
 from curbside.operators import blocks, reports
 
@@ -64,3 +65,16 @@ def test_align_pads_with_the_last_value_and_cuts(spark):
     df = spark.createDataFrame([(0, "1"), (1, "x"), (5, "3"), (9, "NaN")], "Episode int, Revenue string")
     assert [r.value for r in reports.align_series(df, "Episode", "Revenue", 4, 2.0).orderBy("i").collect()] == [2.0, 6.0, 6.0, 6.0]
     assert [r.value for r in reports.align_series(df, "Episode", "Revenue", 1).collect()] == [1.0]
+
+
+def test_positions_of_sparse_ids_are_dealt_evenly(spark):
+    """Ids over all 64 bits: ranges hold about equal numbers of rows, and the positions are those of one window."""
+    ids = spark.range(200_000).select(F.xxhash64("id").alias("id")).unionByName(spark.createDataFrame([(None,), (5,)], "id bigint"))
+    ranked = blocks.range_rank(ids, ["id"])
+    want = ids.withColumn("idx", F.row_number().over(Window.orderBy("id")) - 1)
+    assert ranked.count() == 200_002
+    assert ranked.select("id", F.col("idx").cast("bigint")).exceptAll(want.select("id", F.col("idx").cast("bigint"))).isEmpty()
+    sizes = sorted(r[0] for r in ids.repartitionByRange("id").groupBy(F.spark_partition_id()).count().select("count").collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    words = spark.createDataFrame([("b",), ("a",), (None,), ("é",)], "w string")
+    assert {tuple(r) for r in blocks.range_rank(words, ["w"]).collect()} == {(None, 0), ("a", 1), ("b", 2), ("é", 3)}

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curbside.operators import learning, planning, replay
+from curbside.operators import learning, planning, replay, reports
+from curbside.sources.staging import stage
 
 S, A = 4, 3
 SCHEMA = "run string, agent int, arm int, episode int, step bigint, state int, action int, prob double, reward double, next_state int"
@@ -267,3 +268,58 @@ def test_priority_scores(spark):
     q = spark.createDataFrame([("r", 0, 1, s, a, float(10 * s + a * 3)) for s in range(2) for a in range(2)], "run string, agent int, arm int, state int, action int, q double")
     states = spark.createDataFrame([("r", 0, 1, 1)], "run string, agent int, arm int, state int")
     assert [r.score for r in planning.priority_scores(q, states).collect()] == [3.0]
+
+
+def test_values_at_the_end_of_each_episode(spark):
+    """Episodes that end inside chunks, on their bounds, and go on over several of them."""
+    rng = random.Random(4)
+    rows, step = [], 0
+    for arm, lengths in {1: [1, 1, 7, 40, 3], 2: [64], 3: [2] * 30, 4: [1]}.items():
+        for episode, n in enumerate(lengths):
+            for _ in range(n):
+                step += 1
+                after = rng.choice([None, *range(4)])
+                rows.append(("log", 0, arm, episode * 3, step, rng.randrange(4), rng.randrange(3), after, rng.random()))
+    log = spark.createDataFrame(
+        rows, "run string, agent int, arm bigint, episode int, step bigint, state int, action int, next_state int, reward double"
+    )
+    want, values, last = {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r[2], r[3], r[4])):
+        q = values.setdefault(r[2], [0.0] * 12)
+        at = r[5] * 3 + r[6]
+        future = max(q[r[7] * 3 : r[7] * 3 + 3]) if r[7] is not None else 0.0
+        q[at] += 0.2 * (r[8] + 0.9 * future - q[at])
+        want[r[2], r[3]] = q[:]
+    for size in (8, 1000):
+        got = replay.episode_values(log, F.col("reward"), 0.2, 0.9, 4, 3, size).collect()
+        assert {(r.arm, r.episode, r.state * 3 + r.action): r.q for r in got} == {
+            (*key, k): v for key, q in want.items() for k, v in enumerate(q)
+        }
+
+
+@pytest.mark.parametrize("column, value", [("action", 5), ("action", -1), ("state", 10), ("next_state", 10), ("action", None)])
+def test_what_is_not_in_the_menu_is_an_error(spark, column, value):
+    row = {"run": "log", "agent": 0, "arm": 1, "episode": 0, "step": 1, "state": 0, "action": 1, "next_state": 3, "reward": 1.0, "prob": 0.2}
+    schema = "run string, agent int, arm int, episode int, step int, state int, action int, next_state int, reward double, prob double"
+    log = spark.createDataFrame([tuple((row | {column: value}).values())], schema)
+    gain = F.col("reward")
+    jobs = [lambda: replay.q_replay(log, gain), lambda: replay.sarsa_replay(log, gain), lambda: replay.double_q_replay(log, gain)]
+    if column == "action":
+        jobs += [lambda: learning.exp3_weights(log, gain), lambda: replay.exp3_stable(log, gain), lambda: reports.interval_multipliers(log, 10)]
+    for job in jobs:
+        with pytest.raises(Exception, match="there is no"):
+            job().collect()
+
+
+def test_clipped_weights_read_each_chunk_once(spark):
+    """One arm of 40 chunks among short ones: each round's scan is pruned to its chunk, and the result is that of one pass."""
+    rng = random.Random(8)
+    rows = [("log", 0, arm, 0, s, rng.randrange(5), rng.random()) for arm, n in ((1, 640), (2, 16), (3, 40)) for s in range(n)]
+    log = spark.createDataFrame(rows, "run string, agent int, arm int, episode int, step bigint, action int, reward double")
+    whole = sorted(map(tuple, replay.exp3_stable(log, F.col("reward"), size=10**6).collect()))
+    assert sorted(map(tuple, replay.exp3_stable(log, F.col("reward"), size=16).collect())) == whole
+    packed = replay.pack_chunks(log, {"a": F.col("action"), "r": F.col("reward")}, 16)
+    chunks = stage(packed, "test-chunks", partition_by="chunk")
+    plan = chunks.where("chunk = 7")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(chunk" in plan and "(chunk" in plan
+    assert {r.chunk for r in chunks.where("chunk = 39").collect()} == {39}
