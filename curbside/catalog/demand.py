@@ -8,6 +8,7 @@ from curbside.functions import calendar
 from curbside.functions.numeric import clip, clip_low, first_number, r2 as round2, r4 as round4
 from curbside.operators import demand
 from curbside.operators.market import acceptance
+from curbside.plans.demand_plan import TRIP_COLUMNS
 from curbside.sources.staging import stage
 
 GRID = """(SELECT d.request_date, d.day_of_week, CAST(h.range AS INT) AS request_hour, z.PULocationID
@@ -82,21 +83,21 @@ def historical_demand_by_grid(t):
     "d4_trips_with_edge",
     "SELECT trip_key, PULocationID, DOLocationID, baseline_distance, baseline_fare "
     "FROM trips LEFT JOIN graph USING (PULocationID, DOLocationID)",
-    one_pass=True,
+    keep=("trip_key", *TRIP_COLUMNS),
 )
 def trips_with_edge(t):
     edges = t.graph.drop("baseline_time")
-    return t.trips.select("trip_key", "PULocationID", "DOLocationID").join(edges, ["PULocationID", "DOLocationID"], "left")
+    return t.kept_trips.select("trip_key", "PULocationID", "DOLocationID").join(edges, ["PULocationID", "DOLocationID"], "left")
 
 
-@query("e12_implied_surge", f"SELECT trip_key, {r4('implied_surge')} AS implied_surge FROM priced", one_pass=True)
+@query("e12_implied_surge", f"SELECT trip_key, {r4('implied_surge')} AS implied_surge FROM priced", keep=("trip_key", *TRIP_COLUMNS))
 def implied_surge(t):
-    return demand.priced_trips(t.trips, t.graph, t.fit).select("trip_key", round4("implied_surge").alias("implied_surge"))
+    return demand.priced_trips(t.kept_trips, t.graph, t.fit).select("trip_key", round4("implied_surge").alias("implied_surge"))
 
 
-@query("e13_trip_acceptance", f"SELECT trip_key, {r4('p_accept')} AS p_accept FROM priced", one_pass=True)
+@query("e13_trip_acceptance", f"SELECT trip_key, {r4('p_accept')} AS p_accept FROM priced", keep=("trip_key", *TRIP_COLUMNS))
 def trip_acceptance(t):
-    return demand.priced_trips(t.trips, t.graph, t.fit).select("trip_key", round4("p_accept").alias("p_accept"))
+    return demand.priced_trips(t.kept_trips, t.graph, t.fit).select("trip_key", round4("p_accept").alias("p_accept"))
 
 
 @query(

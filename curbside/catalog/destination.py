@@ -21,7 +21,7 @@ def _domain_sql(column: str) -> str:
 
 @query("f1_dense_ids", f"SELECT id, idx FROM ({_domain_sql('PULocationID')})", one_pass=True)
 def dense_ids(t):
-    return t.pickup_ids
+    return destination.id_domain(t.dest_counts, "PULocationID")
 
 
 @query("j1_id_domains", " UNION ALL ".join(_domain_sql(c) for c in IDS), one_pass=True)
@@ -37,10 +37,10 @@ def id_domains(t):
     "j2_encoded_trips",
     "SELECT trip_key, a.idx AS pu_idx, b.idx AS dow_idx, c.idx AS hour_idx, d.idx AS do_idx FROM trips "
     + " ".join(f"JOIN ({_domain_sql(c)}) {n} ON {n}.id = {c}" for n, c in zip("abcd", IDS)),
-    one_pass=True,
+    keep=("trip_key", *IDS),
 )
 def encoded_trips(t):
-    rows = t.trips.select("trip_key", *IDS)
+    rows = t.kept_trips.select("trip_key", *IDS)
     encoded = destination.require_known_targets(destination.encode(rows, destination.id_domains(t.dest_counts)))
     return encoded.select("trip_key", "pu_idx", "dow_idx", "hour_idx", "do_idx")
 

@@ -15,8 +15,8 @@ FLEET = [2900, 700, 700, 700]
 
 
 class Inputs:
-    def __init__(self, spark: SparkSession, sf_dir: str, keep_trips: bool = True):
-        self.spark, self.sf_dir, self.keep_trips = spark, sf_dir, keep_trips
+    def __init__(self, spark: SparkSession, sf_dir: str, keep_trips: bool = True, keep: tuple[str, ...] = TRIP_COLUMNS):
+        self.spark, self.sf_dir, self.keep_trips, self.keep = spark, sf_dir, keep_trips, keep
 
     def table(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf_dir, name)
@@ -35,7 +35,7 @@ class Inputs:
         """Processed trips, as a table for queries that read them more than once."""
         if not self.keep_trips:
             return self.trips
-        return stage(self.trips.select(*TRIP_COLUMNS), "trips")
+        return stage(self.trips.select(*self.keep), "trips")
 
     @cached_property
     def _graph(self) -> tuple[DataFrame, DataFrame]:
@@ -86,11 +86,11 @@ class Inputs:
 
     @cached_property
     def pickup_ids(self) -> DataFrame:
-        return destination.id_domain(self.dest_counts, "PULocationID")
+        return stage(destination.distinct_ids(self.dest_counts, "PULocationID"), "pickup-ids")
 
     @cached_property
     def dropoff_ids(self) -> DataFrame:
-        return destination.id_domain(self.dest_counts, "DOLocationID")
+        return destination.distinct_ids(self.dest_counts, "DOLocationID")
 
     @cached_property
     def dest_prob(self) -> DataFrame:

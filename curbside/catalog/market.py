@@ -10,6 +10,8 @@ from curbside.functions.menu import inventory_bin, multiplier_of
 from curbside.functions.numeric import r4 as round4, r6 as round6
 from curbside.operators import destination, graph, market
 from curbside.operators.reports import origin_totals
+from curbside.plans.demand_plan import TRIP_COLUMNS
+from curbside.sources.staging import stage
 
 CELL = "scenario, platform, zone, day, hour"
 
@@ -42,17 +44,17 @@ def thinned_demand(t):
 
 @query("k5_choice_shares", f"SELECT {CELL}, {r6('share')} AS share FROM shares")
 def choice_shares(t):
-    return t.shares.withColumn("share", round6("share"))
+    return t.shares.drop("multiplier").withColumn("share", round6("share"))
 
 
 @query("k6_split_demand", f"SELECT {CELL}, {r4('demand')} AS demand FROM split")
 def split_demand(t):
-    return t.split.withColumn("demand", round4("demand"))
+    return t.split.drop("multiplier").withColumn("demand", round4("demand"))
 
 
 @query("k7_matched", f"SELECT {CELL}, {r4('demand')} AS demand, {r4('n_taxis')} AS n_taxis, {r4('matched')} AS matched, {r4('idle')} AS idle FROM matched")
 def matched(t):
-    return t.matched.withColumns({c: round4(c) for c in ("demand", "n_taxis", "matched", "idle")})
+    return t.matched.drop("multiplier").withColumns({c: round4(c) for c in ("demand", "n_taxis", "matched", "idle")})
 
 
 @query("k7_idle_totals", f"SELECT scenario, platform, day, hour, {r4('sum(idle)')} AS idle FROM matched GROUP BY 1, 2, 3, 4")
@@ -65,7 +67,7 @@ def idle_totals(t):
     f"""SELECT scenario, platform, count(*) AS active, {r4('sum(matched)')} AS matched FROM matched WHERE matched > 0 GROUP BY 1, 2""",
 )
 def active_rows(t):
-    live = t.matched.where(F.col("matched") > 0)
+    live = t.matched.drop("multiplier").where(F.col("matched") > 0)
     return live.groupBy("scenario", "platform").agg(
         F.count("*").alias("active"), round4(F.sum("matched")).alias("matched")
     )
@@ -89,7 +91,7 @@ REVENUE = f"""SELECT m.scenario, m.platform, m.zone, m.day, m.hour,
 
 @query("k9_revenue", REVENUE)
 def revenue(t):
-    return market.revenue(t.matched, t.policy, t.fare_means).withColumn("revenue", round4("revenue"))
+    return market.revenue(t.matched, t.fare_means).withColumn("revenue", round4("revenue"))
 
 
 @query(
@@ -161,31 +163,32 @@ def initial_inventory(t):
     return market.initial_inventory(t.zone_ids, FLEET).withColumn("n_taxis", round4("n_taxis"))
 
 
+DRAWN_COLUMNS = ("trip_key", "PULocationID", "day_of_week", "request_hour", "DOLocationID")
 DRAWN = f"""SELECT t.trip_key, t.zone, c.dests[1 + least(len(list_filter(c.cdf, lambda x: x < t.u)), len(c.cdf) - 1)] AS dest
     FROM (SELECT trip_key, PULocationID AS zone, day_of_week AS day, request_hour AS hour, {unit('trip_key')} AS u FROM trips) t
     JOIN (SELECT zone, day, hour, list(dest ORDER BY dest) AS dests, list(cdf ORDER BY dest) AS cdf
           FROM cdf GROUP BY 1, 2, 3) c USING (zone, day, hour)"""
 
 
-@query("d8_inverse_cdf", DRAWN.replace("t.zone, c.dests", "t.zone, t.day, t.hour, c.dests"), one_pass=True)
+@query("d8_inverse_cdf", DRAWN.replace("t.zone, c.dests", "t.zone, t.day, t.hour, c.dests"), keep=DRAWN_COLUMNS)
 def inverse_cdf(t):
     return _drawn(t).select("trip_key", "zone", "day", "hour", "dest")
 
 
-@query("k13_assigned_destinations", DRAWN, one_pass=True)
+@query("k13_assigned_destinations", DRAWN, keep=DRAWN_COLUMNS)
 def assigned_destinations(t):
     return _drawn(t).select("trip_key", "zone", "dest")
 
 
 def _drawn(t):
-    rows = t.trips.select(
+    rows = t.kept_trips.select(
         "trip_key",
         F.col("PULocationID").alias("zone"),
         F.col("day_of_week").alias("day"),
         F.col("request_hour").alias("hour"),
     )
-    cdf = destination.cdf_arrays(destination.running_cdf(t.dest_prob))
-    return market.assign_destinations(rows, cdf, ["trip_key"])
+    guide = stage(destination.cdf_guide(destination.running_cdf(t.dest_prob)), "destination-guide")
+    return market.assign_destinations(rows, guide, ["trip_key"])
 
 
 @query(
@@ -193,6 +196,7 @@ def _drawn(t):
     f"""SELECT zone, {r4('sum(revenue)')} AS revenue, CAST(sum(arrivals) AS BIGINT) AS arrivals FROM (
           SELECT d.zone, f.fare AS revenue, 0 AS arrivals FROM ({DRAWN}) d JOIN fares f ON f.zone = d.zone AND f.dest = d.dest
           UNION ALL SELECT d.dest, 0, 1 FROM ({DRAWN}) d) GROUP BY 1""",
+    keep=("trip_key", *TRIP_COLUMNS),
 )
 def origin_destination_totals(t):
     paid = graph.fare_lookup(_drawn(t), t.graph, graph.fit_line(t.graph))

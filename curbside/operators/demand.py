@@ -35,11 +35,13 @@ def hourly_counts(trips: DataFrame) -> DataFrame:
 
 
 def date_zone_grid(trips: DataFrame) -> DataFrame:
-    """Every observed date for every zone. The dates travel as one array, bounded by the calendar."""
-    days = calendar_days(trips).agg(F.collect_set(F.struct("request_date", "day_of_week"))).scalar()
-    return pickup_zones(trips).select("PULocationID", F.explode(days).alias("d")).select(
-        "d.request_date", "d.day_of_week", "PULocationID"
-    )
+    """Every observed date for every zone: a cross join of two tables whose sizes the planner sees.
+
+    Dates and zones come from one pass over `trips`.
+    """
+    seen = stage(trips.select("request_date", "day_of_week", "PULocationID").distinct(), "dated-zones")
+    days, zones = stage(calendar_days(seen), "dates"), stage(pickup_zones(seen), "zones")
+    return zones.crossJoin(days).select("request_date", "day_of_week", "PULocationID")
 
 
 def hourly_grid(trips: DataFrame) -> DataFrame:
@@ -48,6 +50,7 @@ def hourly_grid(trips: DataFrame) -> DataFrame:
 
 
 def zero_filled_counts(trips: DataFrame) -> DataFrame:
+    """Trips per hour of the grid. `trips` is read twice: stage it, or give the counted trips' columns only."""
     return hourly_grid(trips).join(hourly_counts(trips), DATED_SLOT, "left").fillna(0, ["num_trips"])
 
 
@@ -62,18 +65,8 @@ def historical_demand(counts: DataFrame) -> DataFrame:
     `counts` is `hourly_counts`; stage it, and the trips are scanned once.
     """
     per_slot = counts.groupBy(*SLOT).agg(F.sum("num_trips").alias("trips"))
-    days = (
-        calendar_days(counts)
-        .groupBy("day_of_week")
-        .agg(F.count("*").alias("n_dates"))
-        .agg(F.collect_set(F.struct("day_of_week", "n_dates")))
-        .scalar()
-    )
-    slots = (
-        pickup_zones(counts)
-        .select("PULocationID", F.explode(days).alias("d"))
-        .select("PULocationID", "d.day_of_week", "d.n_dates", F.explode(hours_of_day()).alias("request_hour"))
-    )
+    days = stage(calendar_days(counts).groupBy("day_of_week").agg(F.count("*").alias("n_dates")), "weekdays")
+    slots = pickup_zones(counts).crossJoin(days).withColumn("request_hour", F.explode(hours_of_day()))
     return slots.join(per_slot, SLOT, "left").select(
         *SLOT, (F.coalesce("trips", F.lit(0)) / F.col("n_dates")).alias("historical_poisson")
     )

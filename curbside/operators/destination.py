@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curbside.functions.numeric import let
-from curbside.operators.blocks import dense_index
+from curbside.operators.blocks import range_rank
 from curbside.operators.demand import days_of_week, hours_of_day
+from curbside.sources.staging import stage
 
 FEATURES = {"PULocationID": "pu_idx", "day_of_week": "dow_idx", "request_hour": "hour_idx"}
 TARGET = "DOLocationID"
@@ -24,8 +26,11 @@ HIDDEN = (128, 64)
 
 def id_domain(df: DataFrame, column: str) -> DataFrame:
     """Distinct ids of a column, numbered from 0 in id order: (id, idx)."""
-    ids = df.select(F.col(column).alias("id")).where(F.col("id").isNotNull()).distinct()
-    return dense_index(ids, [], "id", "idx").select("id", F.col("idx").cast("int").alias("idx"))
+    return range_rank(distinct_ids(df, column), ["id"]).select("id", F.col("idx").cast("int").alias("idx"))
+
+
+def distinct_ids(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.col(column).alias("id")).where(F.col("id").isNotNull()).distinct()
 
 
 def id_domains(df: DataFrame) -> dict[str, DataFrame]:
@@ -72,53 +77,69 @@ def destination_counts(trips: DataFrame) -> DataFrame:
     return trips.groupBy(*SLOT, TARGET).agg(F.count("*").alias("n"))
 
 
-def destination_distribution(
-    counts: DataFrame, strength: float = 10.0, zone_strength: float = 10.0, slots: DataFrame | None = None
-) -> DataFrame:
-    """P(drop-off | slot) for every drop-off zone and each of `slots` (`slot_grid`), or each observed slot.
+@dataclass(frozen=True)
+class BackOff:
+    """P(drop-off | slot) by what was counted and what is left over: rows in proportion to the counted cells.
 
-    Counts are smoothed toward the pickup zone's distribution, and that toward the overall one,
-    so a slot with few trips leans on its zone: one without trips has its zone's distribution, one of an
-    unknown zone the overall one (the strengths must be above 0 for that). `counts` (`destination_counts`) should be staged.
+    A slot's probability is its own cell plus `rest` of its zone's, a zone's its own cell plus `rest` of the overall one.
+    `slots` and `zones` hold the rests; a slot or zone that is not there has a rest of 1.
     """
-    seen = counts.groupBy(*SLOT).agg(F.sum("n").alias("n_slot"))
-    zone_total = counts.groupBy("PULocationID").agg(F.sum("n").alias("n_zone"))
-    if slots is None:
-        slots = seen
-    else:
-        wanted = slots.select(*SLOT).distinct()
-        slots = wanted.join(seen, SLOT, "left").na.fill(0, ["n_slot"])
-        zone_total = wanted.select("PULocationID").distinct().join(zone_total, "PULocationID", "left").na.fill(0, ["n_zone"])
-    zone_do = counts.groupBy("PULocationID", TARGET).agg(F.sum("n").alias("n_zone_do"))
-    overall = counts.groupBy(TARGET).agg(F.sum("n").alias("n_do"))
-    total = counts.agg(F.sum("n")).scalar()
-    domain = overall.agg(F.collect_set(F.struct(TARGET, "n_do"))).scalar()
-
-    by_zone = (
-        zone_total.withColumn("d", F.explode(domain))
-        .select("PULocationID", "n_zone", f"d.{TARGET}", "d.n_do")
-        .join(zone_do, ["PULocationID", TARGET], "left")
-        .withColumn("p_all", F.col("n_do") / total)
-        .select(
-            "PULocationID",
-            TARGET,
-            (
-                (F.coalesce("n_zone_do", F.lit(0)) + F.lit(zone_strength) * F.col("p_all"))
-                / (F.col("n_zone") + F.lit(zone_strength))
-            ).alias("p_zone"),
+
+    cells: DataFrame  # slot, drop-off, p
+    slots: DataFrame  # slot, rest
+    zone_cells: DataFrame  # pickup, drop-off, p
+    zones: DataFrame  # pickup, rest
+    overall: DataFrame  # drop-off, p
+
+    def dense(self, slots: DataFrame | None = None) -> DataFrame:
+        """Written out for every drop-off of each of `slots`, or of each slot that was counted."""
+        wanted = self.slots.select(*SLOT) if slots is None else slots.select(*SLOT).distinct()
+        zones = wanted.select("PULocationID").distinct().join(self.zones, "PULocationID", "left")
+        own = self.zone_cells.withColumnRenamed("p", "own")
+        p_zone = F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("p")
+        by_zone = (
+            zones.crossJoin(self.overall)
+            .join(own, ["PULocationID", TARGET], "left")
+            .select("PULocationID", TARGET, p_zone.alias("p_zone"))
         )
-    )
-    return (
-        slots.join(by_zone, "PULocationID")
-        .join(counts, [*SLOT, TARGET], "left")
-        .select(
-            *SLOT,
-            TARGET,
-            (
-                (F.coalesce("n", F.lit(0)) + F.lit(strength) * F.col("p_zone")) / (F.col("n_slot") + F.lit(strength))
-            ).alias("p"),
+        p = F.coalesce("p", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("p_zone")
+        return (
+            wanted.join(self.slots, SLOT, "left")
+            .join(by_zone, "PULocationID")
+            .join(self.cells, [*SLOT, TARGET], "left")
+            .select(*SLOT, TARGET, p.alias("p"))
         )
-    )
+
+
+def back_off(counts: DataFrame, strength: float = 10.0, zone_strength: float = 10.0) -> BackOff:
+    """The smoothed distribution of `counts` (`destination_counts`, staged) as its counted cells and rests.
+
+    Counts are smoothed toward the pickup zone's distribution, and that toward the overall one, so a slot with few trips
+    leans on its zone: one without trips has its zone's distribution, one of an unknown zone the overall one (the
+    strengths must be above 0 for that).
+    """
+
+    def level(keys: list[str], weight: float) -> tuple[DataFrame, DataFrame]:
+        total = counts.groupBy(*keys).agg(F.sum("n").alias("n_all"))
+        cells = counts.groupBy(*keys, TARGET).agg(F.sum("n").alias("n")).join(total, keys)
+        share = F.col("n") / (F.col("n_all") + F.lit(weight))
+        return (
+            cells.select(*keys, TARGET, share.alias("p")),
+            total.select(*keys, (F.lit(weight) / (F.col("n_all") + F.lit(weight))).alias("rest")),
+        )
+
+    total = counts.agg(F.sum("n")).scalar()
+    overall = counts.groupBy(TARGET).agg((F.sum("n") / total).alias("p"))
+    cells, slots = level(SLOT, strength)
+    zone_cells, zones = level(["PULocationID"], zone_strength)
+    return BackOff(cells, slots, zone_cells, zones, stage(overall, "overall-destinations"))
+
+
+def destination_distribution(
+    counts: DataFrame, strength: float = 10.0, zone_strength: float = 10.0, slots: DataFrame | None = None
+) -> DataFrame:
+    """P(drop-off | slot) for every drop-off zone and each of `slots` (`slot_grid`), or each observed slot; see `back_off`."""
+    return back_off(counts, strength, zone_strength).dense(slots)
 
 
 def merge_onto_pickups(dist: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -145,18 +166,27 @@ def running_cdf(dest_prob: DataFrame) -> DataFrame:
     return dest_prob.withColumn("cdf", F.sum("p").over(w)).drop("p")
 
 
-def cdf_arrays(cdf: DataFrame) -> DataFrame:
-    """One row per slot: destination ids and their cumulative probabilities, in id order."""
-    packed = cdf.groupBy("zone", "day", "hour").agg(F.array_sort(F.collect_list(F.struct("dest", "cdf"))).alias("s"))
-    return packed.select("zone", "day", "hour", F.col("s.dest").alias("dests"), F.col("s.cdf").alias("cdf"))
+#: Into how many parts the numbers from 0 to 1 are cut to find a destination.
+GUIDE = 64
 
 
-def draw_index(cdf, u) -> Column:
-    """How many cumulative values lie below `u`, at most the last index."""
-    cdf = cdf if isinstance(cdf, Column) else F.col(cdf)
-    u = u if isinstance(u, Column) else F.col(u)
-    below = let(u, lambda once: F.size(F.filter(cdf, lambda c: c < once)))
-    return F.least(below, F.size(cdf) - 1)
+def cdf_guide(cdf: DataFrame) -> DataFrame:
+    """(zone, day, hour, guide, low, high, dest): for each part of the numbers from 0 to 1 the destinations it may mean.
+
+    A number u means the destination with low < u <= high among the rows with guide = floor(u * GUIDE): about as many rows
+    as destinations and parts together. The first destination also takes 0, the last whatever is above all.
+    """
+    w = Window.partitionBy("zone", "day", "hour").orderBy("dest")
+    steps = cdf.select(
+        "zone", "day", "hour", "dest", F.coalesce(F.lag("cdf").over(w), F.lit(-1.0)).alias("low"),
+        F.when(F.lead("cdf").over(w).isNull(), F.lit(2.0)).otherwise(F.col("cdf")).alias("high"),
+    )
+
+    def part(x: Column) -> Column:
+        return F.least(F.greatest(F.floor(x * GUIDE), F.lit(0)), F.lit(GUIDE - 1)).cast("int")
+
+    parts = F.sequence(part(F.col("low")), F.greatest(part(F.col("low")), part(F.col("high"))))
+    return steps.select("zone", "day", "hour", F.explode(parts).alias("guide"), "low", "high", "dest")
 
 
 # --- the classifier -------------------------------------------------------------------------
@@ -193,13 +223,6 @@ def train_classifier(
     ).fit(train)
 
 
-def fit_metrics(scored: DataFrame) -> dict[str, float]:
-    def value(name: str) -> float:
-        return MulticlassClassificationEvaluator(labelCol="label", metricName=name).evaluate(scored)
-
-    return {"log_loss": value("logLoss"), "accuracy": value("accuracy")}
-
-
 def slot_grid(pickups: DataFrame) -> DataFrame:
     """Every pickup zone x weekday x hour: the inputs to score once and keep."""
     return (

@@ -124,7 +124,9 @@ def fare_lookup(
 def densify_fares(
     graph: DataFrame, zones: DataFrame, fit: DataFrame, default_distance: float = DEFAULT_DISTANCE
 ) -> DataFrame:
-    """Dense (zone, dest, fare) over the zone domain, whose size the map fixes (262 in the source data)."""
+    """Dense (zone, dest, fare) over the zone domain, whose size the map fixes (262 in the source data).
+
+    `zones` should be staged, so that the planner sees its size."""
     ids = zones.select(F.col("PULocationID").alias("zone"))
-    domain = ids.agg(F.array_sort(F.collect_set("zone"))).scalar()
-    return fare_lookup(ids.withColumn("dest", F.explode(domain)), graph, fit, default_distance=default_distance)
+    pairs = ids.crossJoin(ids.withColumnRenamed("zone", "dest"))
+    return fare_lookup(pairs, graph, fit, default_distance=default_distance)

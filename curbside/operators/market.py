@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from curbside.functions.calendar import next_slot
 from curbside.functions.hashing import unit_hash
 from curbside.operators.demand import THETA
-from curbside.operators.destination import draw_index
+from curbside.operators.destination import GUIDE
 
 SLOT = ["zone", "day", "hour"]
 CELL = ["scenario", "platform", "zone", "day", "hour"]
@@ -78,14 +78,14 @@ def thin_demand(demand: DataFrame, policy: DataFrame, theta: float = THETA) -> D
 
 
 def choice_shares(policy: DataFrame, theta: float = THETA) -> DataFrame:
-    """Share of requests each platform wins in a slot; platform 4 is "take no ride".
+    """Share of requests each platform wins in a slot, and its price; platform 4 is "take no ride" and has none.
 
     A slot's four prices are folded by one aggregation and unpacked again, so the policy table is
     shuffled once.
     """
     v = acceptance("multiplier", theta)
     slots = policy.groupBy("scenario", *SLOT).agg(
-        F.collect_list(F.struct("platform", v.alias("v"))).alias("offers"),
+        F.collect_list(F.struct("platform", v.alias("v"), F.col("multiplier").cast("double").alias("m"))).alias("offers"),
         F.sum(v).alias("total"),
         F.avg("multiplier").alias("mean_m"),
     )
@@ -97,29 +97,36 @@ def choice_shares(policy: DataFrame, theta: float = THETA) -> DataFrame:
             F.when(F.col("total") > 0, F.col("accept") * (o["v"] / F.when(F.col("total") > 0, F.col("total"))))
             .otherwise(F.col("accept") / N_PLATFORMS)
             .alias("share"),
+            o["m"].alias("multiplier"),
         ),
     )
-    nothing = F.array(F.struct(F.lit(OUTSIDE).alias("platform"), (F.lit(1.0) - F.col("accept")).alias("share")))
+    nothing = F.array(
+        F.struct(
+            F.lit(OUTSIDE).alias("platform"), (F.lit(1.0) - F.col("accept")).alias("share"), F.lit(None).cast("double").alias("multiplier")
+        )
+    )
     return slots.select("scenario", *SLOT, F.explode(F.concat(inside, nothing)).alias("c")).select(
-        "scenario", "c.platform", *SLOT, "c.share"
+        "scenario", "c.platform", *SLOT, "c.share", "c.multiplier"
     )
 
 
 def split_demand(demand: DataFrame, shares: DataFrame) -> DataFrame:
-    """Expected requests per platform, the outside option included."""
+    """Expected requests per platform, the outside option included; prices go along where `shares` has them."""
+    price = [c for c in shares.columns if c == "multiplier"]
     return shares.join(demand, SLOT, "left").select(
-        *CELL, (F.coalesce("demand", F.lit(0.0)) * F.col("share")).alias("demand")
+        *CELL, (F.coalesce("demand", F.lit(0.0)) * F.col("share")).alias("demand"), *price
     )
 
 
 def match(demand: DataFrame, inventory: DataFrame) -> DataFrame:
-    """matched = min(requests, taxis); the rest of the taxis are idle."""
+    """matched = min(requests, taxis); the rest of the taxis are idle. Prices go along where `demand` has them."""
+    price = [c for c in demand.columns if c == "multiplier"]
     return (
         inventory.join(demand, CELL, "left")
         .withColumn("demand", F.coalesce("demand", F.lit(0.0)))
         .withColumn("matched", F.least("demand", "n_taxis"))
         .withColumn("idle", F.col("n_taxis") - F.col("matched"))
-        .select(*CELL, "demand", "n_taxis", "matched", "idle")
+        .select(*CELL, "demand", "n_taxis", "matched", "idle", *price)
     )
 
 
@@ -215,15 +222,17 @@ def mean_fare(dest_prob: DataFrame, fares: DataFrame) -> DataFrame:
     )
 
 
-def revenue(matched: DataFrame, policy: DataFrame, fare_means: DataFrame) -> DataFrame:
+def revenue(matched: DataFrame, fare_means: DataFrame, policy: DataFrame | None = None) -> DataFrame:
     """Expected revenue per cell, without ever building the origin-destination flows.
 
-    Matched trips in a slot without a mean fare are an error.
+    The price is the one that `matched` carries from `choice_shares`; `policy` is joined only where it carries none. Matched
+    trips in a slot without a mean fare are an error.
     """
+    if policy is not None:
+        matched = matched.drop("multiplier").join(policy, CELL)
     paid = F.col("matched") * known("mean_fare", "double") * F.col("multiplier")
     return (
-        matched.join(policy, CELL)
-        .join(fare_means, SLOT, "left")
+        matched.join(fare_means, SLOT, "left")
         .select(
             *CELL,
             F.when(F.col("matched") == 0, 0.0).otherwise(paid).alias("revenue"),
@@ -276,34 +285,52 @@ def next_inventory(matched: DataFrame, dest_prob: DataFrame, relo: DataFrame) ->
 # --- row-level draws ------------------------------------------------------------------------
 
 
-def assign_destinations(trips: DataFrame, cdf: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
+def assign_destinations(trips: DataFrame, guide: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     """Give each trip a destination by inverse CDF with a hashed uniform number.
 
-    `cdf` is `cdf_arrays`: one row per slot, so the join is an equi-join on the origin slot. A trip in a slot
-    without a row there is an error.
+    `guide` is `cdf_guide`: a trip meets the few destinations that its slot and its number's part may mean, whatever their
+    number, and a slot with many trips is spread over `GUIDE` keys. A trip in a slot without a row there is an error.
     """
-    drawn = trips.join(cdf, SLOT, "left").withColumn("cdf", known("cdf", "array<double>")).withColumn("u", unit_hash(*keys, seed=seed))
-    return drawn.withColumn("dest", F.element_at("dests", draw_index("cdf", "u") + 1)).drop("dests", "cdf", "u")
+    columns = [c for c in trips.columns if c != "dest"]
+    numbered = trips.select(*columns).withColumn("_u", unit_hash(*keys, seed=seed)).withColumn("_part", F.floor(F.col("_u") * GUIDE).cast("int"))
+    steps = guide.select(*[F.col(c).alias(f"_{c}") for c in guide.columns])
+    same = [F.col(c) == F.col(f"_{c}") for c in SLOT] + [F.col("_part") == F.col("_guide")]
+    inside = (F.col("_u") > F.col("_low")) & (F.col("_u") <= F.col("_high"))
+    met = numbered.join(steps, [*same, inside], "left")
+    return met.select(*columns, known("_dest", dict(guide.dtypes)["dest"]).alias("dest"))
+
+
+#: Standard deviations on each side of the mean outside of which a Poisson count has less than 1e-18 of its mass.
+TAIL = 9.0
 
 
 def _poisson_quantile(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """Smallest k whose Poisson CDF reaches u, for all rows of a batch at once."""
-    from math import lgamma
+    """Smallest k whose Poisson CDF reaches u, for all rows of a batch at once.
 
+    Of each row only the counts within `TAIL` standard deviations of the mean are summed, from below: large rates neither
+    underflow nor step up from 0, and a row costs what its own rate costs. Rows of about equal width are summed together, a bounded number of values at a time.
+    """
     k = np.zeros(len(u), dtype=np.int64)
-    open_rows = np.flatnonzero((rate > 0) & (u > 0))
-    log_rate = np.log(rate, where=rate > 0, out=np.zeros_like(rate))
-    reached = np.zeros(len(u))
-    step = 0
-    while len(open_rows):
-        term = np.exp(step * log_rate[open_rows] - rate[open_rows] - lgamma(step + 1))
-        reached[open_rows] += term
-        short = reached[open_rows] < u[open_rows]
-        # past the mode a vanishing term means the CDF has stopped growing in float arithmetic
-        short &= ~((step > rate[open_rows]) & (term < 1e-300))
-        k[open_rows[~short]] = step
-        open_rows = open_rows[short]
-        step += 1
+    spread = TAIL * np.sqrt(np.maximum(rate, 0.0))
+    low = np.maximum(np.floor(rate - spread - 30), 0.0)
+    width = (np.ceil(rate + spread + 60) - low).astype(np.int64)
+    rows = np.flatnonzero((rate > 0) & (u > 0))
+    rows = rows[np.argsort(width[rows], kind="stable")]
+    at = 0
+    while at < len(rows):
+        widest = 2 * width[rows[at]]
+        many = min(int(np.searchsorted(width[rows[at:]], widest, "right")), max(1, (1 << 20) // int(widest)))
+        some = rows[at : at + many]
+        counts = low[some, None] + np.arange(width[some].max())
+        mean = rate[some, None]
+        # from the ratios of neighbours, and all together are 1: no factorial of a large number, nothing to underflow
+        growth = np.log(mean) - np.log(np.maximum(counts[:, 1:], 1))
+        chance = np.concatenate((np.zeros((len(some), 1)), np.cumsum(growth, axis=1)), axis=1)
+        chance = np.exp(chance - chance.max(axis=1, keepdims=True))
+        chance /= chance.sum(axis=1, keepdims=True)
+        below = np.cumsum(chance, axis=1) < u[some, None]
+        k[some] = low[some] + np.minimum(below.sum(axis=1), width[some] - 1)
+        at += many
     return k
 
 

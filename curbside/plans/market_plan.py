@@ -30,6 +30,6 @@ def evaluate_policies(
     matched = stage(market.match(market.split_demand(demand, shares), inventory), "matched")
     return MarketStep(
         matched,
-        market.revenue(matched, policy, market.mean_fare(dest_prob, fares)),
+        market.revenue(matched, market.mean_fare(dest_prob, fares)),
         market.next_inventory(matched, dest_prob, market.relocation_probs(demand)),
     )

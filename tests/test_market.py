@@ -1,9 +1,12 @@
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
 from curbside.functions.menu import MULTIPLIERS
+from curbside.functions.hashing import unit_hash
 from curbside.operators import destination, graph, market
 from curbside.operators.reports import origin_totals
 from curbside.plans.market_plan import evaluate_policies
@@ -71,7 +74,7 @@ def test_revenue_without_flows_equals_revenue_over_flows(spark, world):
     _, demand, policy, dest_prob, inventory = world
     fares = spark.createDataFrame([(a, b, 5.0 + a + 2 * b) for a in ZONES for b in ZONES], "zone int, dest int, fare double")
     matched = market.match(market.split_demand(demand, market.choice_shares(policy)), inventory)
-    short = market.revenue(matched, policy, market.mean_fare(dest_prob, fares)).agg(F.sum("revenue")).first()[0]
+    short = market.revenue(matched, market.mean_fare(dest_prob, fares), policy).agg(F.sum("revenue")).first()[0]
     flows = market.route_trips(matched, dest_prob).join(fares, ["zone", "dest"]).join(policy, market.CELL)
     long = flows.agg(F.sum(F.col("flow") * F.col("fare") * F.col("multiplier"))).first()[0]
     assert math.isclose(short, long, rel_tol=1e-9)
@@ -96,7 +99,7 @@ def test_thinned_demand(spark):
 
 def test_draws_follow_the_cdf(spark, world):
     _, _, _, dest_prob, _ = world
-    cdf = destination.cdf_arrays(destination.running_cdf(dest_prob))
+    cdf = destination.cdf_guide(destination.running_cdf(dest_prob))
     trips = spark.range(30000).select("id", F.lit(1).alias("zone"), F.lit(0).alias("day"), F.lit(0).alias("hour"))
     got = dict(market.assign_destinations(trips, cdf, ["id"]).groupBy("dest").count().collect())
     assert abs(got[1] / 30000 - 0.25) < 0.02 and abs(got[2] / 30000 - 0.5) < 0.02
@@ -105,10 +108,35 @@ def test_draws_follow_the_cdf(spark, world):
     assert rows[1].revenue == 60000.0 and sum(r.arrivals for r in rows.values()) == 30000
 
 
-def test_draw_index_is_capped(spark):
-    row = spark.sql("SELECT array(0.25D, 0.5D, 0.75D) cdf")
-    got = row.select(*[destination.draw_index("cdf", F.lit(u)) for u in (0.0, 0.25, 0.26, 0.9)]).first()
-    assert tuple(got) == (0, 0, 1, 2)
+def test_guided_draws_are_those_of_the_whole_cdf(spark):
+    """Every number meets exactly one destination: how many cumulative values lie below it, at most the last."""
+    rng = np.random.default_rng(2)
+    slots = {(z, 0, 0): np.cumsum(rng.dirichlet(np.full(n, 0.1))) for z, n in ((1, 1), (2, 3), (3, 500))}
+    slots[4, 0, 0] = np.array([0.25, 0.5, 0.5, 0.75])  # equal steps, and a last one below 1
+    rows = [(*slot, dest, float(c)) for slot, cdf in slots.items() for dest, c in enumerate(cdf)]
+    cdf = spark.createDataFrame(rows, "zone int, day int, hour int, dest int, cdf double")
+    trips = spark.range(4000).select("id", (F.col("id") % 4 + 1).cast("int").alias("zone"), F.lit(0).alias("day"), F.lit(0).alias("hour"))
+    got = {r.id: r.dest for r in market.assign_destinations(trips, destination.cdf_guide(cdf), ["id"]).collect()}
+    number = {r.id: (r.zone, r.u) for r in trips.select("id", "zone", unit_hash("id").alias("u")).collect()}
+    assert got == {i: min(int((slots[z, 0, 0] < u).sum()), len(slots[z, 0, 0]) - 1) for i, (z, u) in number.items()}
+    plan = market.assign_destinations(trips, destination.cdf_guide(cdf), ["id"])
+    assert not any(kind.startswith("array") for _, kind in plan.dtypes)
+
+
+@pytest.mark.parametrize("rate", [0.3, 7.0, 80.0, 900.0, 12345.6, 1e6])
+def test_poisson_quantiles_are_exact(rate):
+    """The smallest count whose probability of being reached is enough, from probabilities of a wider range."""
+    u = np.array([0.0, 1e-12, 0.001, 0.3, 0.5, 0.9, 0.999, 1 - 1e-9])
+    mixed = np.concatenate((u, u, u)), np.concatenate((np.full(8, rate), np.full(8, 2.0), np.full(8, 1e6)))
+    got = market._poisson_quantile(*mixed)[:8]
+    low, high = max(0, int(rate - 12 * rate**0.5 - 40)), int(rate + 12 * rate**0.5 + 60)
+    log = [k * math.log(rate) - rate - math.lgamma(k + 1) for k in range(low, high)]
+    chance = np.exp(np.array(log))
+    reached = np.cumsum(chance / math.fsum(chance))
+    for x, k in zip(u[1:], got[1:]):
+        want = low + int((reached < x).sum())
+        assert abs(int(k) - want) <= (1 if rate > 1e5 else 0)  # a million logarithms end in rounding of their own
+    assert got[0] == 0
 
 
 def test_poisson_counts_have_the_right_mean_and_spread(spark):
@@ -157,11 +185,11 @@ def test_a_slot_without_a_distribution_is_an_error(spark, step):
         "arrivals": lambda: market.arrivals(matched, dest_prob),
         "flows": lambda: market.route_trips(matched, dest_prob),
         "revenue": lambda: market.revenue(
-            matched, matched.select(*market.CELL, F.lit(1.0).alias("multiplier")),
-            market.mean_fare(dest_prob, spark.createDataFrame([(1, 1, 5.0)], "zone int, dest int, fare double")),
+            matched, market.mean_fare(dest_prob, spark.createDataFrame([(1, 1, 5.0)], "zone int, dest int, fare double")),
+            matched.select(*market.CELL, F.lit(1.0).alias("multiplier")),
         ),
         "draws": lambda: market.assign_destinations(
-            matched.select("zone", "day", "hour"), destination.cdf_arrays(destination.running_cdf(dest_prob)), ["zone"]
+            matched.select("zone", "day", "hour"), destination.cdf_guide(destination.running_cdf(dest_prob)), ["zone"]
         ),
     }[step]()
     with pytest.raises(Exception, match="no destination distribution"):
