@@ -25,7 +25,7 @@ LONGS = PERMUTATIONS * BITS // 64
 #: A candidate is compared in full unless its estimate lies this many standard errors below the threshold.
 ERRORS = 4.5
 #: Members of a band that are compared in one step: so many, with so many shingles together.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,6 +91,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
 SIGNATURE = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, packed array<bigint>"
 
 
+def set_digests(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each set, in two halves; 0 for an empty one."""
+    many = np.diff(offsets)
+    full = np.flatnonzero(many)
+    begin = offsets[:-1][full]
+    a, b = np.zeros(len(many), np.uint64), np.zeros(len(many), np.uint64)
+    if len(full):
+        a[full] = _mix(np.add.reduceat(_mix(sets), begin) + many[full].astype(np.uint64))
+        b[full] = _mix(np.add.reduceat(_mix(sets ^ np.uint64(0xD6E8FEB86659FD93)), begin))
+    return a, b
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """For each row of `docs` (doc_id, text): the size and a 128-bit digest of its shingle set, a key for each
     band of minima, and the lowest bits of all minima packed into longs (empty arrays for an empty set)."""
@@ -103,10 +115,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 full = np.flatnonzero(many)
                 own = np.concatenate(([0], np.cumsum(many[full])))
                 mins = minima(own, sets)
-                set_a, set_b = np.zeros(len(many), np.uint64), np.zeros(len(many), np.uint64)
-                if len(full):
-                    set_a[full] = _mix(np.add.reduceat(_mix(sets), own[:-1]) + many[full].astype(np.uint64))
-                    set_b[full] = _mix(np.add.reduceat(_mix(sets ^ np.uint64(0xD6E8FEB86659FD93)), own[:-1]))
+                set_a, set_b = set_digests(sets, offsets)
                 key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
                 key = np.repeat(key, len(full), axis=0)
                 for r in range(ROWS):
@@ -150,25 +159,31 @@ def _cutoff(least: Fraction) -> float:
     return threshold - ERRORS * (equal * (1 - equal) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
-def _full_sets(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node and shingles (the sorted set, 8 bytes each) of at least the nodes `wanted`, made again from their
-    texts, so that sets of all documents are never stored and texts are not shuffled."""
-    known = bitmap(wanted, "node")
+def _full_sets(wanted: DataFrame, heads: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node and shingles (the sorted set, 8 bytes each) of the nodes `wanted`, made again from the text of one of their
+    documents (`heads`: node, doc_id, set_a, set_b), so that sets of all documents are never stored and texts are not
+    shuffled. Where a doc_id has several texts, the digest tells which one it is."""
+    asked = stage(wanted.select("node").distinct().join(heads, "node"), "wanted-sets")
+    known = bitmap(asked, "doc_id")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(passes(known.value, batch.column("place").to_numpy())))
             for part in slices(batch, most=4 << 20):
                 offsets, sets = shingle_sets(part.column("text"), words)
-                raw = sets.tobytes()
+                raw, digests = sets.tobytes(), set_digests(sets, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())],
-                    names=["node", "shingles"],
+                    [
+                        part.column("doc_id"), *[pa.array(_signed(x)) for x in digests],
+                        pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
+                    ],
+                    names=["doc_id", "set_a", "set_b", "shingles"],
                 )
 
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    sets = texts.withColumn("place", place("doc_id")).mapInArrow(collect, "node bigint, shingles binary")
-    return stage(sets.groupBy("node").agg(F.max("shingles").alias("shingles")), "shingle-sets")
+    sets = texts.withColumn("place", place("doc_id")).mapInArrow(collect, "doc_id bigint, set_a bigint, set_b bigint, shingles binary")
+    mine = sets.join(asked, ["doc_id", "set_a", "set_b"])
+    return stage(mine.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
@@ -177,7 +192,7 @@ def _similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
     return (both - union) * least.denominator >= union * least.numerator
 
 
-def _confirmed(pairs: DataFrame, packed: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
+def _confirmed(pairs: DataFrame, packed: DataFrame, heads: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
     """Those of `pairs` (a, b; each once) whose full sets are similar enough. packed: node, packed."""
     one = packed.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
     other = packed.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
@@ -192,31 +207,37 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, docs: DataFrame, words: int,
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = _full_sets(near.select(F.explode(F.array("a", "b")).alias("node")), docs, words)
+    sets = _full_sets(near.select(F.explode(F.array("a", "b")).alias("node")), heads, docs, words)
     full = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
     full = full.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
     return stage(full.select("a", "b", "one", "other").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
-def _joining(members: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
+def _joining(members: DataFrame, heads: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
     """Links (a, b) between nodes that share a band and lie in different components, enough to join all
     components that such links join. members: key, node, n, component, bands, packed.
 
     A pair that shares several bands is compared in the first of them. A member goes on only if some other
-    in its band may be similar enough and shares no earlier band with it. What goes on is compared in blocks
-    of a band, inside tasks: no pair leaves a task unless it is a link that joins two components there.
+    in its band may be similar enough and shares no earlier band with it; it is looked for block by block of the band, so
+    a band with many members is many keys. What goes on is compared in blocks of a band, inside tasks: no pair leaves
+    a task unless it is a link that joins two components there.
     """
-    a, b = members.alias("a"), members.alias("b")
+    cuts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    cut = members.join(stage(cuts, "band-cuts"), "key")
+    a = cut.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).alias("a")
+    b = cut.withColumn("turn", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).alias("b")
     n_a, n_b = F.col("a.n"), F.col("b.n")
     partner = (
         (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.turn") == F.col("b.turn"))
         & (F.col("a.component") != F.col("b.component"))
         & (F.least(n_a, n_b) * least.denominator >= F.greatest(n_a, n_b) * least.numerator)
         & (estimated_similarity(F.col("a.packed"), F.col("b.packed")) >= _cutoff(least))
         & (_first_shared(F.col("a.bands"), F.col("b.bands")) == F.col("a.key"))
     )
-    near = stage(a.join(b, partner, "left_semi"), "near-members")
-    sets = _full_sets(near, docs, words)
+    near = a.join(b, partner, "left_semi").drop("turn", "cuts").dropDuplicates(["key", "node"])
+    near = stage(near, "near-members")
+    sets = _full_sets(near, heads, docs, words)
     blocks = near.groupBy("key").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
@@ -297,22 +318,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: str = "0.8") ->
 
     Documents are linked when the Jaccard similarity of their sets of distinct shingles of `words` words is at
     least `similarity` (an exact decimal); a component is all that links reach, named by its smallest doc_id.
-    Empty and null texts have no shingles and are linked with nothing. Rows with the same doc_id are taken
-    as one document. A row without doc_id has a null component and is kept. Columns of `docs` other than
+    Empty and null texts have no shingles and are linked with nothing. Rows with the same doc_id are one document, which
+    has the links of all its texts. A row without doc_id has a null component and is kept. Columns of `docs` other than
     doc_id and text are not read. An empty table gives no rows.
 
     Documents with equal sets are one node. Nodes that share a band are candidates: first each against the
     smallest and largest node of the band, then, where a band still holds different components, the nodes
-    of different ones in blocks. No pair that could join components is left out.
+    of different ones in blocks. No pair that shares a band and could join components is left out.
     """
     least = Fraction(similarity)
     signed = stage(signatures(docs, words), "signatures")
-    groups = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
-    groups = stage(groups, "sets")
-    heads = groups.select(F.col("node").alias("doc_id"), "set_a", "set_b")
+    keyed = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_a", "set_b")
+    groups = keyed.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    # a set's number is fixed when the table is written; documents come in only by their sets
+    groups = stage(groups.withColumn("node", F.monotonically_increasing_id()), "sets")
+    heads = groups.select("node", "doc_id", "set_a", "set_b")
     nodes = stage(
-        signed.join(heads, ["doc_id", "set_a", "set_b"], "left_semi")
-        .groupBy(F.col("doc_id").alias("node")).agg(F.max(F.struct("n_shingles", "bands", "packed")).alias("s"))
+        signed.join(heads, ["doc_id", "set_a", "set_b"])
+        .groupBy("node").agg(F.max(F.struct("n_shingles", "bands", "packed")).alias("s"))
         .select("node", F.col("s.n_shingles").alias("n"), "s.bands", "s.packed"),
         "nodes",
     )
@@ -325,21 +348,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: str = "0.8") ->
     hubs = members.select("node", "n", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
     first = hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = stage(first, "star-pairs")
-    links = _confirmed(first, packed, docs, words, least)
+    links = _confirmed(first, packed, heads, docs, words, least)
     found = connected_components(links)
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = stage(placed.select("key", "node", "n", "component"), "placed-members")
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     rest = placed.join(mixed.select("key"), "key", "left_semi").join(nodes.select("node", "bands", "packed"), "node")
-    more = _joining(stage(rest, "mixed-members"), docs, words, least)
-    # rows of one doc_id with different sets are one document
-    keyed = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_a", "set_b")
-    versions = keyed.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("x"), F.max(F.struct("set_a", "set_b")).alias("y"))
-    versions = keyed.join(versions.where("x <> y"), "doc_id", "left_semi").join(groups, ["set_a", "set_b"])
-    versions = versions.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    more = _joining(stage(rest, "mixed-members"), heads, docs, words, least)
+    # the sets of rows with one doc_id are joined: they are one document
+    digest = F.struct("set_a", "set_b")
+    several = keyed.groupBy("doc_id").agg(F.min(digest).alias("x"), F.max(digest).alias("y")).where("x <> y").select("doc_id")
+    versions = keyed.join(several, "doc_id", "left_semi").distinct()
+    versions = stage(versions.join(groups.drop("doc_id"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "node"), "versions")
+    least_node = versions.groupBy("doc_id").agg(F.min("node").alias("a"))
+    versions = versions.join(least_node, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     final = connected_components(links.union(more).union(versions))
     # by set, not by document, until the last join: a set may belong to many documents
-    named = groups.join(final, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
+    linked = groups.join(final, "node")
+    names = stage(linked.groupBy("component").agg(F.min("doc_id").alias("name")), "component-names")
+    linked = linked.join(names, "component").select("node", "name")
+    named = groups.join(linked, "node", "left")
+    named = named.select("set_a", "set_b", "n_shingles", F.coalesce("name", "doc_id").alias("component"))
     out = signed.join(stage(named, "set-components"), ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(

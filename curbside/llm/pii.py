@@ -7,6 +7,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# The lengths of account numbers by country (ISO 13616), so that a word that follows is not taken in.
+IBAN_LENGTHS = {
+    15: ["NO"],
+    16: ["BE"],
+    18: ["DK", "FI", "FO", "GL", "NL", "SD", "FK"],
+    19: ["MK", "SI"],
+    20: ["AT", "BA", "EE", "KZ", "LT", "LU", "MN", "XK"],
+    21: ["CH", "HR", "LI", "LV"],
+    22: ["BG", "BH", "CR", "DE", "GB", "GE", "IE", "ME", "RS", "VA"],
+    23: ["AE", "GI", "IL", "IQ", "OM", "SO", "TL"],
+    24: ["AD", "CZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"],
+    25: ["LY", "PT", "ST"],
+    26: ["IS", "TR"],
+    27: ["BI", "DJ", "FR", "GR", "IT", "MC", "MR", "SM"],
+    28: ["AL", "AZ", "BY", "CY", "DO", "GT", "HU", "LB", "NI", "PL", "SV"],
+    29: ["BR", "EG", "PS", "QA", "UA"],
+    30: ["JO", "KW", "MU"],
+    31: ["MT", "SC"],
+    32: ["LC"],
+    33: ["RU"],
+}
+
 # The patterns. Runs are possessive and start at a run's first character (or where the last match
 # ended), which finds the same matches as the plain forms without trying each start of a long run.
 PATTERNS = {
@@ -14,7 +36,9 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(
+        rf"(?:{'|'.join(names)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length, names in sorted(IBAN_LENGTHS.items())
+    ) + ")(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without this character has no match.
@@ -103,6 +127,14 @@ def _spans(kind: str, text: Column, matches: Column) -> Column:
     return F.transform(placed, scored)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, longer until no column (case aside, as Spark names them) begins with it."""
+    known = [c.lower() for c in columns]
+    while any(c.startswith(name.lower()) for c in known):
+        name += "_"
+    return name
+
+
 SPAN = "array<struct<kind: string, start: int, end: int, score: double>>"
 
 
@@ -112,8 +144,9 @@ def find_personal_data(docs: DataFrame, text: str = "text", out: str = "pii") ->
     overlap; those of different kinds may. Null text is empty and has no spans. Rows stay as they are,
     repeated ones and all columns included (a column named `out` is replaced)."""
     whole = F.coalesce(F.col(text), F.lit(""))
+    spare = unused("_matches", docs.columns)
     found = {
-        f"_{out}_{kind}": F.when(
+        f"{spare}_{kind}": F.when(
             F.contains(whole, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True),
             F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)),
         )
@@ -141,10 +174,12 @@ def span_text(spans: Column, kinds: list[str]) -> Column:
 def redact(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """`docs` (with text) with each span of a score of `least` or more replaced by its kind, as in [email].
 
-    Spans that overlap are replaced together, under the name of the first. Texts without spans, and nulls,
+    Columns may have any names. Spans that overlap are replaced together, under the name of the first. Texts without spans, and nulls,
     stay as they are; n_chars, where there is such a column, is set to the new length of changed texts.
     """
-    spans = F.array_sort(F.transform(F.filter("_pii", lambda s: s["score"] >= least), lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    own = unused("_redact", docs.columns)
+    pii, chosen, new_text = (f"{own}_{x}" for x in ("pii", "spans", "text"))
+    spans = F.array_sort(F.transform(F.filter(F.col(pii), lambda s: s["score"] >= least), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     text = F.col("text")
 
     def step(state: Column, span: Column) -> Column:
@@ -153,10 +188,10 @@ def redact(docs: DataFrame, least: float = 0.0) -> DataFrame:
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(later, gap).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    found = find_personal_data(docs, out="_pii").withColumn("_spans", spans)
-    found = found.withColumn("_new", F.when(F.size("_spans") > 0, done))
-    new = {"text": F.coalesce("_new", "text")}
+    done = F.aggregate(chosen, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    found = find_personal_data(docs, out=pii).withColumn(chosen, spans)
+    found = found.withColumn(new_text, F.when(F.size(chosen) > 0, done))
+    new = {"text": F.coalesce(new_text, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length("_new").cast(docs.schema["n_chars"].dataType), "n_chars")
-    return found.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length(new_text).cast(docs.schema["n_chars"].dataType), "n_chars")
+    return found.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])

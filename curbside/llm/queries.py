@@ -135,7 +135,9 @@ def _pii_sql() -> str:
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+        "iban": r"\b(?:" + "|".join(
+            rf"(?:{'|'.join(names)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length, names in sorted(pii.IBAN_LENGTHS.items())
+        ) + r")\b",
         "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"

@@ -395,3 +395,28 @@ def test_word_encoder_agrees_with_the_tokenizer(texts):
     for text, a, b in zip(mixed, offsets[:-1], offsets[1:]):
         assert ids[a:b].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
     assert zlib.crc32(ids.tobytes()) >= 0
+
+
+def test_texts_of_one_doc_id_keep_their_links(spark):
+    """A doc_id with two texts joins the near copies of both, whichever of its texts comes first."""
+    a, b = words(120, 1, 500), words(120, 2, 500)
+    near_a, near_b = a.replace(a.split()[60], "changed", 1), b.replace(b.split()[60], "changed", 1)
+    for rows in ([(1, a), (1, b), (2, near_a), (3, near_b)], [(1, b), (1, a), (2, near_a), (3, near_b)], [(7, near_b), (5, a), (5, b), (9, near_a), (4, a)]):
+        got = minhash.near_duplicates(frame(spark, rows), words=3, similarity="0.85").collect()
+        assert {r.component_id for r in got} == {min(i for i, _ in rows)} and len(got) == len(rows)
+        assert {r.doc_id for r in got if r.kept} == {min(i for i, _ in rows)}
+
+
+def test_account_numbers_before_words_and_own_columns(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32 NOW", "DE89 3704 0044 0532 0130 00 BIC COBADEFF", "iban NO9386011117947.", "XX82 WEST 1234 5698 7654 32"]
+    docs = spark.createDataFrame(
+        [(i, t, 7, "s", "m", "r", len(t)) for i, t in enumerate(texts)],
+        "doc_id bigint, text string, _pii int, _spans string, _matches_iban string, _redact_text string, n_chars bigint",
+    )
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.pii] for r in pii.find_personal_data(docs).collect()}
+    assert [found[i] for i in range(4)] == [[("iban", "GB82 WEST 1234 5698 7654 32")], [("iban", "DE89 3704 0044 0532 0130 00")], [("iban", "NO9386011117947")], []]
+    out = pii.redact(docs)
+    assert out.schema == docs.schema
+    assert [(r.text, r._pii, r._spans, r._matches_iban, r._redact_text) for r in out.orderBy("doc_id").collect()] == [
+        (x, 7, "s", "m", "r") for x in ("[iban] NOW", "[iban] BIC COBADEFF", "iban [iban].", texts[3])
+    ]
