@@ -112,11 +112,13 @@ def episode_revenue(t):
 
 @query(
     "e22_firm_episodes",
-    f"SELECT iteration, firm_id, {r2('sum(reward)')} AS profit, {r4('sum(multiplier) / (25 * 120)')} AS avg_multiplier FROM firm_log GROUP BY 1, 2",
+    f"SELECT iteration, firm_id, {r2('sum(reward)')} AS profit, {r4('sum(multiplier) / (SELECT count(DISTINCT zone) * max(n) FROM (SELECT zone, count(*) OVER (PARTITION BY iteration, firm_id, zone) AS n FROM firm_log))')} AS avg_multiplier FROM firm_log GROUP BY 1, 2",
 )
 def firm_episodes(t):
     log = t.firm_log.withColumn("multiplier", multiplier_of("action"))
-    return reports.firm_episodes(log, 25, 120).withColumns(
+    steps = log.groupBy("iteration", "firm_id", "zone").count()
+    size = steps.agg(F.countDistinct("zone").alias("zones"), F.max("count").alias("steps")).first()
+    return reports.firm_episodes(log, size.zones or 1, size.steps or 1).withColumns(
         {"profit": round2("profit"), "avg_multiplier": round4("avg_multiplier")}
     )
 
@@ -192,13 +194,18 @@ def numeric_text(t):
 ALIGNED = """(WITH v AS (SELECT row_number() OVER (ORDER BY Episode) - 1 AS i, CAST(Revenue AS DOUBLE) * 0.25 AS value
               FROM history WHERE TRY_CAST(Revenue AS DOUBLE) IS NOT NULL)
             SELECT s.range AS i, coalesce(v.value, (SELECT max_by(value, i) FROM v)) AS value
-            FROM range(210) s LEFT JOIN v ON v.i = s.range)"""
+            FROM range((SELECT max(iteration) + 1 FROM timeline)) s LEFT JOIN v ON v.i = s.range)"""
+
+
+def _iterations(t) -> int:
+    """How many iterations the timeline spans."""
+    return (t.timeline.agg(F.max("iteration")).first()[0] or 0) + 1
 
 
 @query("f8_aligned_series", f"SELECT i, {r2('value')} AS value FROM {ALIGNED}")
 def aligned_series(t):
     history = adapters.single_platform_history(t.spark, t.sf_dir)
-    return reports.align_series(history, "Episode", "Revenue", 210, 0.25).withColumn("value", round2("value"))
+    return reports.align_series(history, "Episode", "Revenue", _iterations(t), 0.25).withColumn("value", round2("value"))
 
 
 @query("f9_chosen_column", "SELECT Episode, Revenue AS chosen FROM history")
@@ -215,7 +222,7 @@ def chosen_column(t):
 )
 def single_platform_share(t):
     history = adapters.single_platform_history(t.spark, t.sf_dir)
-    single = reports.align_series(history, "Episode", "Revenue", 210, 0.25).select(
+    single = reports.align_series(history, "Episode", "Revenue", _iterations(t), 0.25).select(
         F.col("i").alias("episode"), F.col("value").alias("revenue")
     )
     platform = reports.firm_rows(reports.firm_columns(t.timeline, "profit")).select(

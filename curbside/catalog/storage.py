@@ -6,6 +6,8 @@ from curbside import schemas
 from curbside.catalog.registry import query
 from curbside.catalog.sql import r4
 from curbside.functions.numeric import r4 as round4
+from curbside.operators import demand
+from curbside.operators.trips import derive_trips
 from curbside.sources import tables
 from curbside.sources.staging import staged_path
 
@@ -17,6 +19,24 @@ def parquet_scan(t):
     return tables.read_parquet(t.spark, f"{t.sf_dir}/orders.parquet", ORDERS)
 
 
+@query(
+    "a1_raw_trips",
+    """SELECT PULocationID, day_of_week, request_hour, count(*) AS trips, (SELECT count(*) FROM trips WHERE trip_miles = 0) AS bad_rows
+       FROM trips WHERE trip_miles <> 0 AND request_date >= DATE '1995-01-01' AND request_date < DATE '1995-04-01' GROUP BY 1, 2, 3""",
+)
+def raw_trips(t):
+    """Trip records from text files to the demand of one quarter. Records of zero miles are written with text in place of
+    the number, so they do not read as trips."""
+    path = staged_path(t.spark, "raw-trip-files")
+    columns = [name for name in tables.trip_columns() if name in t.raw.columns]
+    miles = F.when(F.col("trip_miles") == 0, "n/a").otherwise(F.col("trip_miles").cast("string"))
+    tables.write_csv(t.raw.select(*columns).withColumn("trip_miles", miles), path)
+    kept, bad = tables.stage_trips(tables.scan_trips(t.spark, path))
+    quarter = kept.where((F.col("request_month") >= F.lit("1995-01-01").cast("date")) & (F.col("request_month") < F.lit("1995-04-01").cast("date")))
+    counted = derive_trips(quarter).groupBy(*demand.SLOT).agg(F.count("*").alias("trips"))
+    return counted.withColumn("bad_rows", F.lit(bad).cast("bigint"))
+
+
 @query("a2_parquet_read", "SELECT PULocationID, DOLocationID, day_of_week, request_hour, count(*) AS n FROM trips GROUP BY 1, 2, 3, 4")
 def parquet_read(t):
     path = staged_path(t.spark, "trips")

@@ -6,7 +6,8 @@ from curbside.catalog.registry import query
 from curbside.catalog.sql import r4
 from curbside.functions.menu import reward_per_taxi
 from curbside.functions.numeric import r4 as round4
-from curbside.sources.staging import stage, staged_path
+from curbside.operators.learning import IDS
+from curbside.sources.staging import staged_path
 from curbside.streaming import live
 
 ASKED = "(o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 24 AS INT))"
@@ -34,10 +35,11 @@ def hourly_requests(t):
 
 @query("m2_running_weights", f"SELECT arm, action, {r4('log_w')} AS log_w FROM weights WHERE (arm, action) IN (SELECT (arm, action) FROM decisions)")
 def running_weights(t):
-    log = stage(t.decisions, "decisions")
-    path = staged_path(t.spark, "running-weights")
-    stream = live.stream_parquet(t.spark, log.inputFiles()[0].rsplit("/", 1)[0], log.schema)
-    live.replace_at(
+    folder, path = staged_path(t.spark, "decisions"), staged_path(t.spark, "running-weights")
+    t.decisions.write.parquet(folder)
+    stream = live.stream_parquet(t.spark, folder, t.decisions.schema)
+    live.changes_to(
         live.running_weights(stream, reward_per_taxi()), path, staged_path(t.spark, "stream-state")
     ).awaitTermination()
-    return live.newest_version(t.spark, path).select("arm", "action", round4("log_w").alias("log_w"))
+    weights = live.current_rows(t.spark, path, [*IDS, "action"])
+    return weights.select("arm", "action", round4("log_w").alias("log_w"))

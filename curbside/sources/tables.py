@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from curbside.schemas import RAW_TRIPS
+from curbside.sources.staging import stage
+
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -22,6 +25,33 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     )
 
 
+def trip_columns() -> list[str]:
+    """The columns of a raw trip record, in the order of its file."""
+    return [part.split()[0] for part in RAW_TRIPS.split(", ")]
+
+
+def scan_trips(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """Raw trip records at `path` with their declared columns (`schemas.RAW_TRIPS`) and `bad_row`: whether a record does
+    not read as one (text that is no number or time, a missing zone or request time). No row is left out or fails the job."""
+    schema = f"{RAW_TRIPS}, _corrupt STRING"
+    reader = spark.read.schema(schema)
+    if kind == "csv":
+        options = {"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        rows = reader.options(**options).csv(path)
+    else:
+        rows = spark.read.schema(RAW_TRIPS).parquet(path).withColumn("_corrupt", F.lit(None).cast("string"))
+    missing = F.col("PULocationID").isNull() | F.col("DOLocationID").isNull() | F.col("request_datetime").isNull()
+    return rows.withColumn("bad_row", F.col("_corrupt").isNotNull() | missing).drop("_corrupt")
+
+
+def stage_trips(rows: DataFrame, label: str = "raw-trips") -> tuple[DataFrame, int]:
+    """The good rows of `scan_trips` as a table with a folder for each `request_month` (its first day), and how many bad
+    rows there were. The records are read once; a filter on the month then reads no other month's files."""
+    month = F.trunc(F.to_date("request_datetime"), "month")
+    staged = stage(rows.withColumn("request_month", month), label, partition_by="request_month")
+    return staged.where("NOT bad_row").drop("bad_row"), staged.where("bad_row").count()
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Parquet; with `partition_by`, rows are gathered by those columns, large values in several tasks."""
     if partition_by:

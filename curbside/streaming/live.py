@@ -48,14 +48,18 @@ def append_to(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def replace_at(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the full current result as a Parquet table, one version per batch."""
+def changes_to(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows that each batch has changed as Parquet, one folder a batch.
+
+    A batch writes what its own rows touched, however many rows there are in all. A batch that runs again after a
+    failure replaces its own folder.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        result.writeStream.outputMode("complete")
+        result.writeStream.outputMode("update")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -63,7 +67,9 @@ def replace_at(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def newest_version(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.parquet(path)
-    newest = table.agg(F.max("version")).scalar()
-    return table.where(F.col("version") == newest).drop("version")
+def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The latest row of each key out of the changes at `path`."""
+    changes = spark.read.parquet(path)
+    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])

@@ -35,5 +35,20 @@ def test_running_weights_add_up_over_batches(spark, tmp_path):
         rows = [("r", 0, 1, 0, r, 0.5) for r in rewards]
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
         weights = live.running_weights(live.stream_parquet(spark, folder, schema), F.col("reward"), 0.1)
-        live.replace_at(weights, out, state).awaitTermination()
-    assert abs(live.newest_version(spark, out).first().log_w - 1.2) < 1e-12
+        live.changes_to(weights, out, state).awaitTermination()
+    assert abs(live.current_rows(spark, out, ["run", "agent", "arm", "action"]).first().log_w - 1.2) < 1e-12
+
+
+def test_a_batch_writes_only_what_it_changed(spark, tmp_path):
+    """Many arms in the first batch, one in the second: the second writes one row, and the result is that of both at once."""
+    schema = "run string, agent int, arm int, action int, reward double, prob double"
+    folder, out, state = str(tmp_path / "in" / "*"), str(tmp_path / "out"), str(tmp_path / "state")
+    batches = [[("r", 0, arm, arm % 5, 1.0 + arm, 0.5) for arm in range(500)], [("r", 0, 7, 2, 4.0, 0.5), ("r", 0, 7, 2, 1.0, 0.25)]]
+    for name, rows in zip("ab", batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        live.changes_to(live.running_weights(live.stream_parquet(spark, folder, schema), F.col("reward"), 0.1), out, state).awaitTermination()
+    written = {r["batch"]: r["count"] for r in spark.read.parquet(out).groupBy("batch").count().collect()}
+    assert sorted(written.values()) == [1, 500]
+    now = {(r.arm, r.action): r.log_w for r in live.current_rows(spark, out, ["run", "agent", "arm", "action"]).collect()}
+    every = live.running_weights(spark.createDataFrame(batches[0] + batches[1], schema), F.col("reward"), 0.1).collect()
+    assert now == {(r.arm, r.action): r.log_w for r in every}
