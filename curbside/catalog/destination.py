@@ -7,7 +7,7 @@ from curbside.catalog.sql import r4, r6
 from curbside.functions.numeric import r4 as round4, r6 as round6
 from curbside.operators import destination
 from curbside.plans import destination_plan
-from curbside.sources.staging import staged_path
+from curbside.sources.staging import stage, staged_path
 
 IDS = ["PULocationID", "day_of_week", "request_hour", "DOLocationID"]
 
@@ -189,3 +189,104 @@ def saved_model(t):
 def weight_table(t):
     model, _ = _trained(t)
     return model.weights()
+
+
+# --- what must hold for any trained model ---------------------------------------------------------
+
+SLOTS = "(SELECT DISTINCT PULocationID, day_of_week, request_hour FROM trips)"
+N_DROPOFFS = "(SELECT count(DISTINCT DOLocationID) FROM trips)"
+
+
+def _totals(scored):
+    """How many drop-offs each slot has scores for, whether all are probabilities and whether they add up to 1."""
+    return scored.groupBy(*destination.SLOT).agg(
+        F.count("*").alias("dropoffs"), F.bool_and(F.col("p").between(0, 1)).alias("in_range"), round4(F.sum("p")).alias("total")
+    )
+
+
+@query(
+    "j7_grid_invariants",
+    f"""SELECT z.PULocationID, CAST(d.range AS INT) AS day_of_week, CAST(h.range AS INT) AS request_hour, {N_DROPOFFS} AS dropoffs,
+        TRUE AS in_range, 1.0::DOUBLE AS total FROM zones z CROSS JOIN range(7) d CROSS JOIN range(24) h""",
+)
+def grid_invariants(t):
+    """Every pickup zone and hour of the week has a distribution over all drop-offs."""
+    model, _ = _trained(t)
+    return _totals(model.score(destination.slot_grid(model.domains["PULocationID"])))
+
+
+@query(
+    "j6_slot_invariants",
+    f"SELECT s.*, {N_DROPOFFS} AS dropoffs, TRUE AS in_range, 1.0::DOUBLE AS total, TRUE AS known FROM {SLOTS} s",
+)
+def slot_invariants(t):
+    """The slots with trips, their distributions, and whether the likeliest drop-off is one of those that trips have."""
+    model, _ = _trained(t)
+    scored = stage(model.score(t.dest_counts.select(*destination.SLOT).distinct()), "slot-scores")
+    best = destination.ranked_distribution(scored).where("rank = 1").select(*destination.SLOT, F.col("DOLocationID").alias("best"))
+    seen = destination.distinct_ids(t.dest_counts, "DOLocationID").select(F.col("id").alias("best"), F.lit(True).alias("known"))
+    best = best.join(seen, "best", "left").drop("best").withColumn("known", F.coalesce("known", F.lit(False)))
+    return _totals(scored).join(best, destination.SLOT)
+
+
+@query(
+    "a6_reload_invariants",
+    f"SELECT s.*, {N_DROPOFFS} AS dropoffs, 0.0::DOUBLE AS difference FROM {SLOTS} s",
+)
+def reload_invariants(t):
+    """A model that was saved and loaded again scores every slot as before."""
+    model, _ = _trained(t)
+    folder = staged_path(t.spark, "destination-model")
+    model.save(folder)
+    slots = stage(t.dest_counts.select(*destination.SLOT).distinct(), "slots")
+    again = destination_plan.DestinationModel.load(t.spark, folder).score(slots).withColumnRenamed("p", "again")
+    both = model.score(slots).join(again, IDS, "full_outer")
+    gap = F.coalesce(F.abs(F.col("p") - F.col("again")), F.lit(1.0))
+    return both.groupBy(*destination.SLOT).agg(F.count("*").alias("dropoffs"), F.max(gap).alias("difference"))
+
+
+@query(
+    "a7_weight_shapes",
+    f"""WITH n AS (SELECT [(SELECT count(DISTINCT PULocationID) + count(DISTINCT day_of_week) + count(DISTINCT request_hour) FROM trips),
+          128, 64, {N_DROPOFFS}] AS w)
+        SELECT CAST(l.range AS INT) AS layer, k.kind, CASE WHEN k.kind = 'W' THEN w[l.range + 1] ELSE 1 END AS n_rows,
+          w[l.range + 2] AS n_columns, CASE WHEN k.kind = 'W' THEN w[l.range + 1] ELSE 1 END * w[l.range + 2] AS n_values
+        FROM n CROSS JOIN range(3) l CROSS JOIN (VALUES ('W'), ('b')) k(kind)""",
+)
+def weight_shapes(t):
+    """The exported weights fill the matrix and the bias of every layer, each place once."""
+    model, _ = _trained(t)
+    distinct = F.count_distinct("i", "j")
+    return model.weights().groupBy("layer", "kind").agg(
+        F.count_distinct("i").alias("n_rows"), F.count_distinct("j").alias("n_columns"), distinct.alias("n_values")
+    )
+
+
+def _measured(measures):
+    """Whether measures are those of a classifier: a positive loss, hits that grow with what is let in."""
+    hits = [c for c in ("top1_accuracy", "top5_accuracy", "top10_accuracy") if c in measures.columns]
+    ordered = F.lit(True)
+    for low, high in zip([None, *hits], [*hits, None]):
+        ordered = ordered & ((F.col(low) if low else F.lit(0.0)) <= (F.col(high) if high else F.lit(1.0)))
+    return measures.select(*[c for c in ("model", "part") if c in measures.columns], (F.col("log_loss") > 0).alias("loss"), ordered.alias("ordered"))
+
+
+@query(
+    "j3_measure_invariants",
+    "SELECT model, TRUE AS loss, TRUE AS ordered FROM (VALUES ('classifier'), ('counted')) m(model) WHERE (SELECT count(*) FROM trips) > 0",
+)
+def measure_invariants(t):
+    return _measured(trained_classifier(t))
+
+
+@query(
+    "j4_fit_invariants",
+    "SELECT part, TRUE AS loss, TRUE AS ordered FROM (VALUES ('train'), ('validation')) m(part) WHERE (SELECT count(*) FROM trips) > 0",
+)
+def fit_invariants(t):
+    return _measured(fit_metrics(t))
+
+
+@query("j9_workflow_invariants", "SELECT TRUE AS loss, TRUE AS ordered WHERE (SELECT count(*) FROM trips) > 0")
+def workflow_invariants(t):
+    return _measured(workflow(t))

@@ -7,6 +7,7 @@ from curbside.catalog.sql import MENU, r4, r6, unit
 from curbside.functions.menu import MULTI_PLATFORM_FARE_CAP, reward_per_taxi, reward_share
 from curbside.functions.numeric import r4 as round4, r6 as round6
 from curbside.operators import learning, planning, replay, sampling
+from curbside.sources.staging import stage
 
 ALPHA, DISCOUNT, ETA, GAMMA = 0.2, 0.95, 0.1, 0.1
 SHARE_NORMALIZER = 50.0
@@ -310,6 +311,19 @@ def whittle_indices(t):
     return planning.whittle_indices(_model(t), DISCOUNT).select("arm", "state", round4("index").alias("index"))
 
 
+@query(
+    "l13_index_invariants",
+    "SELECT arm, CAST(s.range AS INT) AS state, TRUE AS in_balance FROM (SELECT DISTINCT arm FROM decisions) CROSS JOIN range(10) s",
+)
+def index_invariants(t):
+    """Whether at each index both actions are equally good, or the index stands at an end of the range it is looked for in."""
+    model = stage(_model(t), "index-model")
+    found = stage(planning.whittle_indices(model, DISCOUNT), "indices")
+    gaps = planning.index_gaps(model, found, DISCOUNT)
+    edge = F.abs(F.abs("index") - 100.0) < 1e-6
+    return gaps.select("arm", F.col("state").cast("int").alias("state"), ((F.abs("gap") < 1e-6) | edge).alias("in_balance"))
+
+
 @query(
     "l14_priority_scores",
     _walk("CASE WHEN ns IS NULL THEN 0.0 ELSE list_max(w.q[ns * 5 + 1 : ns * 5 + 5]) END", 50)

@@ -117,6 +117,8 @@ def _solve_two_actions(move, gain, subsidy, discount, tol, max_iter):
         keep = live[rows]
         q[rows] = np.where(keep[..., None, None], new, q[rows])
         live[rows] = keep & (change >= tol)
+    if live.any():
+        raise RuntimeError(f"values still change by {tol} or more after {max_iter} rounds")
     return q
 
 
@@ -149,7 +151,7 @@ def _policy_values(move, gain, subsidy, discount, max_iter=200):
     moves = np.broadcast_to(move[:, None], (m, k, s, 2, s))
     act = base.argmax(axis=3)
     q = base
-    for _ in range(max_iter):
+    for _ in range(max_iter + 1):
         rows = np.take_along_axis(moves, act[..., None, None], axis=3)[:, :, :, 0]
         pay = np.take_along_axis(base, act[..., None], axis=3)
         value = np.linalg.solve(np.eye(s) - discount * rows, pay)
@@ -158,6 +160,8 @@ def _policy_values(move, gain, subsidy, discount, max_iter=200):
         if np.array_equal(better, act.astype(bool)):
             break
         act = better.astype(int)
+    else:
+        raise RuntimeError(f"a policy is still changing after {max_iter} rounds")
     return q
 
 
@@ -192,6 +196,24 @@ def whittle_indices(
     return out.select(*ids, F.posexplode("v").alias("state", "index"))
 
 
+def index_gaps(model: DataFrame, indices: DataFrame, discount: float = 0.95, n_states: int = N_STATES, ids=IDS) -> DataFrame:
+    """For each (arm, state, index): the active less the passive action's value in that state when `index` is the passive
+    subsidy. At a right index both are equally good."""
+
+    @F.pandas_udf("array<double>")
+    def gaps(p_at: pd.Series, p: pd.Series, r_at: pd.Series, r: pd.Series, index: pd.Series) -> pd.Series:
+        move = _dense(p_at, p, n_states * 2 * n_states).reshape(-1, n_states, 2, n_states)
+        gain = _dense(r_at, r, n_states * 2).reshape(-1, n_states, 2)
+        subsidy = np.stack(index.to_list()) if len(index) else np.zeros((0, n_states))
+        own = np.arange(n_states)
+        q = _policy_values(move, gain, subsidy, discount)
+        return pd.Series(list(q[:, own, own, 1] - q[:, own, own, 0]))
+
+    packed = indices.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("state", "index"))).alias("_i"))
+    rows = model.join(packed, ids).select(*ids, gaps("p_at", "p", "r_at", "r", F.col("_i.index")).alias("_g"))
+    return indices.join(rows.select(*ids, F.posexplode("_g").alias("state", "gap")), [*ids, "state"])
+
+
 def current_states(log: DataFrame, ids=IDS) -> DataFrame:
     """Last logged state of every arm."""
     return log.groupBy(*ids).agg(F.max_by("state", F.struct("episode", "step")).alias("state"))
