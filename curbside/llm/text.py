@@ -99,7 +99,7 @@ class WordEncoder:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, keep: int = KEEP):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
