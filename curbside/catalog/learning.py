@@ -189,10 +189,8 @@ def double_q_replay(t):
     return out.select("arm", "state", "action", round6("q1").alias("q1"), round6("q2").alias("q2"))
 
 
-@query(
-    "l4_exp3_stable",
-    f"""WITH RECURSIVE {STEPS.format(coin='FALSE')},
-      walk AS ({START.format(width=5)}
+#: The clipped weights of each arm after its last row of `steps`.
+CLIPPED_WALK = f"""walk AS ({START.format(width=5)}
         UNION ALL
         SELECT arm, i, list_transform(q, lambda x: greatest(least(x - list_max(q), 0.0), -50.0)) FROM (
           SELECT arm, i, list_transform(range(5), lambda k: w[k + 1] + CASE WHEN k = a THEN
@@ -201,8 +199,10 @@ def double_q_replay(t):
             FROM (SELECT w.arm, w.i + 1 AS i, w.q AS w, d.a, d.reward,
                     list_transform(w.q, lambda x: exp(greatest(x - list_max(w.q), -50.0))) AS e
                   FROM walk w JOIN steps d ON d.arm = w.arm AND d.i = w.i + 1))))
-      SELECT arm, CAST(k.range AS INT) AS action, {r6('q[k.range + 1]')} AS log_w FROM {LAST} CROSS JOIN range(5) k""",
-)
+      SELECT arm, CAST(k.range AS INT) AS action, {r6('q[k.range + 1]')} AS log_w FROM {LAST} CROSS JOIN range(5) k"""
+
+
+@query("l4_exp3_stable", f"WITH RECURSIVE {STEPS.format(coin='FALSE')}, {CLIPPED_WALK}")
 def exp3_stable(t):
     out = replay.exp3_stable(t.decisions, reward_share(normalizer=SHARE_NORMALIZER), ETA, GAMMA)
     return out.select("arm", "action", round6("log_w").alias("log_w"))

@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from curbside.catalog.learning import CLIPPED_WALK, ETA, GAMMA, SHARE_NORMALIZER
 from curbside.catalog.registry import query
 from curbside.catalog.sql import r4
-from curbside.functions.menu import reward_per_taxi
-from curbside.functions.numeric import r4 as round4
+from curbside.functions.menu import reward_per_taxi, reward_share
+from curbside.functions.numeric import r4 as round4, r6 as round6
 from curbside.operators.learning import IDS
+from curbside.sources.adapters import as_decisions
 from curbside.sources.staging import staged_path
-from curbside.streaming import live
+from curbside.streaming import live, ordered
 
 ASKED = "(o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 24 AS INT))"
 
@@ -43,3 +45,22 @@ def running_weights(t):
     ).awaitTermination()
     weights = live.current_rows(t.spark, path, [*IDS, "action"])
     return weights.select("arm", "action", round4("log_w").alias("log_w"))
+
+
+CLOSED_STEPS = """steps AS (SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY ts, step) AS i, action AS a, reward
+      FROM decisions JOIN events ON event_id = step
+      WHERE date_trunc('day', ts) + INTERVAL '1' DAY <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '2' HOUR FROM events))"""
+
+
+@query("m2_ordered_weights", f"WITH RECURSIVE {CLOSED_STEPS}, {CLIPPED_WALK} WHERE arm IN (SELECT arm FROM steps)")
+def ordered_weights(t):
+    """Clipped weights by the days that the watermark has closed at the end of the stream."""
+    events = live.stream_parquet(t.spark, t.sf_dir, t.table("events").schema, "events.parquet")
+    weights = ordered.ordered_weights(
+        as_decisions(events), reward_share(normalizer=SHARE_NORMALIZER), "ts", "2 hours", 86400, ETA, GAMMA
+    )
+    path = staged_path(t.spark, "ordered-weights")
+    with ordered.keyed_state(t.spark):
+        live.changes_to(weights, path, staged_path(t.spark, "stream-state")).awaitTermination()
+    now = live.current_rows(t.spark, path, [*IDS, "action"])
+    return now.select("arm", "action", round6("log_w").alias("log_w"))

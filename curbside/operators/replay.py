@@ -357,6 +357,21 @@ def double_q_replay(
     )
 
 
+def follow_exp3(w: list[float], actions: list[int], gains: list[float], eta: float, gamma: float) -> list[float]:
+    """Log weights after the clipped EXP3 update of each (action, gain) in turn, from the weights `w`."""
+    n_actions = len(w)
+    for act, gain in zip(actions, gains):
+        top = max(w)
+        e = [math.exp(min(max(x - top, -WEIGHT_LIMIT), 0.0)) for x in w]
+        total = max(sum(e), FLOOR)
+        p = [max((1.0 - gamma) * x / total + gamma / n_actions, FLOOR) for x in e]
+        p_act = max(p[act] / sum(p), FLOOR)
+        w = [*w[:act], w[act] + eta * min(max(gain / p_act, 0.0), WEIGHT_LIMIT), *w[act + 1 :]]
+        top = max(w)
+        w = [min(max(x - top, -WEIGHT_LIMIT), 0.0) for x in w]
+    return w
+
+
 def exp3_stable(
     log: DataFrame, reward: Column, eta: float = 0.1, gamma: float = 0.1, n_actions: int = N_ACTIONS,
     size: int = CHUNK, ids=IDS,
@@ -371,20 +386,8 @@ def exp3_stable(
 
     @F.pandas_udf("array<double>")
     def fold(start: pd.Series, a: pd.Series, r: pd.Series) -> pd.Series:
-        out = []
-        for w0, acts, rs in zip(start, a, r):
-            w = w0.tolist()
-            for act, gain in zip(acts.tolist(), rs.tolist()):
-                top = max(w)
-                e = [math.exp(min(max(x - top, -WEIGHT_LIMIT), 0.0)) for x in w]
-                total = max(sum(e), FLOOR)
-                p = [max((1.0 - gamma) * x / total + gamma / n_actions, FLOOR) for x in e]
-                p_act = max(p[act] / sum(p), FLOOR)
-                w[act] += eta * min(max(gain / p_act, 0.0), WEIGHT_LIMIT)
-                top = max(w)
-                w = [min(max(x - top, -WEIGHT_LIMIT), 0.0) for x in w]
-            out.append(w)
-        return pd.Series(out)
+        ends = [follow_exp3(w.tolist(), acts.tolist(), rs.tolist(), eta, gamma) for w, acts, rs in zip(start, a, r)]
+        return pd.Series(ends)
 
     values = advance(chunks, lambda: fold("start", "a", "r"), n_actions, ids)
     return values.select(*ids, F.posexplode("values").alias("action", "log_w"))

@@ -49,9 +49,10 @@ def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One logged decision per event: the event type is the action, the user the arm."""
-    log = table(spark, sf_dir, "events").selectExpr(
+def as_decisions(events: DataFrame) -> DataFrame:
+    """Each event as a decision, with its time: the event type is the action, the user the arm."""
+    return events.selectExpr(
+        "ts",
         "'log' AS run",
         "0 AS agent",
         "user_id AS arm",
@@ -64,6 +65,11 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value AS reward",
         "CAST(event_id % 20 AS INT) AS n_taxis",
     )
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One logged decision per event, with the state that the arm's next one found."""
+    log = as_decisions(table(spark, sf_dir, "events")).drop("ts")
     log = next_values(log, ["run", "agent", "arm"], "step", {"next_state": "state"})
     return log.withColumn("done", F.col("next_state").isNull())
 

@@ -26,6 +26,7 @@ USUAL = (
     "l4_exp3_stable",
     "l7_q_replay",
     "m1_hourly_requests",
+    "m2_ordered_weights",
 )
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("CURBSIDE_ALL") else USUAL
 

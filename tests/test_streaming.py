@@ -1,8 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from curbside.streaming import live
+from curbside.operators.replay import exp3_stable
+from curbside.streaming import live, ordered
 
 
 def test_late_requests_are_dropped_and_hours_close_once(spark, tmp_path):
@@ -52,3 +54,66 @@ def test_a_batch_writes_only_what_it_changed(spark, tmp_path):
     now = {(r.arm, r.action): r.log_w for r in live.current_rows(spark, out, ["run", "agent", "arm", "action"]).collect()}
     every = live.running_weights(spark.createDataFrame(batches[0] + batches[1], schema), F.col("reward"), 0.1).collect()
     assert now == {(r.arm, r.action): r.log_w for r in every}
+
+
+DECISIONS = "run string, agent int, arm int, episode int, step int, action int, reward double, at timestamp"
+START = dt.datetime(2026, 1, 5)
+
+
+def decision(arm, minute, action=None, reward=None):
+    """One whose place in its arm's log is its minute."""
+    reward = (minute * 7 + arm) % 10 / 10 if reward is None else reward
+    return ("r", 0, arm, 0, minute, (minute + arm) % 5 if action is None else action, reward, START + dt.timedelta(minutes=minute))
+
+
+@pytest.fixture
+def follow(spark, tmp_path):
+    """Adds rows to the stream, runs it, and gives the rows that each batch has written."""
+    folder, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+
+    def run(rows):
+        spark.createDataFrame(rows, DECISIONS).coalesce(1).write.mode("append").parquet(folder)
+        weights = ordered.ordered_weights(live.stream_parquet(spark, folder, DECISIONS), F.col("reward"), "at")
+        with ordered.keyed_state(spark):
+            live.changes_to(weights, out, state).awaitTermination()
+        return live.current_rows(spark, out, ["run", "agent", "arm", "action"]), spark.read.parquet(out)
+
+    return run
+
+
+def test_ordered_weights_are_those_of_the_log_in_order(spark, follow):
+    """Rows of an arm out of order, within a file and over two; an hour counts once the watermark has passed its end."""
+    every = [decision(arm, minute) for arm in (1, 2, 3) for minute in range(0, 360, 7)]
+    first, later = [r for r in every if r[4] % 2 and r[4] < 200], [r for r in every if not (r[4] % 2 and r[4] < 200)]
+    late = [r for r in later if r[4] <= 69]  # the newest of the first file, 189, less two hours
+    follow(first[::-1])
+    now, _ = follow(later[::-1])
+    taken = [r for r in first + later if r not in late and r[4] < 180]
+    twin = exp3_stable(spark.createDataFrame(taken, DECISIONS), F.col("reward"))
+    assert late and {(r.arm, r.action): r.log_w for r in now.collect()} == {(r.arm, r.action): r.log_w for r in twin.collect()}
+    assert {r.arm: r.n_updates for r in now.collect()} == {a: sum(r[2] == a for r in taken) for a in (1, 2, 3)}
+
+
+def test_ordered_weights_write_only_what_a_batch_changed(spark, follow):
+    follow([decision(arm, 5, 0, 1.0) for arm in range(100)] + [decision(999, 300, 0, 1.0)])
+    _, written = follow([decision(7, 200, 1, 1.0), decision(999, 700, 0, 1.0)])
+    by_batch = {b: {r.arm for r in rows} for b, rows in _by(written.collect(), "batch")}
+    assert list(map(len, by_batch.values())) == [100, 2] and list(by_batch.values())[1] == {7, 999}
+    assert max(r.n_updates for r in written.where("arm = 7").collect()) == 2
+
+
+def test_ordered_weights_are_none_while_the_period_is_open(follow):
+    now, written = follow([decision(1, 0), decision(1, 170)])
+    assert {r.n_updates for r in now.collect()} in (set(), {0})
+    assert written.isEmpty()
+
+
+@pytest.mark.parametrize("wrong", [decision(1, 0, 5), (*decision(1, 0)[:-1], None)])
+def test_ordered_weights_fail_on_what_they_cannot_place(follow, wrong):
+    with pytest.raises(Exception, match="there is no action 5|has no time"):
+        follow([wrong])
+
+
+def _by(rows, name):
+    for value in sorted({r[name] for r in rows}):
+        yield value, [r for r in rows if r[name] == value]
