@@ -5,9 +5,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import re
 import sys
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,69 +93,100 @@ class Recent:
 class WordEncoder:
     """Ids of a tokenizer that drops white space, found once for each distinct word.
 
-    A word of Latin letters, with or without one closing mark, goes straight to the merges; any other
-    word goes through the whole tokenizer. `keep` words are remembered.
+    A word of Latin letters, with or without one closing mark, goes straight to the merges in lower case and without
+    its mark; any other word goes through the whole tokenizer. What was found is kept as Arrow and NumPy columns and
+    looked up for all words of a batch at once. Beyond `keep` entries those that the last batch did not use go, so
+    the memory is bounded by `keep` and the words of one batch; results do not depend on it.
     """
 
     MARKS = ".,;:!?"
+    SHORT = "^[A-Za-zÀ-ÖØ-öø-ÿß]+[.,;:!?]?$"
 
     def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.bodies = Recent(keep)
-        self.letters = re.compile("[a-zß-öø-ÿ]+").fullmatch
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.symbols = _byte_symbols()
         probe = ["Stille", "wässer,", "x.", "7"]
-        if self._plain([" \n ".join(probe)])[0] != b"".join(self._plain(probe)):
+        if sum(self._plain(probe), []) != self._plain([" \n ".join(probe)])[0]:
             raise ValueError("this tokenizer does not drop white space")
-        self.marks = dict(zip(self.MARKS, self._plain(list(self.MARKS)))) | {"": b""}
         # the short way is taken only where it agrees with the tokenizer
         self.short = [self._merged(x) for x in ("stille", "wässeràí")] == self._plain(["Stille", "WässerÀÍ"])
+        self.keys, self.start, self.size = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.values = np.zeros(0, "<u4")
+        self.marks = pa.array(list(self.MARKS), pa.string())
+        self._add(self.marks.to_pylist(), self._plain(list(self.MARKS)))
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in done]
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
 
-    def _merged(self, body: str) -> bytes:
+    def _merged(self, body: str) -> list[int]:
         if not body.isascii():
             body = body.encode().decode("latin-1").translate(self.symbols)
-        return np.asarray([x.id for x in self.tokenizer.model.tokenize(body)], "<u4").tobytes()
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
-        known, marks, letters, out, late = self.bodies, self.marks, self.letters, [], []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                body = word.lower()
-                mark = body[-1] if body[-1] in marks else ""
-                if mark:
-                    body = body[:-1]
-                ids = known.get(body)
-                if ids is not None:
-                    ids += marks[mark]
-                elif self.short and letters(body):
-                    ids = self._merged(body)
-                    known.put(body, ids)
-                    ids += marks[mark]
-                else:
-                    late.append(len(out))
-            out.append(ids)
-        for at, ids in zip(late, self._plain([words[i] for i in late]) if late else []):
-            out[at] = ids
-        return out
+        return [x.id for x in self.tokenizer.model.tokenize(body)]
+
+    def _add(self, keys: list[str], ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.keys = pa.concat_arrays([self.keys, pa.array(keys, pa.string())])
+        self.start = np.concatenate((self.start, len(self.values) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.values = np.concatenate((self.values, np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum()))))
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Leave only the marks and the entries `used`."""
+        kept = np.union1d(np.arange(len(self.marks)), used)
+        self.values = gather(self.start[kept], self.size[kept], self.values)
+        self.keys, self.size = self.keys.take(pa.array(kept)), self.size[kept]
+        self.start = np.cumsum(self.size) - self.size
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of `words`, and the ids of all, one word after another."""
+        words = words.cast(pa.string())
+        if self.short:
+            short = pc.match_substring_regex(words, self.SHORT)
+            mark = pc.utf8_slice_codeunits(words, -1, None)
+            at_mark = pc.if_else(short, pc.index_in(mark, value_set=self.marks), None)
+            bare = pc.if_else(pc.is_valid(at_mark), pc.utf8_slice_codeunits(words, 0, -1), words)
+            keys = pc.if_else(short, pc.utf8_lower(bare), words).dictionary_encode()
+            at_mark = pc.fill_null(at_mark, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            keys, at_mark = words.dictionary_encode(), np.full(len(words), -1)
+        code, keys = keys.indices.to_numpy().astype(np.int64), keys.dictionary
+        found = pc.index_in(keys, value_set=self.keys)
+        late = keys.filter(pc.is_null(found))
+        at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.keys) + np.arange(len(late))
+        if self.short:
+            letters = pc.match_substring_regex(late, self.SHORT)
+            bodies = late.filter(letters).to_pylist()
+            others = late.filter(pc.invert(letters)).to_pylist()
+            order = np.argsort(~letters.to_numpy(zero_copy_only=False), kind="stable")
+            # entries are added bodies first
+            moved = np.empty(len(order), np.int64)
+            moved[order] = np.arange(len(order))
+            new = at >= len(self.keys)
+            at[new] = len(self.keys) + moved[at[new] - len(self.keys)]
+        else:
+            bodies, others = [], late.to_pylist()
+        self._add(bodies + others, [self._merged(x) for x in bodies] + self._plain(others))
+        at = at[code]
+        # two runs for each word: what its key gives, and its mark
+        start = np.column_stack((self.start[at], self.start[at_mark])).ravel()
+        size = np.column_stack((self.size[at], np.where(at_mark >= 0, self.size[at_mark], 0)))
+        values = gather(start, size.ravel(), self.values)
+        if len(self.keys) > self.keep:
+            self._forget(at)
+        return size.sum(axis=1), values
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Row offsets into the ids, and the ids of all texts."""
         offsets, words = split_words(texts)
-        codes, known = distinct(words)
-        if not known:
+        if not len(words):
             return np.zeros(len(offsets), np.int64), np.zeros(0, "<u4")
-        coded = self.words(known)
-        size = np.fromiter((len(x) >> 2 for x in coded), np.int64, len(coded))
-        values = np.frombuffer(b"".join(coded), "<u4")
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        size, values = self.words(coded.dictionary)
         lengths = size[codes]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         return ends[offsets], gather((np.cumsum(size) - size)[codes], lengths, values)
@@ -163,9 +194,9 @@ class WordEncoder:
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
         offsets, words = split_words(texts)
-        codes, known = distinct(words)
-        size = np.fromiter((len(x) >> 2 for x in self.words(known)), np.int64, len(known))
-        return np.diff(np.concatenate(([0], np.cumsum(size[codes])))[offsets])
+        coded = words.dictionary_encode()
+        size, _ = self.words(coded.dictionary)
+        return np.diff(np.concatenate(([0], np.cumsum(size[coded.indices.to_numpy().astype(np.int64)])))[offsets])
 
 
 _RESIDENT: dict[object, object] = {}
