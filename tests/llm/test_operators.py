@@ -397,6 +397,23 @@ def test_word_encoder_agrees_with_the_tokenizer(texts):
     assert zlib.crc32(ids.tobytes()) >= 0
 
 
+@pytest.mark.parametrize("keep", [1, 50, 1000])
+def test_word_encoder_forgets_without_changing_ids(keep):
+    from curbside.llm.text import WordEncoder
+
+    encoder = WordEncoder(WORDS, keep)
+    batches = [["Über, über uber. UBER", None, "", " "], [None], [], ["a.. .a ., ß ẞ İ ÿ! Ÿ ×÷", "b" * 3000 + ","], [words(200, i, 400) for i in range(3)]]
+    for batch in batches * 2:
+        column = pa.array(batch, pa.string())
+        offsets, ids = encoder.encode(column)
+        assert len(offsets) == len(batch) + 1 and encoder.lengths(column).tolist() == np.diff(offsets).tolist()
+        for text, a, b in zip(batch, offsets[:-1], offsets[1:]):
+            assert ids[a:b].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    # what stays: at most `keep`, or else the marks and the keys of the last batch
+    assert len(encoder.keys) <= max(keep, len(encoder.marks) + 600)
+    assert len(set(encoder.keys.to_pylist())) == len(encoder.keys)
+
+
 def test_texts_of_one_doc_id_keep_their_links(spark):
     """A doc_id with two texts joins the near copies of both, whichever of its texts comes first."""
     a, b = words(120, 1, 500), words(120, 2, 500)
