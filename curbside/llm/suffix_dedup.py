@@ -3,25 +3,36 @@
 Two strings of `length` bytes that are equal have the same smallest k-gram (by a hash) at the same place.
 That k-gram is their anchor, so equal strings lie in the surroundings of equal anchors. Only surroundings whose
 anchor occurs twice or more are sorted, those of equal anchors together, equal surroundings once.
+
+Passages counted in words are found by the same anchors, over hashes of words in place of bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from curbside.llm.bitmap import bitmap, passes, place
+from curbside.llm.bitmap import BITS, bitmap, passes, place
 from curbside.llm.text import slices
 from curbside.sources.staging import stage
 
 GRAM = 64
-#: Bytes of surroundings that are sorted in one step. Anchors with more of them are compared by window.
+#: Words of a k-gram of words.
+WORD_GRAM = 12
+#: Bytes that part words: ASCII white space.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes whose powers are at hand when words are hashed; longer texts go through in blocks of that many.
+BLOCK = 1 << 15
+#: Bytes of surroundings of one anchor that are sorted in one step. Anchors with more of them are compared by window.
 SORTED = 1 << 20
+#: Bytes from which surroundings of several anchors are not put together any more (fits the processor's cache).
+STEP = 1 << 17
 #: Low bits of a composite that hold a place; texts are worked through in runs of fewer bytes than that.
 PLACES = 20
 
@@ -48,10 +59,10 @@ def _rolling(data: np.ndarray, length: int, factor: int) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start of a window of `length` bytes in `data`: where its anchor is, and the hashes of all k-grams."""
-    grams = _mix(_rolling(data, GRAM, 0x9E3779B97F4A7C15))
-    width, starts = length - GRAM + 1, len(data) - length + 1
+def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of a window of `length` symbols in `data`: where its anchor is, and the hashes of all k-grams."""
+    grams = _mix(_rolling(data, gram, 0x9E3779B97F4A7C15))
+    width, starts = length - gram + 1, len(data) - length + 1
     low = np.uint64((1 << PLACES) - 1)
     value = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     blocks = -(-len(value) // width)
@@ -64,6 +75,19 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return (least & low).astype(np.int64), grams
 
 
+def _anchor_runs(data: np.ndarray, size: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The runs of windows with one anchor in texts of `size` symbols, laid into `data`: for each run the place of its
+    anchor, its first and last window, the hash, the text it is in."""
+    first, many = np.cumsum(size) - size, np.maximum(size - length + 1, 0)
+    place_, grams = anchors(data, length, gram)
+    text = np.repeat(np.arange(len(size)), many)
+    start = np.arange(len(text)) + np.repeat(first - np.cumsum(many) + many, many)
+    at = place_[start]
+    head = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    tail = np.append(head[1:], len(at)) - 1
+    return at[head], start[head], start[tail], grams[at[head]], text[head]
+
+
 def _runs(part: pa.RecordBatch, length: int) -> Iterator[tuple]:
     """Pieces of texts, and the runs of windows with one anchor: the row and the offset of each text laid into
     `data`, then for each run the place of its anchor, its first and last window, the hash, the text it is in."""
@@ -74,14 +98,7 @@ def _runs(part: pa.RecordBatch, length: int) -> Iterator[tuple]:
     def work() -> tuple:
         data = np.frombuffer(b"".join(x for _, _, x in room), np.uint8)
         size = np.array([len(x) for _, _, x in room], np.int64)
-        first = np.cumsum(size) - size
-        place_, grams = anchors(data, length)
-        text = np.repeat(np.arange(len(room)), np.maximum(size - length + 1, 0))
-        start = np.arange(len(text)) + np.repeat(first - np.cumsum(np.maximum(size - length + 1, 0)) + np.maximum(size - length + 1, 0), np.maximum(size - length + 1, 0))
-        at = place_[start]
-        head = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
-        tail = np.append(head[1:], len(at)) - 1
-        return list(room), first, data, at[head], start[head], start[tail], grams[at[head]], text[head]
+        return list(room), np.cumsum(size) - size, data, *_anchor_runs(data, size, length, GRAM)
 
     held = 0
     for row in range(part.num_rows):
@@ -97,6 +114,79 @@ def _runs(part: pa.RecordBatch, length: int) -> Iterator[tuple]:
         yield work()
 
 
+@cache
+def _powers(factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number that a block takes, and of its inverse (modulo 2**64)."""
+    return tuple(
+        np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(BLOCK - 1, x, np.uint64)))) for x in (factor, pow(factor, -1, 1 << 64))
+    )
+
+
+def _sums(data: np.ndarray, places: np.ndarray, factor: int) -> np.ndarray:
+    """For each of the ascending `places`: the sum of the bytes before it, each times the power of its own place."""
+    out, total = np.zeros(len(places), np.uint64), 0
+    cuts = np.searchsorted(places, np.arange(0, len(data) + BLOCK, BLOCK), side="right")
+    for low, high, at in zip(cuts[:-1], cuts[1:], range(0, len(data), BLOCK)):
+        step = pow(factor, at, 1 << 64)
+        part = data[at : at + BLOCK].astype(np.uint64)
+        part += np.uint64(1)
+        part *= _powers(factor)[0][: len(part)]
+        np.cumsum(part, out=part)
+        out[low:high] = part[places[low:high] - at - 1] * np.uint64(step) + np.uint64(total)
+        total = (total + int(part[-1]) * step) % (1 << 64)
+    return out
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row offsets into the words of all texts, and a hash of each word. Null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = ~SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = np.flatnonzero(np.diff(offsets))
+    first[offsets[full]] = inside[offsets[full]]  # words end with their text
+    last[offsets[full + 1] - 1] = inside[offsets[full + 1] - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    factor = 0x9E3779B97F4A7C15
+    inverse = pow(factor, -1, 1 << 64)
+    blocks = np.array([pow(inverse, at, 1 << 64) for at in range(0, len(data), BLOCK)], np.uint64)
+    back = _powers(factor)[1][starts % BLOCK] * blocks[starts // BLOCK]
+    # the places of both, in order: a word begins at or behind the end of the one before
+    sums = _sums(data, np.column_stack((starts, ends)).ravel(), factor)
+    return np.searchsorted(starts, offsets), _mix((sums[1::2] - sums[::2]) * back)
+
+
+def _word_runs(part: pa.RecordBatch, words: int) -> Iterator[tuple]:
+    """The same over words (between ASCII white space): the row of each text laid into `data`, the hashes of its words,
+    and the runs of windows of `words` words with one anchor."""
+    offsets, hashed = word_hashes(part.column("text"))
+    most = max(1 << 14, 2 * words) - words
+    room: list[tuple[int, int, int]] = []
+
+    def work() -> tuple:
+        data = np.concatenate([hashed[a:b] for _, a, b in room])
+        return [row for row, _, _ in room], data, *_anchor_runs(data, np.array([b - a for _, a, b in room], np.int64), words, WORD_GRAM)
+
+    held = 0
+    for row in np.flatnonzero(np.diff(offsets) >= words):
+        begin, end = int(offsets[row]), int(offsets[row + 1])
+        for cut in range(begin, end - words + 1, most):
+            piece = (int(row), cut, min(end, cut + most + words - 1))
+            if held and held + piece[2] - cut > most:
+                yield work()
+                room, held = [], 0
+            room.append(piece)
+            held += piece[2] - cut
+    if room:
+        yield work()
+
+
 def difference_cover_order(text: np.ndarray, need: int) -> np.ndarray:
     """Rank of each suffix of `text` (integers > 0) by its first `need` symbols or more; equal ranks are not told apart.
 
@@ -201,47 +291,99 @@ def _spans(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + length).tolist()
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, text_hash, starts, ends: the runs of bytes of each text that repeated strings of `length` bytes cover.
+def _names(runs: list[bytes], before: np.ndarray) -> pa.Array:
+    """What tells surroundings of equal anchors apart: a digest of each and of the place of its anchor."""
+    return pa.array(
+        [hashlib.blake2b(x, digest_size=16, key=int(n).to_bytes(8, "little", signed=True)).digest() for x, n in zip(runs, before)], pa.binary()
+    )
 
-    `docs` has doc_id and text; rows without such bytes are left out. A string is repeated if it also starts
-    anywhere else, in the same text or another row's, overlapping or not; strings do not cross texts.
-    """
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+
+def _surroundings(texts: DataFrame, length: int, words: int) -> DataFrame:
+    """The surroundings of anchors that occur twice or more, of strings of `length` bytes and, if `words` is not 0, of
+    that many words (`by_word`: `windows` holds the hash of each string, and `row` tells the rows of `texts` apart)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=1 << 20):
-                for _, _, _, _, _, _, keys, _ in _runs(part, length):
+                found = [run[-2] for run in _runs(part, length)]
+                if words:
+                    found += [run[-2] for run in _word_runs(part, words)]
+                for keys in found:
                     key, n = np.unique(keys.view(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
     keys = texts.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     keys = stage(keys.where("n > 1").select("key"), "repeated-anchors")
     known = bitmap(keys, "key")
-    spark = docs.sparkSession
+    schema = "doc_id bigint, text_hash bigint, row bigint, by_word boolean, begin bigint, key bigint, name binary, context binary, windows array<bigint>"
+    columns = [x.split()[0] for x in schema.split(", ")]
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=1 << 20):
-                ids, hashes = part.column("doc_id"), part.column("text_hash")
+                same = [part.column(c) for c in ("doc_id", "text_hash", "row")]
                 for room, offset, data, at, low, high, key, text in _runs(part, length):
                     good = np.flatnonzero(passes(known.value, _place(key)))
                     raw = data.tobytes()
                     rows = pa.array([room[text[i]][0] for i in good], pa.int64())
                     context = [raw[low[i] : high[i] + length] for i in good]
-                    name = [hashlib.blake2b(c, digest_size=16, key=int(at[i] - low[i]).to_bytes(8, "little", signed=True)).digest() for c, i in zip(context, good)]
                     begin = [int(low[i] - offset[text[i]]) + room[text[i]][1] for i in good]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.take(rows), hashes.take(rows), pa.array(begin, pa.int64()), pa.array(key[good].view(np.int64)),
-                            pa.array(name, pa.binary()), pa.array(context, pa.binary()),
+                            *[c.take(rows) for c in same], pa.array(np.zeros(len(good), bool)), pa.array(begin, pa.int64()),
+                            pa.array(key[good].view(np.int64)), _names(context, at[good] - low[good]), pa.array(context, pa.binary()),
+                            pa.nulls(len(good), pa.list_(pa.int64())),
+                        ],
+                        names=columns,
+                    )
+                for room, data, at, low, high, key, text in _word_runs(part, words) if words else ():
+                    good = np.flatnonzero(passes(known.value, _place(key)))
+                    hashes = _rolling(data, words, 0xC2B2AE3D27D4EB4F).view(np.int64)
+                    runs = [hashes[low[i] : high[i] + 1] for i in good]
+                    rows = pa.array(np.array(room, np.int64)[text[good]])
+                    sizes = np.append(0, np.cumsum(high[good] - low[good] + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[c.take(rows) for c in same], pa.array(np.ones(len(good), bool)), pa.nulls(len(good), pa.int64()),
+                            pa.array(key[good].view(np.int64)), _names([x.tobytes() for x in runs], at[good] - low[good]),
+                            pa.nulls(len(good), pa.binary()),
+                            pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([np.zeros(0, np.int64), *runs]))),
                         ],
-                        names=["doc_id", "text_hash", "begin", "key", "name", "context"],
+                        names=columns,
                     )
 
-    found = texts.mapInArrow(surround, "doc_id bigint, text_hash bigint, begin bigint, key bigint, name binary, context binary")
-    found = stage(found, "surroundings")
+    return stage(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(surround, schema), "surroundings")
+
+
+def _shared_places(found: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shared: the places of each text where a string of words starts that another row has too."""
+    found = found.where("by_word")
+    once = found.groupBy("key", "name").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.max("windows").alias("windows"))
+    once = stage(once, "distinct-passages")
+    # surroundings that two rows have are shared as a whole; those of one row are compared with all of their anchor
+    groups = once.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or(F.expr("lo = hi")).alias("open"))
+    groups = stage(groups.where("lo < hi and open").select("key"), "passage-groups")
+    windows = once.join(groups, "key", "left_semi").select("key", "name", "lo", "hi", F.explode("windows").alias("window"))
+    again = windows.groupBy("key", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    again = stage(again.select("key", "window"), "shared-windows")
+    single = windows.where("lo = hi").join(again, ["key", "window"], "left_semi").groupBy("key", "name").agg(F.count("*").alias("n"))
+    whole = once.where("lo < hi").select("key", "name", F.size("windows").cast("bigint").alias("n"))
+    marked = stage(whole.unionByName(single), "marked-passages")
+    rows = found.select("doc_id", "text_hash", "row", "key", "name").join(marked, ["key", "name"])
+    return rows.groupBy("doc_id", "text_hash", "row").agg(F.sum("n").alias("n_shared")).drop("row")
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, words: int = 0) -> DataFrame:
+    """doc_id, text_hash, runs: the runs of bytes of each text that repeated strings of `length` bytes cover.
+
+    `docs` has doc_id and text; rows without such bytes are left out. A string is repeated if it also starts
+    anywhere else, in the same text or another row's, overlapping or not; strings do not cross texts.
+    n_shared, if `words` is not 0: the places where a string of that many words starts that another row has too;
+    rows with such places are there too.
+    """
+    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    everything = _surroundings(texts, length, words)
+    found = everything.where("not by_word").select("doc_id", "text_hash", "begin", "key", "name", "context")
     once = found.groupBy("key", "name").agg(F.count("*").alias("times"), F.max("context").alias("context"))
     once = stage(once, "distinct-surroundings")
     size = once.groupBy("key").agg(F.sum(F.length("context")).alias("bytes"), F.sum("times").alias("n"), F.count("*").alias("kinds"))
@@ -265,10 +407,10 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
             )
 
         for batch in batches:
-            for part in slices(batch, "context", 1 << 18):
+            for part in slices(batch, "context", STEP):
                 held.append(part)
                 waiting += part.column("context").nbytes
-                if waiting >= SORTED:  # up to the last change of anchor
+                if waiting >= STEP:  # up to the last change of anchor
                     table = pa.Table.from_batches(held)
                     change = np.flatnonzero(np.diff(table["key"].to_numpy()))
                     if len(change):
@@ -316,28 +458,39 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         "doc_id", "text_hash",
         F.explode(F.arrays_zip(F.transform("starts", lambda s: s + F.col("begin")).alias("s"), F.transform("ends", lambda e: e + F.col("begin")).alias("e"))).alias("run"),
     )
-    listed = runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("run")).alias("runs"))
+    if words:
+        runs = runs.unionByName(_shared_places(everything), allowMissingColumns=True)
+    counts = [F.coalesce(F.max("n_shared"), F.lit(0).cast("bigint")).alias("n_shared")] if words else []
+    listed = runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("run")).alias("runs"), *counts)
     return stage(listed, "repeated-spans")
 
 
 def _place(keys: np.ndarray) -> np.ndarray:
     """`bitmap.place` of long keys, as Spark's xxhash64 gives it (seed 42)."""
-    import xxhash
+    one, two, three, four, five = (
+        np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+    )
 
-    from curbside.llm.bitmap import BITS
+    def turn(x: np.ndarray, n: int) -> np.ndarray:
+        return x << np.uint64(n) | x >> np.uint64(64 - n)
 
-    mask = (1 << BITS) - 1
-    return np.fromiter((xxhash.xxh64_intdigest(k.tobytes(), 42) & mask for k in keys), np.int64, len(keys))
+    out = turn(keys.view(np.uint64) * two, 31) * one ^ (five + np.uint64(42 + 8))
+    out = turn(out, 27) * one + four
+    out = (out ^ out >> np.uint64(33)) * two
+    out = (out ^ out >> np.uint64(29)) * three
+    return ((out ^ out >> np.uint64(32)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, words: int = 0) -> DataFrame:
     """For each row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay).
 
     Each byte of a text in UTF-8 goes that a string of `length` bytes covers which also starts anywhere else.
     Null and empty texts have no bytes. Rows stay one for one; repeated rows repeat each other, so they lose all
     that is covered. Other columns of `docs` are not read.
+    n_shared, if `words` is not 0: the places where a string of that many words starts that another row has too,
+    however few bytes it has; nothing is removed for it.
     """
-    spans = repeated_spans(docs, length)
+    spans = repeated_spans(docs, length, words)
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     known = bitmap(spans, "doc_id", "text_hash")
 
@@ -352,7 +505,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     touched = placed.mapInArrow(lambda x: untouched(x, True), schema)
     joined = touched.alias("t").join(
         spans.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.text_hash") == F.col("s.text_hash")), "left"
-    ).select("t.doc_id", "t.text", "s.runs")
+    ).select("t.doc_id", "t.text", "s.runs", *([F.coalesce("s.n_shared", F.lit(0).cast("bigint")).alias("n_shared")] if words else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,12 +526,17 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 rows.append((doc_id, len(data), removed, many, b"".join([*kept, data[at:]])))
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
+            out = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+            if words:
+                out, names = [*out, batch.column("n_shared")], [*names, "n_shared"]
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
-    changed = joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    shared = ", n_shared bigint" if words else ""
+    changed = joined.mapInArrow(cut, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary{shared}")
     whole = F.coalesce("text", F.lit("")).cast("binary")
     zero = F.lit(0).cast("bigint")
     same = plain.select(
-        "doc_id", F.length(whole).cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), whole.alias("kept")
+        "doc_id", F.length(whole).cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), whole.alias("kept"),
+        *([zero.alias("n_shared")] if words else []),
     )
     return changed.unionByName(same)

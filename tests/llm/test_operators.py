@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from curbside.llm import (
     exact_dedup, language_id, minhash, packing, pieces, pii, suffix_dedup, token_counts, toxicity, vectors,
 )
+from curbside.llm.bitmap import place
 from curbside.llm.components import connected_components
-from curbside.llm.queries import PIECES, WORDS
+from curbside.llm.queries import PIECES, QUERIES, WORDS
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, start string, key string, node string"
 
@@ -330,6 +331,44 @@ def test_repeats_of_hot_anchors_by_window(spark, texts, monkeypatch):
     assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(plain, 100).collect()) == usual
 
 
+def test_passages_of_words_that_other_rows_have(spark, texts):
+    some = words(400, 31, 10**6).split()
+    mark = " ".join(w[:5] for w in some[:51])  # over 50 words, under 400 bytes
+    rows = [t for t in texts if t[0] is not None] + [
+        (100, " ".join(some[100:180]) + f" {mark} " + words(30, 32)), (101, mark), (102, words(90, 33) + "\n" + mark.replace(" ", "\t\n") + " end"),
+        (103, " ".join(mark.split()[:50]) + " other " + words(60, 34)), (104, "of " * 300), (105, " ".join(some)), (106, " ".join(some[200:])),
+        (107, " ".join([*some[200:260], "new", *some[261:330]])), (108, words(40_000, 35)), (109, words(40_000, 35) + " " + words(30_000, 36) + " " + mark),
+    ]
+    assert len(mark.encode()) < 400
+    k, held = 51, collections.defaultdict(set)
+    split = {n: re.findall(r"[^ \t-\r]+", t or "") for n, (_, t) in enumerate(rows)}
+    for n, w in split.items():
+        for j in range(len(w) - k + 1):
+            held[tuple(w[j : j + k])].add(n)
+    want = collections.Counter(
+        (rows[n][0], len((rows[n][1] or "").encode()), sum(len(held[tuple(w[j : j + k])]) > 1 for j in range(len(w) - k + 1))) for n, w in split.items()
+    )
+    got = suffix_dedup.remove_repeats(frame(spark, rows), 400, words=k).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_shared) for r in got) == want
+    found = {r.doc_id: r for r in got}
+    assert all(found[i].n_shared == 1 and found[i].n_removed == 0 for i in (101, 102)) and found[103].n_shared == found[104].n_shared == 0
+    plain = suffix_dedup.remove_repeats(frame(spark, rows), 400).collect()
+    assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in plain) == sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in got)
+
+
+def test_shared_passages_in_the_query(spark, tmp_path):
+    mark = " ".join(w[:5] for w in words(51, 41).split())
+    frame(spark, [(1, words(80, 42) + " " + mark), (2, mark + " " + words(80, 43)), (3, words(90, 44))]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op9_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert [(got[i].n_removed, got[i].n_shared_passages, got[i].has_shared_passage) for i in (1, 2, 3)] == [(0, 1, True), (0, 1, True), (0, 0, False)]
+
+
+def test_places_of_keys_as_spark_has_them(spark):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), 123456789012345]
+    want = [r.p for r in spark.createDataFrame([(k,) for k in keys], "k bigint").select(place("k").alias("p")).collect()]
+    assert suffix_dedup._place(np.array(keys, np.int64)).tolist() == want
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     for _ in range(100):
