@@ -291,16 +291,10 @@ def _spans(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + length).tolist()
 
 
-def _names(runs: list[bytes], before: np.ndarray) -> pa.Array:
-    """What tells surroundings of equal anchors apart: a digest of each and of the place of its anchor."""
-    return pa.array(
-        [hashlib.blake2b(x, digest_size=16, key=int(n).to_bytes(8, "little", signed=True)).digest() for x, n in zip(runs, before)], pa.binary()
-    )
-
-
 def _surroundings(texts: DataFrame, length: int, words: int) -> DataFrame:
     """The surroundings of anchors that occur twice or more, of strings of `length` bytes and, if `words` is not 0, of
-    that many words (`by_word`: `windows` holds the hash of each string, and `row` tells the rows of `texts` apart)."""
+    that many words (`by_word`: `windows` holds the hash of each string, `run` one of them all, and `row` tells the rows
+    of `texts` apart)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +309,7 @@ def _surroundings(texts: DataFrame, length: int, words: int) -> DataFrame:
     keys = texts.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     keys = stage(keys.where("n > 1").select("key"), "repeated-anchors")
     known = bitmap(keys, "key")
-    schema = "doc_id bigint, text_hash bigint, row bigint, by_word boolean, begin bigint, key bigint, name binary, context binary, windows array<bigint>"
+    schema = "doc_id bigint, text_hash bigint, row bigint, by_word boolean, begin bigint, key bigint, name binary, context binary, run bigint, windows array<bigint>"
     columns = [x.split()[0] for x in schema.split(", ")]
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,27 +321,32 @@ def _surroundings(texts: DataFrame, length: int, words: int) -> DataFrame:
                     raw = data.tobytes()
                     rows = pa.array([room[text[i]][0] for i in good], pa.int64())
                     context = [raw[low[i] : high[i] + length] for i in good]
+                    name = [hashlib.blake2b(c, digest_size=16, key=int(at[i] - low[i]).to_bytes(8, "little", signed=True)).digest() for c, i in zip(context, good)]
                     begin = [int(low[i] - offset[text[i]]) + room[text[i]][1] for i in good]
                     yield pa.RecordBatch.from_arrays(
                         [
                             *[c.take(rows) for c in same], pa.array(np.zeros(len(good), bool)), pa.array(begin, pa.int64()),
-                            pa.array(key[good].view(np.int64)), _names(context, at[good] - low[good]), pa.array(context, pa.binary()),
-                            pa.nulls(len(good), pa.list_(pa.int64())),
+                            pa.array(key[good].view(np.int64)), pa.array(name, pa.binary()), pa.array(context, pa.binary()),
+                            pa.nulls(len(good), pa.int64()), pa.nulls(len(good), pa.list_(pa.int64())),
                         ],
                         names=columns,
                     )
                 for room, data, at, low, high, key, text in _word_runs(part, words) if words else ():
                     good = np.flatnonzero(passes(known.value, _place(key)))
-                    hashes = _rolling(data, words, 0xC2B2AE3D27D4EB4F).view(np.int64)
-                    runs = [hashes[low[i] : high[i] + 1] for i in good]
+                    if not len(good):
+                        continue
+                    many = high[good] - low[good] + 1
+                    first = np.cumsum(many) - many
+                    turn = np.arange(many.sum()) - np.repeat(first, many)
+                    hashes = _rolling(data, words, 0xC2B2AE3D27D4EB4F)[turn + np.repeat(low[good], many)]
+                    run = np.add.reduceat(_mix(hashes) * (_mix(turn.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), first)
                     rows = pa.array(np.array(room, np.int64)[text[good]])
-                    sizes = np.append(0, np.cumsum(high[good] - low[good] + 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [
                             *[c.take(rows) for c in same], pa.array(np.ones(len(good), bool)), pa.nulls(len(good), pa.int64()),
-                            pa.array(key[good].view(np.int64)), _names([x.tobytes() for x in runs], at[good] - low[good]),
-                            pa.nulls(len(good), pa.binary()),
-                            pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([np.zeros(0, np.int64), *runs]))),
+                            pa.array(key[good].view(np.int64)), pa.nulls(len(good), pa.binary()), pa.nulls(len(good), pa.binary()),
+                            pa.array(run.view(np.int64)),
+                            pa.ListArray.from_arrays(np.append(first, len(hashes)).astype(np.int32), pa.array(hashes.view(np.int64))),
                         ],
                         names=columns,
                     )
@@ -358,18 +357,18 @@ def _surroundings(texts: DataFrame, length: int, words: int) -> DataFrame:
 def _shared_places(found: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shared: the places of each text where a string of words starts that another row has too."""
     found = found.where("by_word")
-    once = found.groupBy("key", "name").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.max("windows").alias("windows"))
+    once = found.groupBy("key", "run").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.max("windows").alias("windows"))
     once = stage(once, "distinct-passages")
     # surroundings that two rows have are shared as a whole; those of one row are compared with all of their anchor
     groups = once.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or(F.expr("lo = hi")).alias("open"))
     groups = stage(groups.where("lo < hi and open").select("key"), "passage-groups")
-    windows = once.join(groups, "key", "left_semi").select("key", "name", "lo", "hi", F.explode("windows").alias("window"))
+    windows = once.join(groups, "key", "left_semi").select("key", "run", "lo", "hi", F.explode("windows").alias("window"))
     again = windows.groupBy("key", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     again = stage(again.select("key", "window"), "shared-windows")
-    single = windows.where("lo = hi").join(again, ["key", "window"], "left_semi").groupBy("key", "name").agg(F.count("*").alias("n"))
-    whole = once.where("lo < hi").select("key", "name", F.size("windows").cast("bigint").alias("n"))
+    single = windows.where("lo = hi").join(again, ["key", "window"], "left_semi").groupBy("key", "run").agg(F.count("*").alias("n"))
+    whole = once.where("lo < hi").select("key", "run", F.size("windows").cast("bigint").alias("n"))
     marked = stage(whole.unionByName(single), "marked-passages")
-    rows = found.select("doc_id", "text_hash", "row", "key", "name").join(marked, ["key", "name"])
+    rows = found.select("doc_id", "text_hash", "row", "key", "run").join(marked, ["key", "run"])
     return rows.groupBy("doc_id", "text_hash", "row").agg(F.sum("n").alias("n_shared")).drop("row")
 
 
