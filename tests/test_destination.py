@@ -120,6 +120,18 @@ def test_split_shares(trips):
     assert abs(got["test"] / 1500 - 0.15) < 0.04 and abs(got["train"] / 1500 - 0.7225) < 0.05
 
 
+def test_a_small_sample_has_the_shares_of_the_split(spark):
+    trips = spark.range(20_000).selectExpr(
+        "id", "CAST(1 + id % 3 AS INT) AS PULocationID", "CAST(id % 7 AS INT) AS day_of_week",
+        "CAST(id % 24 AS INT) AS request_hour", "CAST(1 + id % 4 AS INT) AS DOLocationID",
+    )
+    rows = plan.prepare(trips, ["id"], sample_size=1600)
+    got = dict(rows.groupBy("split").count().collect())
+    assert sum(got.values()) == 1600
+    assert abs(got.get("test", 0) / 1600 - 0.15) < 0.04 and abs(got.get("train", 0) / 1600 - 0.7225) < 0.05
+    assert plan.train(trips, rows, hidden=(3, 2), max_iter=2).layers == [3 + 7 + 24, 3, 2, 4]
+
+
 def test_activation_budget_and_ties(spark):
     scores = spark.createDataFrame([("g", a, s) for a, s in ((1, 5.0), (2, 7.0), (3, 5.0), (4, 1.0))] + [("h", 9, 0.0)], "slot string, arm int, score double")
 
