@@ -138,31 +138,50 @@ def value_iteration(
     return value_table(model.select(*ids, solve("p_at", "p", "r_at", "r").alias("values")), 2, ids)
 
 
+#: So many models are solved at once, and so many rounds count every difference of action values over 1e-12.
+MODELS, FINE_ROUNDS = 64, 20
+
+
 def _policy_values(move, gain, subsidy, discount, max_iter=200):
     """Exact action values of a batch of two-action problems by policy iteration.
 
-    Shapes as in `_solve_two_actions`. Ties keep the passive action, so each policy is improved
-    until it repeats.
+    Shapes as in `_solve_two_actions`. Ties keep the passive action, so each policy is improved until it repeats. Where
+    actions are equally good but for rounding, as at an index, a policy may go back and forth; a problem that still
+    changes after `FINE_ROUNDS` rounds therefore takes differences within its rounding error for ties.
     """
+    out = np.empty((*subsidy.shape, gain.shape[1], 2))
+    for at in range(0, len(gain), MODELS):
+        some = slice(at, at + MODELS)
+        out[some] = _policy_values_of_some(move[some], gain[some], subsidy[some], discount, max_iter)
+    return out
+
+
+def _policy_values_of_some(move, gain, subsidy, discount, max_iter):
     m, s = gain.shape[:2]
     k = subsidy.shape[1]
     base = np.repeat(gain[:, None], k, axis=1)
     base[..., 0] += subsidy[:, :, None]
-    moves = np.broadcast_to(move[:, None], (m, k, s, 2, s))
-    act = base.argmax(axis=3)
-    q = base
-    for _ in range(max_iter + 1):
-        rows = np.take_along_axis(moves, act[..., None, None], axis=3)[:, :, :, 0]
-        pay = np.take_along_axis(base, act[..., None], axis=3)
+    base = base.reshape(m * k, s, 2)
+    act = base.argmax(axis=2)
+    q = np.empty_like(base)
+    live, states = np.arange(m * k), np.arange(s)
+    rounding = 4 * s * np.finfo(float).eps / (1 - discount)
+    for done in range(max_iter + 1):
+        own, of = act[live], live // k
+        rows = move[of[:, None], states, own]
+        pay = np.take_along_axis(base[live], own[..., None], axis=2)
         value = np.linalg.solve(np.eye(s) - discount * rows, pay)
-        q = base + discount * np.matmul(moves, value[:, :, None])[..., 0]
-        better = q[..., 1] - q[..., 0] > np.where(act == 1, -1e-12, 1e-12)
-        if np.array_equal(better, act.astype(bool)):
-            break
-        act = better.astype(int)
-    else:
-        raise RuntimeError(f"a policy is still changing after {max_iter} rounds")
-    return q
+        new = base[live] + discount * np.matmul(move[of], value[:, None])[..., 0]
+        tie = 1e-12
+        if done >= FINE_ROUNDS:
+            tie = np.maximum(tie, rounding * np.abs(new).max(axis=(1, 2)))[:, None]
+        better = (new[..., 1] - new[..., 0] > np.where(own == 1, -tie, tie)).astype(int)
+        q[live] = new
+        act[live] = better
+        live = live[(better != own).any(axis=1)]
+        if not len(live):
+            return q.reshape(m, k, s, 2)
+    raise RuntimeError(f"a policy is still changing after {max_iter} rounds")
 
 
 def whittle_indices(

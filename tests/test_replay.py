@@ -212,6 +212,30 @@ def test_fitted_q_matches_the_mean_over_the_log(log):
         assert np.allclose([[got[arm, s, a][0] for a in range(A)] for s in range(S)], q)
 
 
+def test_indices_of_an_arm_whose_actions_tie_but_for_rounding(spark):
+    """On the way to its indices a policy of this arm goes back and forth between actions that differ by rounding alone."""
+    moves = [(0, 0, 0, 8), (0, 0, 1, 4), (0, 1, 0, 12), (1, 0, 1, 12), (1, 1, 1, 12)]
+    transitions = spark.createDataFrame([("r", 0, 7, a, s, n, p / 12) for s, a, n, p in moves], "run string, agent int, arm int, action int, s int, s_next int, p double")
+    gains = [(0, 0, 362.2), (0, 1, 492.49), (1, 0, 528.39), (1, 1, 100.9)]
+    rewards = spark.createDataFrame([("r", 0, 7, s, a, r) for s, a, r in gains], "run string, agent int, arm int, s int, action int, r double")
+    packed = stage(planning.pack_model(transitions, rewards, 2, 2))
+    found = stage(planning.whittle_indices(packed, n_states=2))
+    gaps = planning.index_gaps(packed, found, n_states=2).collect()
+    assert len(gaps) == 2 and all(abs(r.gap) < 1e-6 or abs(abs(r["index"]) - 100.0) < 1e-6 for r in gaps)
+
+
+def test_many_models_at_once_and_one_by_one_have_the_same_values():
+    rng = np.random.default_rng(3)
+    n = planning.MODELS + 5
+    move = rng.dirichlet(np.ones(S), (n, S, 2))
+    gain, subsidy = rng.uniform(0, 100, (n, S, 2)), rng.uniform(-100, 100, (n, 3))
+    one = [planning._policy_values(move[k : k + 1], gain[k : k + 1], subsidy[k : k + 1], 0.95)[0] for k in range(n)]
+    together = planning._policy_values(move, gain, subsidy, 0.95)
+    assert np.array_equal(together, np.stack(one))
+    settled = planning._solve_two_actions(move, gain, subsidy, 0.95, 1e-11, 10000)
+    assert np.allclose(together, settled, atol=1e-8)
+
+
 @pytest.mark.parametrize("size", [120, 100000])
 def test_whittle_learning_matches_a_plain_loop(log, size):
     df, rows = log
