@@ -30,7 +30,7 @@ def raw_trips(t):
     path = staged_path(t.spark, "raw-trip-files")
     columns = [name for name in tables.trip_columns() if name in t.raw.columns]
     miles = F.when(F.col("trip_miles") == 0, "n/a").otherwise(F.col("trip_miles").cast("string"))
-    tables.write_csv(t.raw.select(*columns).withColumn("trip_miles", miles), path)
+    tables.write_csv(t.raw.select(*columns).withColumn("trip_miles", miles), path, compression="gzip")
     kept, bad = tables.stage_trips(tables.scan_trips(t.spark, path))
     quarter = kept.where((F.col("request_month") >= F.lit("1995-01-01").cast("date")) & (F.col("request_month") < F.lit("1995-04-01").cast("date")))
     counted = derive_trips(quarter).groupBy(*demand.SLOT).agg(F.count("*").alias("trips"))
