@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,64 @@ def test_ordered_weights_are_none_while_the_period_is_open(follow):
     assert written.isEmpty()
 
 
+@pytest.mark.parametrize("few", [0, 25, 500])
+def test_ordered_weights_are_the_same_however_decisions_wait(spark, tmp_path, monkeypatch, few):
+    """In one value, in parts by period, or some of each; over two files whose second has earlier and later periods."""
+    monkeypatch.setattr(ordered, "FEW", few)
+    rows = [[decision(arm, minute) for arm in (1, 2) for minute in some] for some in ((130, 150, *range(180, 240, 3)), range(121, 480, 11))]
+    for part in rows:
+        spark.createDataFrame(part[::-1], DECISIONS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        weights = ordered.ordered_weights(live.stream_parquet(spark, str(tmp_path / "in"), DECISIONS), F.col("reward"), "at")
+        with ordered.keyed_state(spark):
+            live.changes_to(weights, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    now = live.current_rows(spark, str(tmp_path / "out"), ["run", "agent", "arm", "action"])
+    taken = [r for r in rows[0] + rows[1] if r[4] < 300]  # the newest, 473, less two hours
+    twin = exp3_stable(spark.createDataFrame(taken, DECISIONS), F.col("reward"))
+    assert {(r.arm, r.action): r.log_w for r in now.collect()} == {(r.arm, r.action): r.log_w for r in twin.collect()}
+
+
+class State:
+    """A state variable that counts the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def updateValue(self, key, value):
+        self.calls.append("updateValue")
+
+    def getValueState(self, *_):
+        return State(self.calls)
+
+    getMapState = getValueState
+
+    def registerTimer(self, _):
+        self.calls.append("registerTimer")
+
+
+def test_an_arm_of_many_periods_takes_few_calls_to_its_state():
+    processor, calls = ordered.OrderedWeights(["arm"], 1000, 0.1, 0.1, 5), []
+    processor.init(State(calls))
+    rows = pd.DataFrame({"period__": range(30), "at__": [1_000_000 * i for i in range(30)], "step__": range(30), "action__": [0] * 30, "gain__": [0.5] * 30})
+    list(processor.handleInputRows((1,), iter([rows]), None))
+    assert len(calls) <= 4
+
+
 @pytest.mark.parametrize("wrong", [decision(1, 0, 5), (*decision(1, 0)[:-1], None)])
 def test_ordered_weights_fail_on_what_they_cannot_place(follow, wrong):
     with pytest.raises(Exception, match="there is no action 5|has no time"):
